@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_COMPARED_EDGES = 64
+
 
 def equal_width_edges(n_bins: int = 10) -> list[float]:
     """``n_bins`` equal bins of [0, 1], with the doubles numpy gives."""
@@ -46,7 +50,18 @@ class Bins:
         NULL outside the edges and for a missing ``p``. The comparisons use the
         edges themselves, so a value on an inexact edge falls where it should.
         """
-        return right_closed_index(p, F.array(*[F.lit(e) for e in self.edges]), len(self))
+        if len(self) <= _COMPARED_EDGES:
+            # Plain comparisons stay inside generated code.
+            below = reduce(add, [(p > F.lit(e)).cast("int") for e in self.edges])
+        else:
+            below = F.size(F.filter(F.array(*[F.lit(e) for e in self.edges]), lambda e: e < p))
+        return (
+            F.when(p.isNull(), F.lit(None))
+            .when(p == F.lit(self.edges[0]), F.lit(0))
+            .when((below == 0) | (below > len(self)), F.lit(None))
+            .otherwise(below - 1)
+            .cast("int")
+        )
 
     def geometry(self) -> Column:
         """Literal array with one struct per bin, in order."""
@@ -65,13 +80,3 @@ class Bins:
     def midpoints(self) -> list[float]:
         return [(a + b) / 2.0 for a, b in zip(self.edges, self.edges[1:])]
 
-
-def right_closed_index(p: Column, edges: Column, n_bins: int) -> Column:
-    below = F.size(F.filter(edges, lambda e: e < p))
-    return (
-        F.when(p.isNull(), F.lit(None))
-        .when(p == F.get(edges, F.lit(0)), F.lit(0))
-        .when((below == 0) | (below > n_bins), F.lit(None))
-        .otherwise(below - 1)
-        .cast("int")
-    )

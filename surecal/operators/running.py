@@ -35,11 +35,10 @@ def axis(value: Column) -> Column:
 
 
 def bucket(value: Column, bits: int) -> Column:
-    return F.floor(axis(value) * F.lit(float(1 << bits))).cast("long")
-
-
-def _before(column: str, window) -> Column:
-    return F.coalesce(F.sum(column).over(window), F.lit(0).cast("long"))
+    # Never NULL to the planner: an inferred IS NOT NULL filter on one of the branches
+    # below would keep their shared exchange from being reused.
+    cell = F.floor(axis(value) * F.lit(float(1 << bits))).cast("long")
+    return F.coalesce(cell, F.lit(0).cast("long"))
 
 
 def running_totals(
@@ -67,43 +66,52 @@ def running_totals(
     for depth in range(len(names) - 1, 0, -1):
         tables.insert(0, rolled_up(tables[0], names[:depth], "_top"))
 
+    def preceding(table: DataFrame, keys: list[str], order: str, top: str, keep: list[str]):
+        """Sums and greatest value over the earlier children of the same bucket."""
+        window = Window.partitionBy(KEY, *keys).orderBy(order)
+        window = window.rowsBetween(Window.unboundedPreceding, -1)
+        return table.select(
+            KEY,
+            *keep,
+            *[
+                F.coalesce(F.sum(s).over(window), F.lit(0).cast("long")).alias(f"{s}_before")
+                for s in sums
+            ],
+            F.max(top).over(window).alias("below"),
+        )
+
+    offsets = preceding(tables[0], [], names[0], "_top", [names[0], *sums])
     group = Window.partitionBy(KEY)
-    up_to_here = group.orderBy(names[0]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tables[0].select(
+    offsets = offsets.select(
         KEY,
         names[0],
-        *[_before(s, up_to_here).alias(f"{s}_before") for s in sums],
+        *[f"{s}_before" for s in sums],
         *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
-        F.max("_top").over(up_to_here).alias("below"),
+        "below",
     )
+    values = [c for c in rows.columns if c != KEY]
     for depth in range(1, len(names) + 1):
-        last = depth == len(names)
-        children = fine if last else tables[depth]
-        order, top = (value, value) if last else (names[depth], "_top")
-        window = (
-            Window.partitionBy(KEY, *names[:depth])
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1)
+        keys = names[:depth]
+        if depth == len(names):
+            children, keep = preceding(fine, keys, value, value, keys + values), values
+        else:
+            keep = names[: depth + 1]
+            children = preceding(tables[depth], keys, names[depth], "_top", keep)
+        bases = offsets.select(
+            KEY,
+            *keys,
+            *[F.col(f"{s}_before").alias(f"{s}_base") for s in sums],
+            *[f"{s}_total" for s in sums],
+            F.col("below").alias("below_base"),
         )
-        keep = [c for c in rows.columns if c != KEY] if last else names[: depth + 1]
-        offsets = children.join(
-            offsets.select(
-                KEY,
-                *names[:depth],
-                *[F.col(f"{s}_before").alias(f"_{s}_base") for s in sums],
-                *[f"{s}_total" for s in sums],
-                F.col("below").alias("_below"),
-            ),
-            [KEY, *names[:depth]],
-        ).select(
+        # The window has the children sorted and hash-partitioned on these very keys,
+        # so a merge join moves only the offsets.
+        offsets = children.join(bases.hint("merge"), [KEY, *keys]).select(
             KEY,
             *keep,
-            *[
-                (F.col(f"_{s}_base") + _before(s, window)).alias(f"{s}_before")
-                for s in sums
-            ],
+            *[(F.col(f"{s}_base") + F.col(f"{s}_before")).alias(f"{s}_before") for s in sums],
             *[f"{s}_total" for s in sums],
-            F.coalesce(F.max(top).over(window), F.col("_below")).alias("below"),
+            F.coalesce("below", "below_base").alias("below"),
         )
     return offsets
 
