@@ -31,10 +31,14 @@ def select_runs(manifest: DataFrame, **equal: str) -> DataFrame:
 
 
 def _relative_path(base_dir: str) -> Column:
-    """Path of the scanned file below ``base_dir``."""
+    """Path of the scanned file below ``base_dir``.
+
+    A run that Spark wrote is a folder of part files; its rows belong to the folder.
+    """
     base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", base_dir).rstrip("/")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.substr(path, F.instr(path, base) + F.lit(len(base) + 1))
+    below = F.substr(path, F.instr(path, base) + F.lit(len(base) + 1))
+    return F.regexp_replace(below, r"/part-[^/]*$", "")
 
 
 def _cell_number(text: Column) -> Column:
@@ -112,15 +116,18 @@ def run_id(timestamp: Column | str) -> Column:
 
 def run_of_file() -> Column:
     """Name of the directory a scanned file lies in."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return F.regexp_replace(folder, "^run_id=", "")
 
 
-def read_run_metadata(spark: SparkSession, out_dir: str) -> DataFrame:
+def read_run_metadata(
+    spark: SparkSession, out_dir: str, file_name: str = "metadata.json"
+) -> DataFrame:
     """One row per run from ``<run>/metadata.json``, with its ``run_id``."""
     return (
         spark.read.schema(RUN_METADATA)
         .option("multiLine", True)
-        .json(f"{out_dir.rstrip('/')}/*/metadata.json")
+        .json(f"{out_dir.rstrip('/')}/*/{file_name}")
         .select(run_of_file().alias("run_id"), "*")
     )
 
