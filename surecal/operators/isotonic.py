@@ -58,7 +58,6 @@ def pool_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Only the blocks of the key still open are held from one batch to the next.
     """
     held = None
-    names = [KEY, "_k", "lo", "hi", "total", "count"]
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -81,7 +80,7 @@ def pool_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(total, pa.float64()),
                 pa.array(count, pa.float64()),
             ],
-            names=names,
+            schema=table.schema,
         )
         closed = int(np.flatnonzero(key[starts] != key[-1]).max(initial=-1)) + 1
         if closed:

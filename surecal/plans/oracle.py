@@ -170,16 +170,13 @@ def eqfreq_ctes(source: str, by: Sequence[str], n_bins: int = 10) -> str:
     stats = "avg(y_true) AS mean_y, stddev_samp(y_true) AS std_y, avg(y_prob) AS mean_conf"
     return f"""
 qs AS ({source}),
-rn AS (SELECT {cols(by)} y_prob, row_number() OVER ({part(by)} ORDER BY y_prob) - 1 AS rk FROM qs),
-ct AS (SELECT {cols(by)} count(*) AS cnt FROM rn {group(by)}),
-ps AS (SELECT {cols(by)} j, q * (cnt - 1) AS h,
-         CAST(least(floor(q * (cnt - 1)), cnt - 1) AS BIGINT) AS lo, cnt
+ct AS (SELECT {cols(by)} list_sort(list(y_prob)) AS v, count(*) AS cnt FROM qs {group(by)}),
+ps AS (SELECT {cols(by)} q * (cnt - 1) AS h, v, cnt,
+         CAST(least(floor(q * (cnt - 1)), cnt - 1) AS BIGINT) AS lo
        FROM ct CROSS JOIN (VALUES {values}) AS f(j, q)),
-ed AS (SELECT DISTINCT {cols(by, 'ps.')} CASE WHEN h - lo >= 0.5
-           THEN b.y_prob - (b.y_prob - a.y_prob) * (1e0 - (h - lo))
-           ELSE a.y_prob + (b.y_prob - a.y_prob) * (h - lo) END AS edge
-       FROM ps JOIN rn a ON {on(by, 'ps', 'a')} AND a.rk = ps.lo
-               JOIN rn b ON {on(by, 'ps', 'b')} AND b.rk = least(ps.lo + 1, ps.cnt - 1)),
+ends AS (SELECT {cols(by)} h - lo AS t, v[lo + 1] AS a, v[least(lo + 2, cnt)] AS b FROM ps),
+ed AS (SELECT DISTINCT {cols(by)} CASE WHEN t >= 0.5 THEN b - (b - a) * (1e0 - t)
+           ELSE a + (b - a) * t END AS edge FROM ends),
 iv AS (SELECT {cols(by)} edge AS lo, lead(edge) OVER ({part(by)} ORDER BY edge) AS hi,
          row_number() OVER ({part(by)} ORDER BY edge) - 1 AS bin FROM ed),
 eq AS (SELECT {cols(by, 'qs.')} bin, {stats}, count(y_true) AS n, min(y_prob) AS "start",
@@ -526,9 +523,9 @@ SELECT vec_id, CAST(choice AS BIGINT) AS choice, """
         + " FROM ep",
         "token_logprob": f"SELECT vec_id, {r6(log_softmax('embedding', 'label'), 'logprob')} FROM embeddings",
         "sequence_logprobs": f"""WITH cut AS (SELECT vec_id, i AS step,
-  embedding[(i * 8 + 1):(i * 8 + 8)] AS v, (vec_id + (i + 1) * 3) % 8 AS t
+  embedding[(i * 8 + 1):(i * 8 + 8)] AS x, (vec_id + (i + 1) * 3) % 8 AS t
 FROM embeddings CROSS JOIN range(7) AS r(i))
-SELECT vec_id, CAST(step AS BIGINT) AS step, {r6(log_softmax('v', 't'), 'logprob')} FROM cut""",
+SELECT vec_id, CAST(step AS BIGINT) AS step, {r6(log_softmax('x', 't'), 'logprob')} FROM cut""",
         "format_question": """SELECT doc_id, concat(text, chr(10), CASE
   WHEN doc_id % 7 = 0 THEN ''
   WHEN doc_id % 3 = 0 THEN concat(chr(10), 'A. ', lang, chr(10), 'B. ', source)

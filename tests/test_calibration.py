@@ -64,7 +64,9 @@ def test_isotonic_golden(spark):
 
 @pytest.mark.parametrize("decimals", [2, None])
 @pytest.mark.parametrize("partitions", [1, 8])
-def test_isotonic_matches_definition(spark, decimals, partitions):
+@pytest.mark.parametrize("batch", [10000, 7])
+def test_isotonic_matches_definition(spark, decimals, partitions, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     f = frame(n=500, decimals=decimals)
     df = spark.createDataFrame(f).repartition(partitions)
     out = isotonic_scaling(df, df, by=["g"]).toPandas()
@@ -75,6 +77,12 @@ def test_isotonic_matches_definition(spark, decimals, partitions):
         assert part.p_cal.sum() == pytest.approx(part.y_true.sum(), abs=1e-6)
 
 
+@pytest.fixture(autouse=True)
+def default_batches(spark):
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_histogram_matches_pandas(spark):
     f = frame(decimals=None)
     f = f[(f.y_prob < 0.2) | (f.y_prob > 0.45)]
