@@ -164,7 +164,7 @@ def _state(answer: Column, confidence: Column, done: Column) -> Column:
 
 
 def _after_block(state: Column, block: Column) -> Column:
-    """State after one more block; the block is parsed only while the search is open."""
+    """State after one more block; one that is not valid JSON changes nothing."""
 
     def update(pairs: Column) -> Column:
         def with_entries(found: Column) -> Column:
@@ -201,9 +201,7 @@ def _after_block(state: Column, block: Column) -> Column:
             )
         )
 
-    return F.when(state["done"], state).otherwise(
-        let(F.from_json(block, "map<string,string>", _STRICT_JSON), update)
-    )
+    return let(F.from_json(block, "map<string,string>", _STRICT_JSON), update)
 
 
 def _repaired(block: Column) -> Column:
@@ -241,20 +239,25 @@ def parse_output(text: Column | str) -> Column:
     nothing = _state(F.lit(None), F.lit(None), F.lit(False))
     blocks = F.reverse(F.regexp_extract_all(body, F.lit(BLOCK_PATTERN), F.lit(1)))
 
-    def search(found: Column) -> Column:
-        return let(
-            F.aggregate(found, nothing, _after_block),
-            lambda strict: let(
-                F.when(strict["done"], strict).otherwise(
-                    F.aggregate(
-                        found, strict, lambda state, block: _after_block(state, _repaired(block))
-                    )
-                ),
-                lambda last: F.when(last["done"], last).otherwise(_by_pattern(body, last)),
-            ),
+    def tries(found: Column) -> Column:
+        """All blocks as they are, then all of them once more for repair."""
+        return F.concat(
+            *[
+                F.transform(found, lambda b: F.struct(b.alias("block"), F.lit(repair).alias("repair")))
+                for repair in (False, True)
+            ]
+        )
+
+    def step(state: Column, attempt: Column) -> Column:
+        # Repair and parsing happen only while the search is open.
+        block = F.when(attempt["repair"], _repaired(attempt["block"])).otherwise(attempt["block"])
+        return F.when(state["done"], state).otherwise(
+            let(block, lambda b: _after_block(state, b))
         )
 
-    result = F.when(F.coalesce(body, F.lit("")) == "", nothing).otherwise(let(blocks, search))
+    found = F.aggregate(let(blocks, tries), nothing, step)
+    searched = let(found, lambda s: F.when(s["done"], s).otherwise(_by_pattern(body, s)))
+    result = F.when(F.coalesce(body, F.lit("")) == "", nothing).otherwise(searched)
     return let(
         result,
         lambda r: F.struct(r["answer"].alias("answer"), r["confidence"].alias("confidence")),

@@ -44,23 +44,24 @@ def tail_with_prefix(ids: Column | str, prompt_length: Column, prefix_length: Co
 def answer_logprobs(
     content_ids: Column | str, prediction_ids: Column | str, logprobs: Column | str
 ) -> Column:
-    """Log-probabilities of the tokens that spell the prediction, or an empty array."""
-    ids = as_column(prediction_ids)
-    start = find_subsequence(content_ids, ids)
-    empty = F.array().cast("array<double>")
-    return F.coalesce(
-        F.when(start.isNotNull(), F.slice(as_column(logprobs), start + F.lit(1), F.size(ids))),
-        empty,
-    )
-
+    """``struct<logprobs, reason>``: log-probabilities of the tokens of the prediction.
 
-def answer_logprobs_reason(content_ids: Column | str, prediction_ids: Column | str) -> Column:
-    """Why :func:`answer_logprobs` is empty: ``no_prediction``, ``not_found`` or ``found``."""
-    ids = as_column(prediction_ids)
-    return (
-        F.when(ids.isNull(), F.lit("no_prediction"))
-        .when(find_subsequence(content_ids, ids).isNull(), F.lit("not_found"))
-        .otherwise(F.lit("found"))
+    They are read at its first place in the content. ``logprobs`` is empty where there
+    is none, and ``reason`` tells why: ``found``, ``not_found`` or ``no_prediction``.
+    """
+    ids, values = as_column(prediction_ids), as_column(logprobs)
+    empty = F.array().cast("array<double>")
+    return let(
+        find_subsequence(content_ids, ids),
+        lambda start: F.struct(
+            F.when(start.isNotNull(), F.slice(values, start + F.lit(1), F.size(ids)))
+            .otherwise(empty)
+            .alias("logprobs"),
+            F.when(start.isNotNull(), F.lit("found"))
+            .when(ids.isNull(), F.lit("no_prediction"))
+            .otherwise(F.lit("not_found"))
+            .alias("reason"),
+        ),
     )
 
 
@@ -111,21 +112,18 @@ def sequence_log_probabilities(logits: Column | str, tokens: Column | str) -> Co
 
 
 def count_at_most(xs: Column, x: Column) -> Column:
-    """How many entries of the ascending array ``xs`` are ``<= x`` (binary search)."""
-    steps = F.ceil(F.log2(F.size(xs) + F.lit(1))).cast("int")
-    start = F.struct(F.lit(0).alias("lo"), F.size(xs).alias("hi"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / F.lit(2.0)).cast("int")
-        right = F.get(xs, mid) <= x
-        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(
-            F.struct(
-                F.when(right, mid + F.lit(1)).otherwise(acc["lo"]).alias("lo"),
-                F.when(right, acc["hi"]).otherwise(mid).alias("hi"),
-            )
-        )
+    """How many entries of the ascending, non-empty array ``xs`` are ``<= x``.
 
-    return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda acc: acc["lo"])
+    Steps of falling powers of two are taken while they do not pass ``x``; a step
+    beyond the end reads NULL and is not taken.
+    """
+    exponents = F.sequence(F.floor(F.log2(F.size(xs))).cast("int"), F.lit(0), F.lit(-1))
+
+    def advance(count: Column, exponent: Column) -> Column:
+        further = count + F.call_function("shiftleft", F.lit(1), exponent)
+        return F.when(F.get(xs, further - F.lit(1)) <= x, further).otherwise(count)
+
+    return F.aggregate(exponents, F.lit(0), advance)
 
 
 def interpolate(x: Column | str, xs: Column | str, ys: Column | str) -> Column:
@@ -133,17 +131,24 @@ def interpolate(x: Column | str, xs: Column | str, ys: Column | str) -> Column:
 
     ``xs`` must ascend. NULL for a missing ``x`` and for an empty knot list.
     """
-    point, kx, ky = as_column(x), as_column(xs), as_column(ys)
-
-    def value(j: Column) -> Column:
-        x0, y0 = F.get(kx, j - F.lit(1)), F.get(ky, j - F.lit(1))
-        x1, y1 = F.get(kx, j), F.get(ky, j)
-        return (
-            F.when(j == 0, F.get(ky, F.lit(0)))
-            .when((j == F.size(kx)) | (x0 == point), y0)
-            .otherwise((y1 - y0) / (x1 - x0) * (point - x0) + y0)
+    knots = F.struct(
+        as_column(x).alias("at"), as_column(xs).alias("xs"), as_column(ys).alias("ys")
+    )
+
+    def bracketed(k: Column) -> Column:
+        point, kx, ky = k["at"], k["xs"], k["ys"]
+
+        def value(j: Column) -> Column:
+            x0, y0 = F.get(kx, j - F.lit(1)), F.get(ky, j - F.lit(1))
+            x1, y1 = F.get(kx, j), F.get(ky, j)
+            return (
+                F.when(j == 0, F.get(ky, F.lit(0)))
+                .when((j == F.size(kx)) | (x0 == point), y0)
+                .otherwise((y1 - y0) / (x1 - x0) * (point - x0) + y0)
+            )
+
+        return F.when(
+            point.isNotNull() & (F.size(kx) > 0), let(count_at_most(kx, point), value)
         )
 
-    return F.when(
-        point.isNotNull() & (F.size(kx) > 0), let(count_at_most(kx, point), value)
-    )
+    return let(knots, bracketed)

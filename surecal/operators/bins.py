@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import Bins
 from ..functions.probability import number
 from .keys import KEY, group_columns, group_key
-from .running import quantile_fractions, quantiles_here, rank_positions, running_totals
+from .running import quantile_fractions, running_totals, with_quantiles
 
 
 def grouped_bin_stats(
@@ -106,34 +106,22 @@ def equal_frequency_arrays(
     if n_bins < 1:
         raise ValueError("n_bins must be positive")
     fractions = quantile_fractions(np.linspace(0.0, 1.0, n_bins + 1))
-    ranked = running_totals(_moments(df, y, p, by), "_p", ["n"]).withColumn(
-        "positions", rank_positions(F.col("n_total"), fractions)
+    ranked = running_totals(_moments(df, y, p, by), "_p", ["n"])
+    here = with_quantiles(ranked, "_p", fractions)
+    value, is_bin = F.col("_p"), F.col("is_bin")
+    # An edge settled here lies below the value only if it falls in the gap before it.
+    # Nearly every value settles none, and is then left alone.
+    some = F.col("through") > F.col("passed")
+    in_gap = F.size(F.filter("settled", lambda e: e["q"] < value))
+    raw = F.col("passed") + F.when(some, in_gap).otherwise(F.lit(0))
+    own = F.array(
+        F.struct(F.lit(True).alias("is_bin"), raw.alias("j"), F.lit(None).cast("double").alias("q"))
     )
-    first, value, is_bin = F.col("n_before"), F.col("_p"), F.col("is_bin")
-    here = ranked.select(
-        KEY, "_p", "n", "n_y", "sum_y", "sum_y2",
-        quantiles_here(F.col("positions"), value, F.col("below"), first, F.col("n")).alias("edges"),
-        # Edges wholly decided at smaller values.
-        F.size(
-            F.filter(
-                "positions",
-                lambda s: F.when(s["t"] == 0.0, s["lo"] < first).otherwise(s["lo"] + 1 < first),
-            )
-        ).alias("passed"),
-    )
-    # An edge decided here lies below the value only if it falls in the gap before it.
-    raw = F.col("passed") + F.size(F.filter("edges", lambda e: e["q"] < value))
-    entries = F.concat(
-        F.array(
-            F.struct(
-                F.lit(True).alias("is_bin"), raw.alias("j"), F.lit(None).cast("double").alias("q")
-            )
-        ),
-        F.transform(
-            "edges",
-            lambda e: F.struct(F.lit(False).alias("is_bin"), e["j"].alias("j"), e["q"].alias("q")),
-        ),
+    edges = F.transform(
+        "settled",
+        lambda e: F.struct(F.lit(False).alias("is_bin"), e["j"].alias("j"), e["q"].alias("q")),
     )
+    entries = F.when(some, F.concat(own, edges)).otherwise(own)
 
     def over_bin(c: Column) -> Column:
         return F.sum(F.when(is_bin, c))

@@ -10,6 +10,8 @@ The buckets depend on the value alone, so a re-run task always sees the same one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -121,15 +123,23 @@ def quantile_fractions(probs: Sequence[float]) -> list[float]:
     return (np.asarray(probs, dtype=float) * 100.0 / 100.0).tolist()
 
 
-def rank_positions(n: Column, fractions: Sequence[float]) -> Column:
-    """``array<struct<j, lo, t>>``: 0-based lower rank and weight of each quantile."""
-    last = n - F.lit(1)
-    entries = []
-    for j, q in enumerate(fractions):
-        h = last.cast("double") * F.lit(float(q))
-        lo = F.least(F.floor(h).cast("long"), last)
-        entries.append(F.struct(F.lit(j).alias("j"), lo.alias("lo"), (h - lo).alias("t")))
-    return F.array(*entries)
+# Up to this many fractions are compared one by one, inside generated code.
+_COMPARED_FRACTIONS = 32
+
+
+def _position(n: Column, fraction: Column) -> Column:
+    """Where a quantile lies among ``n`` sorted values, counted from 0."""
+    return (n - F.lit(1)).cast("double") * fraction
+
+
+def _settled_before(rank: Column, n: Column, fractions: Sequence[float]) -> Column:
+    """How many quantiles depend only on values of ranks below ``rank``."""
+    if len(fractions) <= _COMPARED_FRACTIONS:
+        return reduce(
+            add, [(F.ceil(_position(n, F.lit(q))) < rank).cast("int") for q in fractions]
+        )
+    listed = F.array(*[F.lit(q) for q in fractions])
+    return F.size(F.filter(listed, lambda q: F.ceil(_position(n, q)) < rank))
 
 
 def between_ranks(lower: Column, upper: Column, t: Column) -> Column:
@@ -138,30 +148,34 @@ def between_ranks(lower: Column, upper: Column, t: Column) -> Column:
     return F.when(t >= 0.5, upper - gap * (F.lit(1.0) - t)).otherwise(lower + gap * t)
 
 
-def quantiles_here(
-    positions: Column, value: Column, below: Column, first: Column, n: Column
-) -> Column:
-    """The quantiles decided at this value: those whose upper rank is one of its ranks.
+def with_quantiles(ranked: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
+    """Add to ranked values (``n``, ``n_before``, ``n_total``, ``below``) what they settle.
 
-    ``array<struct<j, q>>``. ``first`` is the value's first 0-based rank, ``n`` its
-    count; the lower rank is either one of its ranks too or that of ``below``.
+    ``passed`` is the number of quantiles settled by smaller values alone, ``through``
+    that with this value; ``settled`` is an ``array<struct<j, q>>`` of those whose upper rank is a rank of this value.
+    The lower rank is then one of its ranks too, or the last one of ``below``.
     """
-    last = first + n - F.lit(1)
-    decided = F.filter(
-        positions,
-        lambda s: F.when(s["t"] == 0.0, (s["lo"] >= first) & (s["lo"] <= last)).otherwise(
-            (s["lo"] + 1 >= first) & (s["lo"] + 1 <= last)
-        ),
-    )
-    return F.transform(
-        decided,
-        lambda s: F.struct(
-            s["j"].alias("j"),
-            F.when(s["lo"] >= first, value)
-            .otherwise(between_ranks(below, value, s["t"]))
-            .alias("q"),
-        ),
+    n, first = F.col("n_total"), F.col("n_before")
+    listed = F.array(*[F.lit(q) for q in fractions])
+
+    def quantile(j: Column) -> Column:
+        h = _position(n, F.get(listed, j))
+        here = F.floor(h) >= first
+        between = between_ranks(F.col("below"), F.col(value), h - F.floor(h))
+        return F.struct(j.alias("j"), F.when(here, F.col(value)).otherwise(between).alias("q"))
+
+    counted_up = ranked.select(
+        "*",
+        _settled_before(first, n, fractions).alias("passed"),
+        _settled_before(first + F.col("n"), n, fractions).alias("through"),
     )
+    # Quantiles settle in order, so those of this value are a run of indexes; for
+    # nearly all values it is empty.
+    settled = F.when(
+        F.col("through") > F.col("passed"),
+        F.transform(F.sequence(F.col("passed"), F.col("through") - 1), quantile),
+    ).otherwise(F.array().cast("array<struct<j:int,q:double>>"))
+    return counted_up.withColumn("settled", settled)
 
 
 def counted(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -180,21 +194,10 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per group: ``by`` plus ``name`` (an array)."""
     fractions = quantile_fractions(probs)
     ranked = running_totals(counted(df, value, by), "_v", ["n"])
-    decided = ranked.select(
-        KEY,
-        F.explode(
-            quantiles_here(
-                rank_positions(F.col("n_total"), fractions),
-                F.col("_v"),
-                F.col("below"),
-                F.col("n_before"),
-                F.col("n"),
-            )
-        ).alias("s"),
-    )
+    settled = with_quantiles(ranked, "_v", fractions).select(KEY, F.explode("settled").alias("s"))
     # At most one row per group and quantile is left here.
     return (
-        decided.groupBy(KEY)
+        settled.groupBy(KEY)
         .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["q"]).alias(name))
         .select(*group_columns(by), name)
     )

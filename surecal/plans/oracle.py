@@ -402,15 +402,15 @@ def extracted(source: str) -> str:
 
 
 TOKENS = """SELECT event_id,
-  list_transform(range(1, 41), lambda i: (i * i + event_id) % 7) AS content_ids,
+  list_transform(range(1, 25), lambda i: (i * i + event_id) % 7) AS content_ids,
   CASE WHEN event_id % 5 = 0 THEN NULL
        ELSE list_transform(range(1, 3), lambda i: (i * 3 + user_id) % 7) END AS prediction_ids,
-  list_transform(range(1, 41), lambda i: -((i * 37 + event_id) % 101)::DOUBLE / 8e0) AS logprobs
+  list_transform(range(1, 25), lambda i: -((i * 37 + event_id) % 101)::DOUBLE / 8e0) AS logprobs
 FROM events"""
 
 FOUND = f"""tk AS ({TOKENS}),
 fs AS (SELECT *, CASE WHEN prediction_ids IS NULL THEN NULL ELSE
-         list_min(list_filter(range(0, 39), lambda i: content_ids[i + 1] = prediction_ids[1]
+         list_min(list_filter(range(0, 23), lambda i: content_ids[i + 1] = prediction_ids[1]
            AND content_ids[i + 2] = prediction_ids[2])) END AS position FROM tk)"""
 
 

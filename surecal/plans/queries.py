@@ -379,13 +379,13 @@ def extracted_calibration(spark, sf):
 
 # The token arrays below are runs of small integers, so that needles repeat.
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    step = "transform(sequence(1, 40), i -> cast((i * i + event_id) % 7 as int))"
+    step = "transform(sequence(1, 24), i -> cast((i * i + event_id) % 7 as int))"
     needle = "transform(sequence(1, 2), i -> cast((i * 3 + user_id) % 7 as int))"
     return fixtures.table(spark, sf, "events").selectExpr(
         "event_id",
         f"{step} AS content_ids",
         f"CASE WHEN event_id % 5 = 0 THEN NULL ELSE {needle} END AS prediction_ids",
-        "transform(sequence(1, 40), i -> -cast((i * 37 + event_id) % 101 as double) / 8D) AS logprobs",
+        "transform(sequence(1, 24), i -> -cast((i * 37 + event_id) % 101 as double) / 8D) AS logprobs",
     )
 
 
@@ -398,8 +398,8 @@ def find_subsequence(spark, sf):
 @query
 def answer_logprobs(spark, sf):
     found = sequences.answer_logprobs("content_ids", "prediction_ids", "logprobs")
-    reason = sequences.answer_logprobs_reason("content_ids", "prediction_ids")
-    return token_rows(spark, sf).select("event_id", found.alias("l"), reason.alias("reason")).select(
+    rows_ = token_rows(spark, sf).select("event_id", found.alias("f"))
+    return rows_.select("event_id", "f.reason", F.col("f.logprobs").alias("l")).select(
         "event_id",
         "reason",
         F.size("l").cast("bigint").alias("n"),
