@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import number
 from ..session import materialize
-from .keys import KEY, group_columns, group_key
+from .keys import KEY, group_columns, group_key, join_group_values
 from .running import exact_quantiles
 
 # Model sizes in billions of (active) parameters.
@@ -42,7 +42,7 @@ def model_sizes(spark) -> DataFrame:
 
 
 def _group_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    return df.groupBy(group_key(by)).agg(
+    return df.groupBy(*by).agg(
         *[F.avg(number(c)).alias(f"_{c}_mean") for c in columns],
         *[F.stddev_samp(number(c)).alias(f"_{c}_std") for c in columns],
         F.count(F.lit(1)).alias("_n"),
@@ -57,8 +57,7 @@ def zscore(
     NULL in a group of one row or without spread. The moments are aggregated and
     joined back, as a window would put a whole group into one task.
     """
-    moments = _group_moments(df, columns, by)
-    return df.withColumn(KEY, group_key(by)).join(moments, KEY, "left").select(
+    return join_group_values(df, _group_moments(df, columns, by), by).select(
         *df.columns,
         *[
             F.try_divide(number(c) - F.col(f"_{c}_mean"), F.col(f"_{c}_std")).alias(f"{c}{suffix}")
@@ -71,9 +70,9 @@ def with_group_size(
     df: DataFrame, by: Sequence[str] = ("dataset",), out: str = "dataset_weight"
 ) -> DataFrame:
     """Add the number of rows of the group to each of its rows."""
-    return df.withColumn(KEY, group_key(by)).join(
-        _group_moments(df, [], by), KEY, "left"
-    ).select(*df.columns, F.col("_n").alias(out))
+    return join_group_values(df, _group_moments(df, [], by), by).select(
+        *df.columns, F.col("_n").alias(out)
+    )
 
 
 def group_sizes(df: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -99,7 +98,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = ("model_size",)) ->
     inside = _with_fences(df, value, by)
     kept = F.when(F.col("_in"), F.col("_x"))
     return (
-        inside.groupBy(KEY)
+        inside.groupBy(group_key(by))
         .agg(
             *[F.first(F.get("q", F.lit(i))).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
             F.min(kept).alias("_lo"),
@@ -126,11 +125,9 @@ def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], by)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
     reach = F.lit(1.5) * (q3 - q1)
-    return (
-        df.select("*", group_key(by), number(value).alias("_x"))
-        .where(F.col("_x").isNotNull())
-        .join(quartiles.select(group_key(by), "q"), KEY)
-        .withColumn("_in", (F.col("_x") >= q1 - reach) & (F.col("_x") <= q3 + reach))
+    present = df.withColumn("_x", number(value)).where(F.col("_x").isNotNull())
+    return join_group_values(present, quartiles, by).withColumn(
+        "_in", (F.col("_x") >= q1 - reach) & (F.col("_x") <= q3 + reach)
     )
 
 
@@ -237,10 +234,9 @@ def lowess_trend(
         )
         if step == iterations:
             break
-        residual = F.abs(F.col("_y") - F.col("fit"))
-        fitted = rows.join(fits, (rows[KEY] == fits[KEY]) & (F.col("_x") == F.col("x"))).select(
-            rows[KEY], "_x", "_y", residual.alias("_r")
-        )
+        residual = F.abs(F.col("_y") - F.col("fit")).alias("_r")
+        here = fits.select(KEY, F.col("x").alias("_x"), "fit")
+        fitted = join_group_values(rows, here, [KEY, "_x"]).select(KEY, "_x", "_y", residual)
         medians = exact_quantiles(fitted, "_r", [0.5], [KEY], "m").select(
             KEY, F.get("m", F.lit(0)).alias("m")
         )
@@ -249,5 +245,7 @@ def lowess_trend(
         ).otherwise(F.when(F.col("_r") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
         bisquare = (F.lit(1.0) - u * u) * (F.lit(1.0) - u * u)
         weight = F.when(u >= 0.999, F.lit(0.0)).when(u <= 0.001, F.lit(1.0)).otherwise(bisquare)
-        weighted = fitted.join(medians, KEY).select(KEY, "_x", "_y", weight.alias("_w"))
+        weighted = join_group_values(fitted, medians, [KEY]).select(
+            KEY, "_x", "_y", weight.alias("_w")
+        )
     return fits.select(*group_columns(by), F.col("x").alias(x), "fit")

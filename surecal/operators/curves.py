@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import number
 from ..functions.sequences import interpolate
+from ..session import materialize
 from .bins import bin_stats, equal_frequency_arrays, equal_frequency_bin_stats
-from .keys import KEY, group_columns, group_key
+from .keys import KEY, group_columns, group_key, join_group_values
 
 BANDS = (None, "std", "stderr", "minmax")
 
@@ -102,22 +103,25 @@ def mean_curve(
         raise ValueError(f"error_band must be one of {BANDS}")
     run_columns = [run] if isinstance(run, str) else list(run)
     arrays = equal_frequency_arrays(df, y, p, [*by, *run_columns], n_bins)
-    runs = arrays.select(
-        F.struct(*[F.col(KEY).getField(c).alias(c) for c in by] or [F.lit(0).alias("all")]).alias(KEY),
-        F.transform("bins", lambda b: b["mean_conf"]).alias("xs"),
-        F.transform("bins", lambda b: b["mean_y"]).alias("ys"),
+    # One short row per run. It is written once, as both the range and the curves
+    # are read off it.
+    runs = materialize(
+        arrays.select(
+            F.struct(*([F.col(KEY).getField(c).alias(c) for c in by] or [F.lit(0).alias("all")])).alias(KEY),
+            F.transform("bins", lambda b: b["mean_conf"]).alias("xs"),
+            F.transform("bins", lambda b: b["mean_y"]).alias("ys"),
+        )
     )
-    # One row per run: the range of its confidences, then of all runs of the group.
     ranges = runs.groupBy(KEY).agg(
         F.min(F.get("xs", F.lit(0))).alias("x_min"),
-        F.max(F.element_at("xs", -1)).alias("x_max"),
+        F.max(F.try_element_at("xs", F.lit(-1))).alias("x_max"),
     )
     step = (F.col("x_max") - F.col("x_min")) / F.lit(float(n_points - 1))
     grid = F.transform(
         F.sequence(F.lit(0), F.lit(n_points - 1)),
         lambda i: F.when(i == n_points - 1, F.col("x_max")).otherwise(i * step + F.col("x_min")),
     )
-    return _averaged(runs.join(ranges, KEY), grid, by, error_band)
+    return _averaged(join_group_values(runs, ranges, [KEY]), grid, by, error_band)
 
 
 def curve_of_points(

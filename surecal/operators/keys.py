@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KEY = "_g"
 
 # A table of fitted parameters is broadcast up to this many bytes.
@@ -50,16 +52,23 @@ def join_parameters(
     broadcast and ``df`` is not shuffled. Beyond it both sides are shuffled on the
     group and a salt, so that one hot group is spread over many tasks.
     """
-    keyed = df.withColumn(KEY, group_key(by))
+    keyed = df.withColumn("_gl", group_key(by))
     right = parameters.select(
         group_key(by).alias("_gp"), *[c for c in parameters.columns if c not in by]
     )
     if size <= limit:
-        joined = keyed.join(F.broadcast(right), F.col(KEY) == F.col("_gp"), "left")
-        return joined.drop(KEY, "_gp")
+        joined = keyed.join(F.broadcast(right), F.col("_gl") == F.col("_gp"), "left")
+        return joined.drop("_gl", "_gp")
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
     salted = right.withColumn("_sp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = keyed.withColumn("_s", salt).join(
-        salted, (F.col(KEY) == F.col("_gp")) & (F.col("_s") == F.col("_sp")), "left"
+        salted, (F.col("_gl") == F.col("_gp")) & (F.col("_s") == F.col("_sp")), "left"
     )
-    return joined.drop(KEY, "_gp", "_s", "_sp")
+    return joined.drop("_gl", "_gp", "_s", "_sp")
+
+
+def join_group_values(df: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """:func:`join_parameters` with a table that is yet to be computed and measured."""
+    table = materialize(values)
+    arrays = [name for name, kind in table.dtypes if kind.startswith("array")]
+    return join_parameters(df, table, by, table_bytes(table, arrays=arrays))

@@ -344,6 +344,39 @@ SELECT {cols(by)} {r6('min(q1)', 'q1')}, {r6('min(median)', 'median')}, {r6('min
 FROM fe {group(by)}"""
 
 
+def lowess(frac: float = 2.0 / 3.0, iterations: int = 3) -> str:
+    """Row by row: k nearest rows, tricube distances, bisquare residual weights."""
+    text = f"""WITH {with_sizes()},
+lr AS (SELECT prompt, model_size::DOUBLE AS x, ece AS y, row_number() OVER () AS id FROM sz),
+lk AS (SELECT prompt, greatest(CAST(floor(count(*) * {num(frac)} + 1e-10) AS BIGINT), 1) AS k
+       FROM lr GROUP BY prompt),
+lx AS (SELECT DISTINCT prompt, x AS x0 FROM lr),
+rad AS (SELECT lx.prompt, x0, list_sort(list(abs(x - x0)))[min(k)] AS r
+        FROM lx JOIN lr ON lx.prompt = lr.prompt JOIN lk ON lx.prompt = lk.prompt
+        GROUP BY lx.prompt, x0),
+dw AS (SELECT rad.prompt, x0, id, x, y, CASE WHEN x = x0 THEN 1e0
+           WHEN r = 0 OR abs(x - x0) / r >= 0.999e0 THEN 0e0
+           WHEN abs(x - x0) / r <= 0.001e0 THEN 1e0
+           ELSE pow(1e0 - pow(abs(x - x0) / r, 3), 3) END AS w
+       FROM rad JOIN lr ON rad.prompt = lr.prompt),
+d0 AS (SELECT id, 1e0 AS d FROM lr)"""
+    for k in range(iterations + 1):
+        text += f""",
+m{k} AS (SELECT prompt, x0, sum(w * d * x) / sum(w * d) AS mx, sum(w * d * y) / sum(w * d) AS my
+         FROM dw JOIN d{k} ON dw.id = d{k}.id GROUP BY prompt, x0),
+f{k} AS (SELECT dw.prompt, dw.x0, min(my) + sum(w * d * (x - mx) * (y - my)) / sum(w * d)
+           / greatest(sum(w * d * (x - mx) * (x - mx)) / sum(w * d), 1e-12) * (dw.x0 - min(mx)) AS fit
+         FROM dw JOIN d{k} ON dw.id = d{k}.id JOIN m{k} ON dw.prompt = m{k}.prompt AND dw.x0 = m{k}.x0
+         GROUP BY dw.prompt, dw.x0),
+e{k} AS (SELECT lr.prompt, id, abs(y - fit) AS res FROM lr
+         JOIN f{k} ON lr.prompt = f{k}.prompt AND lr.x = f{k}.x0),
+u{k} AS (SELECT id, res / (6e0 * quantile_cont(res, 0.5) OVER (PARTITION BY prompt)) AS u FROM e{k}),
+d{k + 1} AS (SELECT id, CASE WHEN u >= 0.999e0 THEN 0e0 WHEN u <= 0.001e0 THEN 1e0
+               ELSE pow(1e0 - u * u, 2) END AS d FROM u{k})"""
+    return text + f"""
+SELECT prompt, {r6('x0', 'model_size')}, {r6('fit', 'fit')} FROM f{iterations}"""
+
+
 SPACE = r"[\s\x1c-\x1f]+"
 
 
@@ -498,6 +531,7 @@ FROM wt GROUP BY model_size""",
         ),
         "box_outliers": f"""WITH {fences('events', 'value', ['event_type'])}
 SELECT event_id, event_type, {r6('value', 'value')} FROM fe WHERE NOT inside""",
+        "lowess_trend": lowess(),
         "extract_answers": extracted(_sql(fixtures.TEXT_OUTPUTS)),
         "extract_answers_documents": extracted(_sql(fixtures.DOCUMENT_OUTPUTS)),
         "extracted_calibration": f"""WITH {extract_ctes(_sql(fixtures.TEXT_OUTPUTS))},
@@ -512,7 +546,7 @@ SELECT event_id, CASE WHEN prediction_ids IS NULL THEN 'no_prediction'
   CAST(CASE WHEN position IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n,
   {r6('logprobs[position + 1]', 'first')}, {r6('logprobs[position + 2]', 'second')} FROM fs""",
         "content_tail": f"""WITH tk AS ({TOKENS}),
-kp AS (SELECT event_id, content_ids[(10 + event_id % 20 - 4 + 1):] AS k FROM tk)
+kp AS (SELECT event_id, content_ids[(10 + event_id % 14 - 4 + 1):] AS k FROM tk)
 SELECT event_id, CAST(len(k) AS BIGINT) AS n, CAST(k[1] AS BIGINT) AS first,
   CAST(k[len(k)] AS BIGINT) AS last FROM kp""",
         "label_softmax": """WITH lg AS (SELECT vec_id, i AS choice,

@@ -412,13 +412,13 @@ def answer_logprobs(spark, sf):
 def content_tail(spark, sf):
     """Tokens kept after the prompt is cut down to its answer prefix."""
     kept = sequences.tail_with_prefix(
-        "content_ids", (10 + F.col("event_id") % 20).cast("int"), F.lit(4)
+        "content_ids", (10 + F.col("event_id") % 14).cast("int"), F.lit(4)
     )
     return token_rows(spark, sf).select("event_id", kept.alias("k")).select(
         "event_id",
         F.size("k").cast("bigint").alias("n"),
         F.get("k", F.lit(0)).cast("bigint").alias("first"),
-        F.element_at("k", -1).cast("bigint").alias("last"),
+        F.try_element_at("k", F.lit(-1)).cast("bigint").alias("last"),
     )
 
 

@@ -17,6 +17,9 @@ MISSING_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# A manifest naming up to this many runs is broadcast.
+BROADCAST_RUNS = 100_000
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per run from a JSON array of flat objects."""
@@ -101,9 +104,9 @@ def read_predictions(
     rows = scans[0]
     for scan in scans[1:]:
         rows = rows.unionByName(scan)
-    # The driver holds the file names to open them, so the manifest is small.
+    runs = F.broadcast(manifest) if len(names) <= BROADCAST_RUNS else manifest
     return (
-        rows.join(F.broadcast(manifest), F.col("_file") == F.col("csv_file"))
+        rows.join(runs, F.col("_file") == F.col("csv_file"))
         .select(*manifest.columns, "y_true", "y_prob")
     )
 
