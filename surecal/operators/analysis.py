@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.probability import number
 from ..session import materialize
 from .keys import KEY, group_columns, group_key, join_group_values
-from .running import exact_quantiles
+from .running import measured_quantiles
 
 # Model sizes in billions of (active) parameters.
 MODEL_SIZES = {
@@ -122,10 +122,10 @@ def box_outliers(df: DataFrame, value: str, by: Sequence[str] = ("model_size",))
 
 
 def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], by)
+    present = materialize(df.withColumn("_x", number(value)).where(F.col("_x").isNotNull()))
+    quartiles = measured_quantiles(present, "_x", [0.25, 0.5, 0.75], by)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
     reach = F.lit(1.5) * (q3 - q1)
-    present = df.withColumn("_x", number(value)).where(F.col("_x").isNotNull())
     return join_group_values(present, quartiles, by).withColumn(
         "_in", (F.col("_x") >= q1 - reach) & (F.col("_x") <= q3 + reach)
     )
@@ -215,8 +215,10 @@ def lowess_trend(
     refits weigh rows down by their residual. The work grows with the square of the
     distinct x of a group (model sizes), not with its rows.
     """
-    rows = df.select(group_key(by), number(x).alias("_x"), number(y).alias("_y")).where(
-        F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    rows = materialize(
+        df.select(group_key(by), number(x).alias("_x"), number(y).alias("_y")).where(
+            F.col("_x").isNotNull() & F.col("_y").isNotNull()
+        )
     )
     weighted = rows.withColumn("_w", F.lit(1.0))
     fits = None
@@ -236,8 +238,10 @@ def lowess_trend(
             break
         residual = F.abs(F.col("_y") - F.col("fit")).alias("_r")
         here = fits.select(KEY, F.col("x").alias("_x"), "fit")
-        fitted = join_group_values(rows, here, [KEY, "_x"]).select(KEY, "_x", "_y", residual)
-        medians = exact_quantiles(fitted, "_r", [0.5], [KEY], "m").select(
+        fitted = materialize(
+            join_group_values(rows, here, [KEY, "_x"]).select(KEY, "_x", "_y", residual)
+        )
+        medians = measured_quantiles(fitted, "_r", [0.5], [KEY], "m").select(
             KEY, F.get("m", F.lit(0)).alias("m")
         )
         u = F.when(

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.probability import number
 from .keys import KEY, group_columns, group_key
 
+# Up to this many rows, a quantile is taken by the built-in aggregate, which holds a
+# group's distinct values in one buffer.
+SMALL_ROWS = 1_000_000
+
 # Buckets per unit of the axis, as powers of two, from coarse to fine.
 LEVELS = (6, 22)
 
@@ -201,3 +205,15 @@ def exact_quantiles(
         .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["q"]).alias(name))
         .select(*group_columns(by), name)
     )
+
+
+def measured_quantiles(
+    table: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], name: str = "q"
+) -> DataFrame:
+    """:func:`exact_quantiles` of a materialized table, by its measured size."""
+    if table.count() > SMALL_ROWS:
+        return exact_quantiles(table, value, probs, by, name)
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return table.where(number(value).isNotNull()).groupBy(*by).agg(
+        F.percentile(number(value), wanted).alias(name)
+    )

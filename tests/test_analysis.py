@@ -14,6 +14,7 @@ from surecal.operators.analysis import (
     with_model_size,
     zscore,
 )
+from surecal.operators import running
 from surecal.operators.rows import head_n, with_row_index
 
 
@@ -59,7 +60,13 @@ def test_model_size_lookup(spark):
         with_model_size(bad, model_sizes(spark)).collect()
 
 
-def test_box_stats(spark):
+@pytest.fixture(params=["built-in", "ranked"])
+def quantile_path(request, monkeypatch):
+    if request.param == "ranked":
+        monkeypatch.setattr(running, "SMALL_ROWS", 0)
+
+
+def test_box_stats(spark, quantile_path):
     f = metric_frame(n=200)
     df = spark.createDataFrame(f)
     got = box_stats(df, "brier_score").toPandas().set_index("model_size")
@@ -100,7 +107,7 @@ def brute_lowess(x, y, frac=2 / 3, it=3):
         robust = np.where(u >= 0.999, 0.0, np.where(u <= 0.001, 1.0, (1 - u ** 2) ** 2))
 
 
-def test_lowess(spark):
+def test_lowess(spark, quantile_path):
     rng = np.random.default_rng(2)
     f = pd.DataFrame({"model_size": rng.choice([8, 20, 37, 70, 120, 200], 80), "prompt": rng.choice(["p", "q"], 80)})
     f["ece"] = np.sin(f.model_size / 60) + rng.standard_t(2, 80) * 0.2
