@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import number
 from ..session import materialize
-from .keys import KEY, group_columns, group_key, join_group_values
+from .keys import (
+    KEY,
+    group_columns,
+    group_key,
+    join_group_values,
+    join_parameters,
+    table_bytes,
+)
 from .running import measured_quantiles
 
 # Model sizes in billions of (active) parameters.
@@ -220,6 +227,7 @@ def lowess_trend(
             F.col("_x").isNotNull() & F.col("_y").isNotNull()
         )
     )
+    n_rows = rows.count()
     weighted = rows.withColumn("_w", F.lit(1.0))
     fits = None
     for step in range(iterations + 1):
@@ -239,9 +247,11 @@ def lowess_trend(
         residual = F.abs(F.col("_y") - F.col("fit")).alias("_r")
         here = fits.select(KEY, F.col("x").alias("_x"), "fit")
         fitted = materialize(
-            join_group_values(rows, here, [KEY, "_x"]).select(KEY, "_x", "_y", residual)
+            join_parameters(rows, here, [KEY, "_x"], table_bytes(here)).select(
+                KEY, "_x", "_y", residual
+            )
         )
-        medians = measured_quantiles(fitted, "_r", [0.5], [KEY], "m").select(
+        medians = measured_quantiles(fitted, "_r", [0.5], [KEY], "m", n_rows).select(
             KEY, F.get("m", F.lit(0)).alias("m")
         )
         u = F.when(

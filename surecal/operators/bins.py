@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import Bins
 from ..functions.probability import number
-from .keys import KEY, group_columns, group_key
-from .running import quantile_fractions, running_totals, with_quantiles
+from ..session import materialize
+from .keys import KEY, group_columns, group_key, join_parameters, table_bytes
+from .running import exact_quantiles
+
+_COMPARED_BINS = 64
 
 
 def grouped_bin_stats(
@@ -78,107 +83,67 @@ def bin_stats(
     return arrays.select(*group_columns(by), F.inline("bins"))
 
 
-def _moments(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """One row per group and distinct probability: counts and label sums."""
-    label = F.col("_y")
-    return (
-        df.select(group_key(by), number(y).alias("_y"), number(p).alias("_p"))
-        .where(F.col("_p").isNotNull())
-        .groupBy(KEY, "_p")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(label).alias("n_y"),
-            F.sum(label).alias("sum_y"),
-            F.sum(label * label).alias("sum_y2"),
+def _edges_below(p: Column, edges: Column, n_bins: int) -> Column:
+    """How many of a group's own edges lie below ``p``."""
+    if n_bins <= _COMPARED_BINS:
+        # Plain comparisons stay inside generated code; there may be fewer edges.
+        return reduce(
+            add,
+            [
+                F.coalesce((p > F.get(edges, F.lit(i))).cast("int"), F.lit(0))
+                for i in range(n_bins + 1)
+            ],
         )
-    )
+    return F.size(F.filter(edges, lambda e: e < p))
 
 
-def equal_frequency_arrays(
+def grouped_equal_frequency_stats(
     df: DataFrame, y: str, p: str, by: Sequence[str], n_bins: int
 ) -> DataFrame:
-    """One row per group with ``bins``: the non-empty equal-frequency bins in order.
+    """``_g, bin`` and the statistics of each non-empty equal-frequency bin.
 
-    Edges are the exact linearly interpolated quantiles, equal edges merged. A row's
-    bin is the number of edges below it; both follow from its rank, so the rows are
-    never joined with the edges.
+    The first pass ranks the distinct probabilities of a group and leaves its exact,
+    linearly interpolated quantiles, equal ones merged. The second pass reads the rows
+    against that small table and shuffles one row per group, bin and map task.
     """
     if n_bins < 1:
         raise ValueError("n_bins must be positive")
-    fractions = quantile_fractions(np.linspace(0.0, 1.0, n_bins + 1))
-    ranked = running_totals(_moments(df, y, p, by), "_p", ["n"])
-    here = with_quantiles(ranked, "_p", fractions)
-    value, is_bin = F.col("_p"), F.col("is_bin")
-    # An edge settled here lies below the value only if it falls in the gap before it.
-    # Nearly every value settles none, and is then left alone.
-    some = F.col("through") > F.col("passed")
-    in_gap = F.size(F.filter("settled", lambda e: e["q"] < value))
-    raw = F.col("passed") + F.when(some, in_gap).otherwise(F.lit(0))
-    own = F.array(
-        F.struct(F.lit(True).alias("is_bin"), raw.alias("j"), F.lit(None).cast("double").alias("q"))
-    )
-    edges = F.transform(
-        "settled",
-        lambda e: F.struct(F.lit(False).alias("is_bin"), e["j"].alias("j"), e["q"].alias("q")),
-    )
-    entries = F.when(some, F.concat(own, edges)).otherwise(own)
-
-    def over_bin(c: Column) -> Column:
-        return F.sum(F.when(is_bin, c))
-
-    per_entry = (
-        here.select(KEY, "_p", "n", "n_y", "sum_y", "sum_y2", F.inline(entries))
-        .groupBy(KEY, "is_bin", "j")
-        .agg(
-            F.max("q").alias("q"),
-            over_bin(F.col("n")).alias("n"),
-            over_bin(F.col("n_y")).alias("n_y"),
-            over_bin(F.col("sum_y")).alias("sum_y"),
-            over_bin(F.col("sum_y2")).alias("sum_y2"),
-            over_bin(F.col("_p") * F.col("n")).alias("sum_p"),
-            F.min(F.when(is_bin, F.col("_p"))).alias("start"),
-            F.max(F.when(is_bin, F.col("_p"))).alias("end"),
-        )
-    )
-    # From here on a group is at most 2 * n_bins + 2 rows, and stays in its partition.
-    sums = ["n", "n_y", "sum_y", "sum_y2", "sum_p"]
-    packed = (
-        per_entry.groupBy(KEY)
-        .agg(
-            F.array_sort(F.collect_list(F.when(~is_bin, F.struct("j", "q")))).alias("e"),
-            F.collect_list(F.when(is_bin, F.struct("j", *sums, "start", "end"))).alias("s"),
-        )
-        .select(KEY, F.transform("e", lambda e: e["q"]).alias("q"), "s")
+    quantiles = exact_quantiles(df, p, np.linspace(0.0, 1.0, n_bins + 1), by, "_edges")
+    edges = materialize(
+        quantiles.select(*by, F.array_distinct("_edges").alias("_edges"))
         # One distinct edge bounds no bin at all.
-        .where(F.size(F.array_distinct("q")) >= 2)
+        .where(F.size("_edges") >= 2)
     )
-    n, mean = F.col("n_y").cast("double"), F.try_divide(F.col("sum_y"), F.col("n_y"))
-    spread = F.greatest(F.col("sum_y2") - F.col("sum_y") * mean, F.lit(0.0))
-    # Equal edges count once, and the lowest value joins the first bin.
-    distinct_below = F.size(F.array_distinct(F.slice("q", F.lit(1), F.greatest("j", F.lit(1)))))
+    rows = df.select(*by, number(y).alias("_y"), number(p).alias("_p")).where(
+        F.col("_p").isNotNull()
+    )
+    below = _edges_below(F.col("_p"), F.col("_edges"), n_bins)
     return (
-        packed.select(KEY, "q", F.inline("s"))
-        .withColumn("bin", distinct_below - 1)
-        .groupBy(KEY, "bin")
-        .agg(*[F.sum(c).alias(c) for c in sums], F.min("start").alias("start"), F.max("end").alias("end"))
-        .select(
-            KEY,
-            F.struct(
-                F.col("bin"),
-                mean.alias("mean_y"),
-                F.sqrt(F.when(n > 1, spread / (n - F.lit(1.0)))).alias("std_y"),
-                (F.col("sum_p") / F.col("n")).alias("mean_conf"),
-                F.col("n_y").alias("n"),
-                F.col("start"),
-                F.col("end"),
-                (F.col("end") - F.col("start")).alias("width"),
-            ).alias("b"),
+        join_parameters(rows, edges, by, table_bytes(edges, arrays=["_edges"]))
+        .where(F.col("_edges").isNotNull())
+        # Bins hold their upper edge; the lowest value joins the first bin.
+        .groupBy(group_key(by), F.greatest(below - 1, F.lit(0)).alias("bin"))
+        .agg(
+            F.avg("_y").alias("mean_y"),
+            F.stddev_samp("_y").alias("std_y"),
+            F.avg("_p").alias("mean_conf"),
+            F.count("_y").alias("n"),
+            F.min("_p").alias("start"),
+            F.max("_p").alias("end"),
         )
-        .groupBy(KEY)
-        .agg(F.array_sort(F.collect_list("b")).alias("bins"))
+        .withColumn("width", F.col("end") - F.col("start"))
     )
 
 
+def equal_frequency_arrays(
+    df: DataFrame, y: str, p: str, by: Sequence[str], n_bins: int
+) -> DataFrame:
+    """One row per group with ``bins``: its non-empty equal-frequency bins in order."""
+    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins)
+    entry = F.struct("bin", "mean_y", "mean_conf", "n")
+    return stats.groupBy(KEY).agg(F.array_sort(F.collect_list(entry)).alias("bins"))
+
+
 def equal_frequency_bin_stats(
     df: DataFrame,
     y: str = "y_true",
@@ -191,5 +156,7 @@ def equal_frequency_bin_stats(
     Tied probabilities stay together, so fewer than ``n_bins`` bins may come out; a
     group with one distinct probability has none.
     """
-    arrays = equal_frequency_arrays(df, y, p, by, n_bins)
-    return arrays.select(*group_columns(by), F.inline("bins"))
+    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins)
+    return stats.select(
+        *group_columns(by), "bin", "mean_y", "std_y", "mean_conf", "n", "start", "end", "width"
+    )

@@ -208,10 +208,15 @@ def exact_quantiles(
 
 
 def measured_quantiles(
-    table: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], name: str = "q"
+    table: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str],
+    name: str = "q",
+    rows: int | None = None,
 ) -> DataFrame:
-    """:func:`exact_quantiles` of a materialized table, by its measured size."""
-    if table.count() > SMALL_ROWS:
+    """:func:`exact_quantiles` of a materialized table, by its measured number of rows."""
+    if (table.count() if rows is None else rows) > SMALL_ROWS:
         return exact_quantiles(table, value, probs, by, name)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     return table.where(number(value).isNotNull()).groupBy(*by).agg(

@@ -1,4 +1,4 @@
-import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from surecal.functions.binning import Bins
 from surecal.operators.bins import bin_stats, equal_frequency_bin_stats
-from surecal.operators.running import exact_quantiles
+from surecal.operators.running import counted, exact_quantiles, running_totals
 
 EDGE_CASES = [
     (0.0, "0.000-0.100"), (0.1, "0.000-0.100"), (0.2, "0.100-0.200"), (0.3, "0.200-0.300"),
@@ -127,10 +127,14 @@ def test_exact_quantiles_match_numpy(spark):
 
 
 def test_a_hot_group_is_not_one_task(spark):
-    """No window of the plan is partitioned by the group alone, apart from coarse buckets."""
-    df = spark.range(0, 20000).select(
-        (F.rand(1)).alias("y_prob"), (F.col("id") % 2).alias("y_true"), F.lit("hot").alias("g")
+    """Windows over scores are partitioned by bucket; the group alone holds buckets only."""
+    df = spark.range(0, 20000).select(F.rand(1).alias("v"), F.lit("hot").alias("g"))
+    ranked = running_totals(counted(df, "v", ["g"]), "_v", ["n"])
+    windows = re.findall(
+        r"windowspecdefinition\(([^\[\]]*?)(?:, specified)",
+        ranked._jdf.queryExecution().optimizedPlan().toString(),
     )
-    out = equal_frequency_bin_stats(df, by=["g"])
-    assert out.agg(F.sum("n")).first()[0] == 20000
-    assert not math.isnan(out.agg(F.max("mean_conf")).first()[0])
+    over_scores = [w for w in windows if re.search(r"_v#\d+ ASC", w)]
+    assert over_scores and all("_b0#" in w and "_b1#" in w for w in over_scores)
+    assert ranked.count() == 20000
+    assert ranked.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 20000
