@@ -37,6 +37,10 @@ def r6(expression: str, name: str) -> str:
     return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
+def r9(expression: str, name: str) -> str:
+    return f"round(CAST({expression} AS DOUBLE), 9) + 0.0 AS {name}"
+
+
 def cols(by: Sequence[str], prefix: str = "") -> str:
     return "".join(f"{prefix}{c}, " for c in by)
 
@@ -85,9 +89,9 @@ bs AS (SELECT {cols(by, 'gr.')} t.*, mean_y, std_y, mean_conf, coalesce(n, 0) AS
 
 
 BIN_COLUMNS = ", ".join(
-    ["CAST(bin_idx AS BIGINT) AS bin_idx", "bin", r6("mean_y", "mean_y"), r6("std_y", "std_y"),
-     r6("mean_conf", "mean_conf"), "CAST(n AS BIGINT) AS n", r6("mid", "mid"),
-     r6('"start"', '"start"'), r6('"end"', '"end"'), r6("width", "width")]
+    ["CAST(bin_idx AS BIGINT) AS bin_idx", "bin", r9("mean_y", "mean_y"), r9("std_y", "std_y"),
+     r9("mean_conf", "mean_conf"), "CAST(n AS BIGINT) AS n", r9("mid", "mid"),
+     r9('"start"', '"start"'), r9('"end"', '"end"'), r9("width", "width")]
 )
 
 
@@ -99,8 +103,8 @@ def bars(source: str, by: Sequence[str], eps: float) -> str:
     window = f"OVER ({part(by)})"
     return f"""WITH {bin_ctes(source, by)}
 SELECT {cols(by)} {BIN_COLUMNS},
-  {r6(f"std_y / nullif(n + {num(eps)}, 0)", 'err')},
-  {r6(f"(n - min(n) {window}) / nullif(max(n) {window} - min(n) {window} + {num(eps)}, 0)", 'shade')}
+  {r9(f"std_y / nullif(n + {num(eps)}, 0)", 'err')},
+  {r9(f"(n - min(n) {window}) / nullif(max(n) {window} - min(n) {window} + {num(eps)}, 0)", 'shade')}
 FROM bs"""
 
 
@@ -141,7 +145,7 @@ mt AS (SELECT ba.*, ece.ece, rk.roc_auc, rk.average_precision
 
 
 METRIC_COLUMNS = ", ".join(
-    [r6(c, c) for c in ("brier_score", "roc_auc", "average_precision", "ece", "accuracy")]
+    [r9(c, c) for c in ("brier_score", "roc_auc", "average_precision", "ece", "accuracy")]
     + ["CAST(n AS BIGINT) AS n"]
 )
 
@@ -150,8 +154,10 @@ def metrics(source: str, by: Sequence[str]) -> str:
     return f"WITH {metric_ctes(source, by)} SELECT {cols(by)} {METRIC_COLUMNS} FROM mt"
 
 
-def simple_mean(source: str, by: Sequence[str], expression: str, name: str) -> str:
-    return f"SELECT {cols(by)} {r6(f'avg({expression})', name)} FROM ({source}) s {group(by)}"
+def simple_mean(
+    source: str, by: Sequence[str], expression: str, name: str, rounding=r9
+) -> str:
+    return f"SELECT {cols(by)} {rounding(f'avg({expression})', name)} FROM ({source}) s {group(by)}"
 
 
 def loss(p: str) -> str:
@@ -189,7 +195,7 @@ eq AS (SELECT {cols(by, 'qs.')} bin, {stats}, count(y_true) AS n, min(y_prob) AS
 def eqfreq(source: str, by: Sequence[str], n_bins: int = 10) -> str:
     names = ["mean_y", "std_y", "mean_conf", '"start"', '"end"', "width"]
     return f"""WITH {eqfreq_ctes(source, by, n_bins)}
-SELECT {cols(by)} CAST(bin AS BIGINT) AS bin, {', '.join(r6(c, c) for c in names)},
+SELECT {cols(by)} CAST(bin AS BIGINT) AS bin, {', '.join(r9(c, c) for c in names)},
   CAST(n AS BIGINT) AS n FROM eq"""
 
 
@@ -478,19 +484,19 @@ FROM documents"""
         "bin_assignment": f"SELECT event_id, {labels}[({moved_bins}) + 1] AS bin FROM ({EVENTS}) e",
         "eqfreq_bins": eqfreq(LINEITEM, RUN),
         "eqfreq_bins_ties": eqfreq(EVENTS, by2, 150),
-        "ece_by_run": f"WITH {ece_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} {r6('ece', 'ece')} FROM ece",
-        "ece_overall": f"WITH {ece_ctes(LINEITEM, [], 15)} SELECT {r6('ece', 'ece')} FROM ece",
+        "ece_by_run": f"WITH {ece_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} {r9('ece', 'ece')} FROM ece",
+        "ece_overall": f"WITH {ece_ctes(LINEITEM, [], 15)} SELECT {r9('ece', 'ece')} FROM ece",
         "brier": simple_mean(LINEITEM, RUN, "(y_prob - y_true) * (y_prob - y_true)", "brier_score"),
         "accuracy": simple_mean(LINEITEM, RUN, "y_true", "accuracy"),
-        "roc_auc": f"WITH {rank_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} {r6('roc_auc', 'roc_auc')} FROM rk",
-        "roc_auc_overall": f"WITH {rank_ctes(LINEITEM, [])} SELECT {r6('roc_auc', 'roc_auc')} FROM rk",
+        "roc_auc": f"WITH {rank_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} {r9('roc_auc', 'roc_auc')} FROM rk",
+        "roc_auc_overall": f"WITH {rank_ctes(LINEITEM, [])} SELECT {r9('roc_auc', 'roc_auc')} FROM rk",
         "average_precision": f"WITH {rank_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} "
-        f"{r6('average_precision', 'average_precision')} FROM rk",
+        f"{r9('average_precision', 'average_precision')} FROM rk",
         "metrics_bundle": metrics(LINEITEM, RUN),
         "metrics_labels": metrics(LABELS, ["lang"]),
-        "nll": simple_mean(LINEITEM, RUN, loss(CLIPPED), "nll"),
+        "nll": simple_mean(LINEITEM, RUN, loss(CLIPPED), "nll", r6),
         "nll_given_log_t": simple_mean(
-            LINEITEM, RUN, loss(f"(1e0 / (1e0 + exp(-({LOGIT} / exp(0.4e0)))))"), "nll"
+            LINEITEM, RUN, loss(f"(1e0 / (1e0 + exp(-({LOGIT} / exp(0.4e0)))))"), "nll", r6
         ),
         "clip_logit_sigmoid": f"SELECT event_id, {r6(CLIPPED, 'clipped')}, {r6(LOGIT, 'z')}, "
         f"{r6(f'1e0 / (1e0 + exp(-({LOGIT} / 2.5e0)))', 'p')} FROM ({EVENTS}) e",
@@ -538,7 +544,7 @@ SELECT event_id, event_type, {r6('value', 'value')} FROM fe WHERE NOT inside""",
 {ece_ctes(f"SELECT id % 12 AS template, {'round(verb_conf, 6)'} AS y_prob, "
           "CASE WHEN regexp_matches(prediction, '^[0-9]*[02468]$') THEN 1 ELSE 0 END AS y_true FROM xt",
           ['template'])}
-SELECT template, {r6('ece', 'ece')} FROM ece""",
+SELECT template, {r9('ece', 'ece')} FROM ece""",
         "find_subsequence": f"WITH {FOUND} SELECT event_id, CAST(position AS BIGINT) AS position FROM fs",
         "answer_logprobs": f"""WITH {FOUND}
 SELECT event_id, CASE WHEN prediction_ids IS NULL THEN 'no_prediction'

@@ -1,7 +1,9 @@
 """Named queries: each operator over whole test tables.
 
 Every function takes the session and a table folder and returns a DataFrame. Floats
-are rounded to six places, so that results compare by value across engines.
+are rounded, so that results compare by value across engines: to six places in general,
+and to nine where they are plain sums over counts, since short decimals divided by a
+count of, say, 32 end in a tie at six places.
 """
 
 from __future__ import annotations
@@ -32,17 +34,21 @@ def query(function: Query) -> Query:
     return function
 
 
-def r6(c: Column | str) -> Column:
+def r6(c: Column | str, places: int = 6) -> Column:
     column = F.col(c) if isinstance(c, str) else c
-    return F.round(column.cast("double"), 6) + F.lit(0.0)
+    return F.round(column.cast("double"), places) + F.lit(0.0)
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def precise(df: DataFrame) -> DataFrame:
+    return rounded(df, 9)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every float column and widen every integer column."""
     out = []
     for name, kind in df.dtypes:
         if kind == "double":
-            out.append(r6(name).alias(name))
+            out.append(r6(name, places).alias(name))
         elif kind == "int":
             out.append(F.col(name).cast("bigint").alias(name))
         else:
@@ -70,13 +76,13 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bin_stats(spark, sf):
-    return rounded(bins.bin_stats(pred_lineitem(spark, sf), by=RUN))
+    return precise(bins.bin_stats(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def bin_stats_custom_edges(spark, sf):
     edges = [0.0, 0.05, 0.2, 0.35, 0.5, 0.85, 0.95]
-    return rounded(bins.bin_stats(pred_events(spark, sf), by=["dataset"], edges=edges))
+    return precise(bins.bin_stats(pred_events(spark, sf), by=["dataset"], edges=edges))
 
 
 @query
@@ -89,61 +95,61 @@ def bin_assignment(spark, sf):
 
 @query
 def eqfreq_bins(spark, sf):
-    return rounded(bins.equal_frequency_bin_stats(pred_lineitem(spark, sf), by=RUN))
+    return precise(bins.equal_frequency_bin_stats(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def eqfreq_bins_ties(spark, sf):
     """More bins than distinct values can fill, so that edges coincide."""
-    return rounded(
+    return precise(
         bins.equal_frequency_bin_stats(pred_events(spark, sf), by=["dataset", "model"], n_bins=150)
     )
 
 
 @query
 def ece_by_run(spark, sf):
-    return rounded(metrics.expected_calibration_error(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.expected_calibration_error(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def ece_overall(spark, sf):
-    return rounded(metrics.expected_calibration_error(pred_lineitem(spark, sf), n_bins=15))
+    return precise(metrics.expected_calibration_error(pred_lineitem(spark, sf), n_bins=15))
 
 
 @query
 def brier(spark, sf):
-    return rounded(metrics.brier_score(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.brier_score(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def accuracy(spark, sf):
-    return rounded(metrics.accuracy(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.accuracy(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def roc_auc(spark, sf):
-    return rounded(metrics.roc_auc(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.roc_auc(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def roc_auc_overall(spark, sf):
     """One group holding every row."""
-    return rounded(metrics.roc_auc(pred_lineitem(spark, sf)))
+    return precise(metrics.roc_auc(pred_lineitem(spark, sf)))
 
 
 @query
 def average_precision(spark, sf):
-    return rounded(metrics.average_precision(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.average_precision(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def metrics_bundle(spark, sf):
-    return rounded(metrics.calculate_metrics(pred_lineitem(spark, sf), by=RUN))
+    return precise(metrics.calculate_metrics(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def metrics_labels(spark, sf):
-    return rounded(
+    return precise(
         metrics.calculate_metrics(fixtures.frame(spark, sf, fixtures.PRED_LABELS), by=["lang"])
     )
 
@@ -239,18 +245,18 @@ def temperature_scaling(spark, sf):
 
 @query
 def reliability_bars(spark, sf):
-    return rounded(curves.reliability_bars(pred_lineitem(spark, sf), by=RUN))
+    return precise(curves.reliability_bars(pred_lineitem(spark, sf), by=RUN))
 
 
 @query
 def reliability_bars_plain(spark, sf):
-    return rounded(curves.reliability_bars(pred_events(spark, sf), by=["dataset"], eps=0.0))
+    return precise(curves.reliability_bars(pred_events(spark, sf), by=["dataset"], eps=0.0))
 
 
 @query
 def pooled_bars(spark, sf):
     """All runs of a dataset as one: the run is left out of the grouping."""
-    return rounded(curves.reliability_bars(pred_lineitem(spark, sf), by=["dataset"]))
+    return precise(curves.reliability_bars(pred_lineitem(spark, sf), by=["dataset"]))
 
 
 @query
@@ -296,7 +302,7 @@ def curve_multi(spark, sf):
 
 @query
 def run_metric_table(spark, sf):
-    return rounded(run_metrics(spark, sf))
+    return precise(run_metrics(spark, sf))
 
 
 @query
@@ -372,7 +378,7 @@ def extracted_calibration(spark, sf):
         "verb_conf",
         F.when(F.col("prediction").rlike("^[0-9]*[02468]$"), 1).otherwise(0).alias("correct"),
     )
-    return rounded(
+    return precise(
         metrics.expected_calibration_error(scored, "correct", "verb_conf", by=["template"])
     )
 
@@ -545,7 +551,7 @@ def manifest_join(spark, sf):
     """Manifest, one scan of all run files, metrics per run."""
     manifest, base = _written_runs(spark, sf)
     predictions = runs.read_predictions(spark, manifest, base)
-    return rounded(metrics.calculate_metrics(predictions, by=RUN))
+    return precise(metrics.calculate_metrics(predictions, by=RUN))
 
 
 @query
@@ -554,7 +560,7 @@ def selected_run_bins(spark, sf):
     manifest, base = _written_runs(spark, sf)
     chosen = runs.select_runs(manifest, dataset="click", model="m_large")
     predictions = runs.read_predictions(spark, chosen, base)
-    return rounded(bins.bin_stats(predictions, by=["prompt"]))
+    return precise(bins.bin_stats(predictions, by=["prompt"]))
 
 
 @query
