@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,7 @@ def remainder(column: Column | str, modulus: int) -> Column:
 def text_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` holds about RUN_BYTES."""
     for batch in batches:
-        offsets = batch.column(column).buffers()[1]
-        if batch.num_rows == 0 or offsets is None:
-            continue
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start, total = 0, 0
         for i, size in enumerate(sizes):
             total += size or 0

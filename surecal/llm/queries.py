@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import toxicity
+from .common import remainder, table
 from .ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +24,14 @@ def query(function: Query) -> Query:
 def op3_ngram_join(spark, sf):
     """Class and number of links of every document."""
     return ngram_join(table(spark, sf, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
+@query
+def op10_toxicity(spark, sf):
+    """Toxicity of every document, learned from two thirds of the labels."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"),
+        F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"),
+    )
