@@ -4,6 +4,43 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+_RULES = [
+    ("assign", """((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("google", "AIza[0-9A-Za-z_-]{35}", 0, 1),
+    ("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+]
+
+
+def _secrets() -> str:
+    def found(i, kind, pattern, group, least):
+        return f"""list_filter(list_transform(range(1, len(m{i}) + 1), lambda k: {{
+            'start': list_sum(list_transform(p{i}[1:k], lambda x: length(x)))::BIGINT
+                + coalesce(list_sum(list_transform(m{i}[1:k - 1], lambda x: length(x))), 0)::BIGINT,
+            'o': {i}, 'n': length(m{i}[k]), 'g': length(g{i}[k]), 'kind': '{kind}'}}),
+            lambda s: s.g >= {least})"""
+
+    rules = [(i, k, p.replace("'", "''"), g, n) for i, (k, p, g, n) in enumerate(_RULES)]
+    parts = ", ".join(
+        f"regexp_extract_all(t, '{p}', 0) AS m{i}, regexp_extract_all(t, '{p}', {g}) AS g{i}, "
+        f"regexp_split_to_array(t, '{p}') AS p{i}"
+        for i, _, p, g, _ in rules
+    )
+    text = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.n)), ',')"
+    counts = ", ".join(f"len(list_filter(spans, lambda s: s.kind = '{r[1]}')) AS n_{r[1]}" for r in rules[:3])
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, {parts} FROM texts),
+s AS (SELECT doc_id, list_sort(list_concat({", ".join(found(*r) for r in rules)})) AS spans FROM parts)
+SELECT doc_id, {counts},
+       sha256({text.format("list_filter(spans, lambda s: s.o < 3)")}) AS base_sha256, {text.format("spans")} AS spans
+FROM s"""
+
+
+SQL["op2_secrets"] = _secrets()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import secrets, toxicity
 from .common import remainder, table
 from .ngram_join import ngram_join
 
@@ -20,6 +20,23 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_secrets(spark, sf):
+    """Secrets of every document: counts and a digest of the base rules, all spans."""
+    found = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in kinds],
+        F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("secrets")).alias("spans"),
+    )
+
+
 @query
 def op3_ngram_join(spark, sf):
     """Class and number of links of every document."""
