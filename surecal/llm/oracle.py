@@ -5,7 +5,7 @@ from __future__ import annotations
 SQL: dict[str, str] = {}
 
 _RULES = [
-    ("assign", """((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]+", 0, 24),
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
