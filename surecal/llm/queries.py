@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, toxicity
+from . import pieces, secrets, toxicity
 from .common import remainder, table
 from .ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# The model file of the piece vocabulary; SURECAL_PIECES names another one.
+PIECES = os.environ.get("SURECAL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -43,6 +47,17 @@ def op3_ngram_join(spark, sf):
     return ngram_join(table(spark, sf, "documents")).select("doc_id", "n_links", "class_id", "kept")
 
 
+@query
+def op5_pieces(spark, sf):
+    """Piece ids of every document, and whether they give the text back."""
+    vocabulary = pieces.Vocabulary.read(PIECES)
+    encoded = pieces.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    return pieces.decode_documents(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("restored"),
+    )
+
+
 @query
 def op10_toxicity(spark, sf):
     """Toxicity of every document, learned from two thirds of the labels."""
