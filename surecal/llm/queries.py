@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, secrets, toxicity
+from . import mixing, pieces, secrets, toxicity
 from .common import remainder, table
 from .ngram_join import ngram_join
 
@@ -58,6 +58,22 @@ def op5_pieces(spark, sf):
     )
 
 
+def labelled_languages(spark, docs, sf):
+    """The labelled table of the mix: documents that have labels, by language."""
+    labels = table(spark, sf, "labels").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id", "left_semi")
+
+
+@query
+def op9_mixing(spark, sf):
+    """Rate and copies of every document, for language shares smoothed by a power of 0.7."""
+    docs = table(spark, sf, "documents")
+    mix = mixing.fit_rates(docs.select("doc_id", "text"), labelled_languages(spark, docs, sf), weights=0.7)
+    return mix.rates.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).select(
+        "doc_id", "tokens", mixing.domain_of(mix).alias("domain"), "rate", mixing.copies(mix).alias("copies"),
+    )
+
+
 @query
 def op10_toxicity(spark, sf):
     """Toxicity of every document, learned from two thirds of the labels."""
