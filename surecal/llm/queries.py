@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets, toxicity
-from .common import remainder, table
+from . import mixing, pieces, secrets, sharding, toxicity
+from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,16 @@ def op5_pieces(spark, sf):
     )
 
 
+@query
+def op6_sharding(spark, sf):
+    """Shard and slot of every document, for 16 shards of near equal bytes."""
+    placed = sharding.shard_documents(table(spark, sf, "documents"))
+    return placed.select(
+        "doc_id", "size", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def labelled_languages(spark, docs, sf):
     """The labelled table of the mix: documents that have labels, by language."""
     labels = table(spark, sf, "labels").select("doc_id").distinct()
