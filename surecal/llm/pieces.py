@@ -64,15 +64,19 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.automaton = ahocorasick.Automaton()
-        for i in vocabulary.normal:
-            piece = vocabulary.pieces[i]
-            self.automaton.add_word(piece, (len(piece), vocabulary.scores[i], i))
-        self.automaton.make_automaton()
         scores = [vocabulary.scores[i] for i in vocabulary.normal]
         self.uncovered = min(scores, default=0.0) - _UNCOVERED
         self.known: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for i in self.vocabulary.normal:
+            piece = self.vocabulary.pieces[i]
+            out.add_word(piece, (len(piece), self.vocabulary.scores[i], i))
+        out.make_automaton()
+        return out
+
     def best_path(self, marked: str) -> tuple[int, ...]:
         """Ids of the best segmentation; among equal ones the longest last piece wins."""
         n = len(marked)
@@ -174,12 +178,15 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                texts = [None if ids is None else encoder.decode(ids) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
-                )
+            column = batch.column("ids")
+            ends, flat = column.offsets.to_pylist(), column.values.to_numpy()
+            texts = [
+                encoder.decode(flat[lo:hi].tolist()) if there else None
+                for lo, hi, there in zip(ends, ends[1:], column.is_valid().to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"]
+            )
 
     plain = encoded.drop("decoded")
     schema = T.StructType([*plain.schema.fields, T.StructField("decoded", T.StringType())])
