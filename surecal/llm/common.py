@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,3 +103,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def link_summary(nodes, copies, a, b, new):
+    """What a task that verified links (a, b), both ways round, tells of them.
+
+    Per node with a link: the copies it is newly linked with (links that ``new`` marks), and
+    the smallest node its links here reach. Pairs themselves do not leave the task.
+    """
+    n = len(nodes)
+    found = np.bincount(a[new], weights=copies[b[new]].astype(np.float64), minlength=n)
+    root = np.arange(n)
+    while True:
+        lowest = root.copy()
+        np.minimum.at(lowest, a, root[b])
+        lowest = lowest[lowest]
+        if (lowest == root).all():
+            break
+        root = lowest
+    touched = np.bincount(a, minlength=n) > 0
+    return pd.DataFrame(
+        {"node": nodes[touched], "links": found[touched].astype(np.int64), "root": nodes[root[touched]]}
+    )
+
+
+def labelled_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes`` (node, copies) with links and component, from the summaries of all tasks."""
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return (
+        nodes.select("node", "copies")
+        .join(links, "node", "left")
+        .join(roots, "node", "left")
+        .select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+                F.coalesce("component", "node").alias("component"))
+    )
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """Rows with ``block`` of ``blocks``, once per pair (i, j) of blocks they take part in."""
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return placed.withColumn("other", others).withColumns(
+        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
+    ).drop("other", "blocks")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, text_runs, written
+from .common import block_pairs, labelled_nodes, link_summary, text_runs, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -150,11 +150,7 @@ def _shared(rows: np.ndarray, cols: np.ndarray, n: int, kinds: int) -> np.ndarra
 def _verified(
     group: pd.DataFrame, band: int, words: int, threshold: float, both: bool
 ) -> pd.DataFrame:
-    """Links of one pair of blocks (or one block with itself) that no earlier band holds.
-
-    Per node: how many documents it is newly linked with, and the smallest node its links
-    here reach. Pairs themselves do not leave the task.
-    """
+    """Links within one pair of blocks (or one block); those no earlier band holds are new."""
     texts, side = group["text"].tolist(), group["side"].to_numpy()
     n = len(texts)
     rows, cols, kinds = _sets(texts, words)
@@ -170,21 +166,7 @@ def _verified(
     for lo in range(0, len(a), 65_536):
         x, y = a[lo : lo + 65_536], b[lo : lo + 65_536]
         new[lo : lo + 65_536] = ~(all_bands[x, :band] == all_bands[y, :band]).any(axis=1)
-    copies = group["copies"].to_numpy()
-    found = np.bincount(a[new], weights=copies[b[new]].astype(np.float64), minlength=n)
-    root = np.arange(n)
-    while True:
-        lowest = root.copy()
-        np.minimum.at(lowest, a, root[b])
-        lowest = lowest[lowest]
-        if (lowest == root).all():
-            break
-        root = lowest
-    nodes = group["node"].to_numpy()
-    touched = np.bincount(a, minlength=n) > 0
-    return pd.DataFrame(
-        {"node": nodes[touched], "links": found[touched].astype(np.int64), "root": nodes[root[touched]]}
-    )
+    return link_summary(group["node"].to_numpy(), group["copies"].to_numpy(), a, b, new)
 
 
 def ngram_join(
@@ -236,14 +218,7 @@ def ngram_join(
         .select("node", "band", "bucket", blocks.alias("blocks"),
                 F.pmod(F.xxhash64("node", "band"), blocks).cast("int").alias("block"))
     )
-    # Block i meets block j as (min, max): once with itself and once with each other one.
-    tasks = placed.select(
-        "node", "band", "bucket", "block",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "node", "band", "bucket", F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"), "block",
-    )
+    tasks = block_pairs(placed)
     wanted = nodes.join(tasks.select("node").distinct(), "node")
     texts = (
         docs.select(
@@ -272,15 +247,7 @@ def ngram_join(
         ),
         "links",
     )
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labelled = (
-        nodes.select("digest", "node", "copies")
-        .join(links, "node", "left")
-        .join(roots, "node", "left")
-        .select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"),
-                F.coalesce("component", "node").alias("component"))
-    )
+    labelled = nodes.select("digest", "node").join(labelled_nodes(nodes, found), "node").drop("node")
     # Classes by component, then a number for each: the smallest id in it.
     rows_out = members.select("doc_id", "digest").join(labelled, "digest", "left")
     single = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import mixing, pieces, secrets, sharding, toxicity
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
+from .projection_forest import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_near_vectors(spark, sf):
+    """Links and component of every vector."""
+    return near_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op2_secrets(spark, sf):
     """Secrets of every document: counts and a digest of the base rules, all spans."""
