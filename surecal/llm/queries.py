@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, pieces, secrets, sharding, toxicity
+from .bit_sliced import top_k
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
 from .projection_forest import near_vectors
@@ -91,6 +92,12 @@ def op9_mixing(spark, sf):
     )
 
 
+@query
+def op8_top_k(spark, sf):
+    """The five nearest vectors by integer inner product, for every fiftieth vector."""
+    return top_k(table(spark, sf, "embeddings"))
+
+
 @query
 def op10_toxicity(spark, sf):
     """Toxicity of every document, learned from two thirds of the labels."""
