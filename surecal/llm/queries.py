@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets, sharding, toxicity
+from . import bloom_lm, mixing, pieces, secrets, sharding, toxicity
 from .bit_sliced import top_k
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
@@ -92,6 +92,17 @@ def op9_mixing(spark, sf):
     )
 
 
+@query
+def op7_language_model(spark, sf):
+    """Log probabilities of every document, learned from six sevenths of them."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = bloom_lm.score(docs, bloom_lm.training_texts(docs))
+    return scored.select(
+        "doc_id", (F.coalesce(remainder("doc_id", 7), F.lit(0)) == 2).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 @query
 def op8_top_k(spark, sf):
     """The five nearest vectors by integer inner product, for every fiftieth vector."""
