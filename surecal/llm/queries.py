@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, mixing, pieces, secrets, sharding, toxicity
+from . import bloom_lm, mixing, pieces, secrets, sharding, token_files, toxicity
 from .bit_sliced import top_k
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
@@ -20,6 +20,11 @@ QUERIES: dict[str, Query] = {}
 # The model file of the piece vocabulary; SURECAL_PIECES names another one.
 PIECES = os.environ.get("SURECAL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
+# Ranks of a byte-level vocabulary, its fixed word pattern, and an id it leaves free.
+RANKS = os.environ.get("SURECAL_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+END_ID = 50256
+
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -55,6 +60,17 @@ def op3_ngram_join(spark, sf):
     return ngram_join(table(spark, sf, "documents")).select("doc_id", "n_links", "class_id", "kept")
 
 
+@query
+def op4_token_counts(spark, sf):
+    """Tokens of every document, counted in flat token streams written from the documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    stored = token_files.write_token_blocks(docs, RANKS, WORD_PATTERN, END_ID)
+    counted = token_files.count_tokens(stored.where("kind = 'tokens'"), END_ID)
+    return counted.join(token_files.document_order(stored), ["file", "ordinal"]).select(
+        "doc_id", "n_tokens", "file", "ordinal", "start"
+    )
+
+
 @query
 def op5_pieces(spark, sf):
     """Piece ids of every document, and whether they give the text back."""
