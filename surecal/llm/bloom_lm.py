@@ -27,8 +27,8 @@ from .common import remainder, text_or_empty, text_runs, written
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
 _START = xxhash.xxh3_64_intdigest(b"\x00start")
-_KNOWN_WORDS = 300_000
-_FLUSH = 1_500_000
+_KNOWN_WORDS = 200_000
+_FLUSH = 1_000_000
 _LEVELS = 40
 
 
@@ -39,11 +39,11 @@ class Settings:
     ``block_bytes``: text per filter block. ``segment_bytes`` bounds what is broadcast at once.
     """
 
-    bits_per_entry: int = 10
-    probes: int = 6
+    bits_per_entry: int = 8
+    probes: int = 5
     pair_weight: float = 2.0
     block_bytes: int = 1 << 20
-    segment_bytes: int = 128 << 20
+    segment_bytes: int = 80 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,27 +66,35 @@ def level_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _KNOWN_WORDS:
-            self[word] = value
-        return value
+class _Words(dict):
+    """Numbers of the words met lately, and their hashes; 0 is the end of a text."""
 
+    def __init__(self):
+        self.restart()
 
-def tokens_of(texts: list[str | None], known: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text, an end after each; and how many tokens each text has.
+    def restart(self) -> None:
+        self.clear()
+        self.found = [_END]
 
-    Words are cut at the ASCII white space, ASCII letters are lower-cased.
-    """
-    flat: list[int] = []
-    counts = []
-    for text in texts:
-        words = (text or "").encode().lower().split()
-        flat += [known[w] for w in words]
-        flat.append(_END)
-        counts.append(len(words) + 1)
-    return np.array(flat, dtype=np.uint64), np.array(counts, dtype=np.int64)
+    def __missing__(self, word: bytes) -> int:
+        number = len(self.found)
+        self.found.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = number
+        return number
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of each text, an end after each; and how many tokens each text has.
+
+        Words are cut at the ASCII white space, ASCII letters are lower-cased.
+        """
+        flat: list[int] = []
+        counts = []
+        for text in texts:
+            words = (text or "").encode().lower().split()
+            flat += [self[w] for w in words]
+            flat.append(0)
+            counts.append(len(words) + 1)
+        return np.array(flat, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
 def _histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -105,15 +113,15 @@ def _positions(grams: np.ndarray, at: int, start: np.ndarray, bits: np.ndarray,
 
 
 def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
-    """The model as rows (block, bits, filter, words, counts, ...), and the number of blocks.
+    """The model as rows (block, bits, filter, once, words, counts, ...), and the number of blocks.
 
-    ``words`` and ``counts`` are the exact word counts of a block, as bytes.
+    ``once`` (words seen once), ``words`` and ``counts`` are a block's exact word counts.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // settings.block_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = _Words()
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
 
         def merged():
@@ -134,10 +142,14 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
             )
 
         for part in text_runs(batches, "text"):
-            tokens, lengths = tokens_of(part.column("text").to_pylist(), known)
-            for grams, word in ((tokens, True), (_pair(_histories(tokens, lengths), tokens), False)):
-                grams, n = np.unique(grams, return_counts=True)
-                held.append((grams, n.astype(np.int64), np.full(len(grams), word)))
+            if len(known) > _KNOWN_WORDS:
+                known.restart()
+            numbers, lengths = known.read(part.column("text").to_pylist())
+            hashes, n = np.array(known.found, dtype=np.uint64), np.bincount(numbers, minlength=len(known.found))
+            held.append((hashes[n > 0], n[n > 0], np.full((n > 0).sum(), True)))
+            tokens = hashes[numbers]
+            pairs, n = np.unique(_pair(_histories(tokens, lengths), tokens), return_counts=True)
+            held.append((pairs, n.astype(np.int64), np.full(len(pairs), False)))
             if sum(len(h[0]) for h in held) > _FLUSH and len(merged()[0]) > _FLUSH // 2:
                 yield rows()
         merged()
@@ -154,12 +166,13 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
             those = grams[levels >= at]
             for p in _positions(those, at, np.int64(0), np.full(len(those), bits), settings.probes):
                 flags[p] = 1
-        words = grams[is_word]
-        order = np.argsort(words)
+        words, times = grams[is_word], n[is_word]
+        once = times == 1
         return pd.DataFrame({
             "block": [group["block"].iloc[0]], "bits": [bits], "filter": [np.packbits(flags, bitorder="little").tobytes()],
-            "words": [words[order].tobytes()], "counts": [n[is_word][order].astype(np.int64).tobytes()],
-            "n_tokens": [int(n[is_word].sum())], "n_words": [int(is_word.sum())],
+            "once": [words[once].tobytes()], "words": [words[~once].tobytes()],
+            "counts": [times[~once].astype(np.int64).tobytes()],
+            "n_tokens": [int(times.sum())], "n_words": [len(words)],
         })
 
     grams = docs.select(text_or_empty().cast("string").alias("text")).mapInArrow(
@@ -167,7 +180,7 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     )
     return written(
         grams.groupBy("block").applyInPandas(
-            pack, "block int, bits bigint, filter binary, words binary, counts binary, n_tokens bigint, n_words bigint"
+            pack, "block int, bits bigint, filter binary, once binary, words binary, counts binary, n_tokens bigint, n_words bigint"
         ),
         "language-model",
     ), blocks
@@ -185,10 +198,11 @@ class Segment:
             self.start[r.block], self.bits[r.block] = at, r.bits
             at += r.bits
         self.filter = np.frombuffer(b"".join(bytes(r.filter) for r in rows), dtype=np.uint8)
-        words = np.concatenate([np.frombuffer(bytes(r.words), np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in rows] or [np.zeros(0, np.int64)])
+        self.once = np.sort(np.frombuffer(b"".join(bytes(r.once) for r in rows), dtype=np.uint64))
+        words = np.frombuffer(b"".join(bytes(r.words) for r in rows), dtype=np.uint64)
         order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
+        self.words = words[order]
+        self.counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), dtype=np.int64)[order]
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Levels read from the filter; 0 for n-grams of other segments."""
@@ -207,14 +221,19 @@ class Segment:
         return out
 
     def exact(self, words: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, self.counts[at], 0) if len(self.words) else np.zeros(len(words), np.int64)
+        """Exact counts of words; 0 for those of other segments."""
+        out = np.zeros(len(words), dtype=np.int64)
+        for known, counts in ((self.once, None), (self.words, self.counts)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                hit = known[at] == words
+                out[hit] = 1 if counts is None else counts[at[hit]]
+        return out
 
 
 def _segments(model: DataFrame, limit: int) -> list[list[int]]:
     """Runs of blocks whose bytes stay below the limit."""
-    size = F.length("filter") + F.length("words") + F.length("counts")
+    size = F.length("filter") + F.length("once") + F.length("words") + F.length("counts")
     out, held = [[]], 0
     for r in model.select("block", size.alias("n")).orderBy("block").collect():
         if out[-1] and held + r.n > limit:
@@ -247,25 +266,31 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
 
     def one_pass(segment, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part_of, known_words = segment.value, _WordHashes()
+            model, known = segment.value, _Words()
+            exact_of = levels_of = np.zeros(0, dtype=np.int64)
             for part in text_runs(batches, "text"):
-                tokens, counts = tokens_of(part.column("text").to_pylist(), known_words)
-                before = _histories(tokens, counts)
+                if len(known) > _KNOWN_WORDS:
+                    known.restart()
+                    exact_of = levels_of = exact_of[:0]
+                numbers, counts = known.read(part.column("text").to_pylist())
                 first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                kinds, at = np.unique(tokens, return_inverse=True)
-                exact, word_levels = part_of.exact(kinds)[at], part_of.levels(kinds)[at]
-                pairs, pair_at = np.unique(_pair(before, tokens), return_inverse=True)
-                levels = np.stack([word_levels, part_of.levels(pairs)[pair_at]], axis=1)
+                hashes = np.array(known.found, dtype=np.uint64)
+                new = hashes[len(exact_of):]
+                exact_of = np.concatenate([exact_of, model.exact(new)])
+                levels_of = np.concatenate([levels_of, model.levels(new)])
+                exact, tokens = exact_of[numbers], hashes[numbers]
+                pairs = model.levels(_pair(_histories(tokens, counts), tokens))
+                levels = np.stack([levels_of[numbers].astype(np.uint8), pairs], axis=1)
                 earlier = part.column("levels").to_pylist()
                 if any(e is not None for e in earlier):
                     levels = levels + np.frombuffer(b"".join(earlier), dtype=np.uint8).reshape(-1, 2)
                 base = part.column("base").to_numpy() + np.add.reduceat(np.log10(exact + 1.0), first)
-                known = part.column("known").to_numpy() + np.add.reduceat((exact > 0).astype(np.int64), first)
+                n_known = part.column("known").to_numpy() + np.add.reduceat((exact > 0).astype(np.int64), first)
                 if not last:
                     ends = np.cumsum(counts)
                     kept = [levels[a:b].tobytes() for a, b in zip(first, ends)]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("text"), pa.array(base), pa.array(known), pa.array(kept, pa.binary())],
+                        [part.column("doc_id"), part.column("text"), pa.array(base), pa.array(n_known), pa.array(kept, pa.binary())],
                         names=["doc_id", "text", "base", "known", "levels"],
                     )
                     continue
@@ -279,7 +304,7 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
                 p = (pair + settings.pair_weight * p1) / (history + settings.pair_weight)
                 logs = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts), pa.array(known),
+                    [part.column("doc_id"), pa.array(counts), pa.array(n_known),
                      pa.array(base - counts * np.log10(n + v + 1.0)), pa.array(logs)],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
