@@ -32,11 +32,16 @@ def format_question(question: Column | str, texts: Column | str, labels: Column
     return F.array_join(F.concat(head, lines), "\n")
 
 
-def chat_messages(system: Column | str, user: Column | str) -> Column:
-    """System and user turn as ``array<struct<role, content>>``."""
+def chat_messages(
+    system: Column | str, user: Column | str, role: Column | str | None = None
+) -> Column:
+    """System and user turn as ``array<struct<role, content>>``; ``role`` replaces "user"."""
     return F.array(
         F.struct(F.lit("system").alias("role"), as_column(system).alias("content")),
-        F.struct(F.lit("user").alias("role"), as_column(user).alias("content")),
+        F.struct(
+            (F.lit("user") if role is None else as_column(role)).alias("role"),
+            as_column(user).alias("content"),
+        ),
     )
 
 

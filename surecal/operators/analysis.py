@@ -17,7 +17,7 @@ from .keys import (
     join_parameters,
     table_bytes,
 )
-from .running import measured_quantiles
+from .running import exact_quantiles
 
 # Model sizes in billions of (active) parameters.
 MODEL_SIZES = {
@@ -129,8 +129,12 @@ def box_outliers(df: DataFrame, value: str, by: Sequence[str] = ("model_size",))
 
 
 def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    present = materialize(df.withColumn("_x", number(value)).where(F.col("_x").isNotNull()))
-    quartiles = measured_quantiles(present, "_x", [0.25, 0.5, 0.75], by)
+    """Rows with a value, and whether it lies within the fences of its group.
+
+    Only the quartiles are written, one row per group.
+    """
+    present = df.withColumn("_x", number(value)).where(F.col("_x").isNotNull())
+    quartiles = exact_quantiles(df.select(*by, value), value, [0.25, 0.5, 0.75], by)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
     reach = F.lit(1.5) * (q3 - q1)
     return join_group_values(present, quartiles, by).withColumn(
@@ -222,19 +226,18 @@ def lowess_trend(
     refits weigh rows down by their residual. The work grows with the square of the
     distinct x of a group (model sizes), not with its rows.
     """
+    # Rows that agree in all three are one row from here on.
     rows = materialize(
-        df.select(group_key(by), number(x).alias("_x"), number(y).alias("_y")).where(
-            F.col("_x").isNotNull() & F.col("_y").isNotNull()
-        )
+        df.select(group_key(by), number(x).alias("_x"), number(y).alias("_y"))
+        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        .groupBy(KEY, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     )
-    n_rows = rows.count()
     weighted = rows.withColumn("_w", F.lit(1.0))
     fits = None
     for step in range(iterations + 1):
+        w = F.col("_w") * F.col("_n")
         sums = weighted.groupBy(KEY, "_x").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("_w").alias("w"),
-            F.sum(F.col("_w") * F.col("_y")).alias("wy"),
+            F.sum("_n").alias("rows"), F.sum(w).alias("w"), F.sum(w * F.col("_y")).alias("wy")
         )
         point = F.struct(F.col("_x").alias("x"), "rows", "w", "wy")
         fits = materialize(
@@ -246,12 +249,10 @@ def lowess_trend(
             break
         residual = F.abs(F.col("_y") - F.col("fit")).alias("_r")
         here = fits.select(KEY, F.col("x").alias("_x"), "fit")
-        fitted = materialize(
-            join_parameters(rows, here, [KEY, "_x"], table_bytes(here)).select(
-                KEY, "_x", "_y", residual
-            )
+        fitted = join_parameters(rows, here, [KEY, "_x"], table_bytes(here)).select(
+            KEY, "_x", "_y", "_n", residual
         )
-        medians = measured_quantiles(fitted, "_r", [0.5], [KEY], "m", n_rows).select(
+        medians = exact_quantiles(fitted, "_r", [0.5], [KEY], "m", times="_n").select(
             KEY, F.get("m", F.lit(0)).alias("m")
         )
         u = F.when(
@@ -260,6 +261,6 @@ def lowess_trend(
         bisquare = (F.lit(1.0) - u * u) * (F.lit(1.0) - u * u)
         weight = F.when(u >= 0.999, F.lit(0.0)).when(u <= 0.001, F.lit(1.0)).otherwise(bisquare)
         weighted = join_group_values(fitted, medians, [KEY]).select(
-            KEY, "_x", "_y", weight.alias("_w")
+            KEY, "_x", "_y", "_n", weight.alias("_w")
         )
     return fits.select(*group_columns(by), F.col("x").alias(x), "fit")

@@ -14,7 +14,7 @@ from ..functions.binning import Bins
 from ..functions.probability import number
 from ..session import materialize
 from .keys import KEY, group_columns, group_key, join_parameters, table_bytes
-from .running import exact_quantiles
+from .running import quantiles_of_counts
 
 _COMPARED_BINS = 64
 
@@ -102,34 +102,44 @@ def grouped_equal_frequency_stats(
 ) -> DataFrame:
     """``_g, bin`` and the statistics of each non-empty equal-frequency bin.
 
-    The first pass ranks the distinct probabilities of a group and leaves its exact,
-    linearly interpolated quantiles, equal ones merged. The second pass reads the rows
-    against that small table and shuffles one row per group, bin and map task.
+    The source is read once, into one row per group and distinct probability. Ranking these
+    leaves exact, linearly interpolated quantiles per group, equal ones merged, against
+    which the same narrow table is then binned.
     """
     if n_bins < 1:
         raise ValueError("n_bins must be positive")
-    quantiles = exact_quantiles(df, p, np.linspace(0.0, 1.0, n_bins + 1), by, "_edges")
+    label = F.col("_y")
+    scores = materialize(
+        df.select(group_key(by), number(y).alias("_y"), number(p).alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .groupBy(KEY, "_v")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count(label).alias("ny"),
+            F.sum(label).alias("sy"), F.sum(label * label).alias("syy"),
+        )
+    )
+    fractions = np.linspace(0.0, 1.0, n_bins + 1)
+    quantiles = quantiles_of_counts(scores.select(KEY, "_v", "n"), fractions, by, "_edges")
     edges = materialize(
-        quantiles.select(*by, F.array_distinct("_edges").alias("_edges"))
+        quantiles.select(group_key(by), F.array_distinct("_edges").alias("_edges"))
         # One distinct edge bounds no bin at all.
         .where(F.size("_edges") >= 2)
     )
-    rows = df.select(*by, number(y).alias("_y"), number(p).alias("_p")).where(
-        F.col("_p").isNotNull()
-    )
-    below = _edges_below(F.col("_p"), F.col("_edges"), n_bins)
+    below = _edges_below(F.col("_v"), F.col("_edges"), n_bins)
+    n = F.sum("ny")
+    spread = F.greatest(F.sum("syy") - F.try_divide(F.sum("sy") * F.sum("sy"), n), F.lit(0.0))
     return (
-        join_parameters(rows, edges, by, table_bytes(edges, arrays=["_edges"]))
+        join_parameters(scores, edges, [KEY], table_bytes(edges, arrays=["_edges"]))
         .where(F.col("_edges").isNotNull())
         # Bins hold their upper edge; the lowest value joins the first bin.
-        .groupBy(group_key(by), F.greatest(below - 1, F.lit(0)).alias("bin"))
+        .groupBy(KEY, F.greatest(below - 1, F.lit(0)).alias("bin"))
         .agg(
-            F.avg("_y").alias("mean_y"),
-            F.stddev_samp("_y").alias("std_y"),
-            F.avg("_p").alias("mean_conf"),
-            F.count("_y").alias("n"),
-            F.min("_p").alias("start"),
-            F.max("_p").alias("end"),
+            F.try_divide(F.sum("sy"), n).alias("mean_y"),
+            F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_y"),
+            (F.sum(F.col("_v") * F.col("n")) / F.sum("n")).alias("mean_conf"),
+            n.alias("n"),
+            F.min("_v").alias("start"),
+            F.max("_v").alias("end"),
         )
         .withColumn("width", F.col("end") - F.col("start"))
     )

@@ -19,8 +19,11 @@ from ..functions.probability import number
 from .keys import KEY, group_columns, group_key
 from .running import bucket
 
-# Slices per unit of the value axis, as a power of two.
-SLICE_BITS = 8
+# Slices per unit of the value axis, as powers of two: blocks of fine slices are pooled
+# again in coarser ones before those of a group meet.
+SLICE_BITS = (8, 2)
+# Blocks at the end of an open key that are pooled with the next batch at first.
+_TAIL = 64
 # Rounds of whole-array pooling before the block-by-block pass takes over.
 _ROUNDS = 64
 
@@ -28,14 +31,16 @@ _ROUNDS = 64
 def pool(
     first: np.ndarray, total: np.ndarray, count: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pool neighbours whose means decrease; ``first`` marks where a new group starts.
+    """Pool neighbours whose means do not increase; ``first`` marks where a new group starts.
+
+    Equal means become one block too, which leaves the fit as it is.
 
     Returns the start position, total and count of each block.
     """
     starts = np.arange(len(total))
     for _ in range(_ROUNDS):
         mean = total / count
-        joins = np.flatnonzero((mean[:-1] > mean[1:]) & ~first[1:])
+        joins = np.flatnonzero((mean[:-1] >= mean[1:]) & ~first[1:])
         if not len(joins):
             return starts, total, count
         keep = np.delete(np.arange(len(total)), joins + 1)
@@ -44,7 +49,7 @@ def pool(
     blocks: list[list] = []
     for begins, at, t, n in zip(first, starts, total, count):
         blocks.append([begins, at, t, n])
-        while not blocks[-1][0] and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
+        while not blocks[-1][0] and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
             _, _, t_last, n_last = blocks.pop()
             blocks[-1][2] += t_last
             blocks[-1][3] += n_last
@@ -52,42 +57,56 @@ def pool(
     return np.array(at), np.array(t), np.array(n)
 
 
+def _pool_table(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Blocks of sorted rows, where each starts, and the key of each."""
+    table = table.combine_chunks()
+    key = table["_k"].to_numpy()
+    first = np.r_[True, key[1:] != key[:-1]]
+    starts, total, count = pool(first, table["total"].to_numpy(), table["count"].to_numpy())
+    at, ends = pa.array(starts), pa.array(np.r_[starts[1:], len(key)] - 1)
+    pooled = pa.Table.from_arrays(
+        [
+            table[KEY].take(at),
+            table["_k"].take(at),
+            table["lo"].take(at),
+            table["hi"].take(ends),
+            pa.array(total, pa.float64()),
+            pa.array(count, pa.float64()),
+        ],
+        schema=table.schema,
+    )
+    return pooled, starts, key[starts]
+
+
 def pool_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pool sorted batches of ``_g, _k, lo, hi, total, count`` per key ``_k``.
 
-    Only the blocks of the key still open are held from one batch to the next.
+    Only the blocks of the key still open are held from one batch to the next, and only
+    as many of the last ones are pooled again as the new batch can reach.
     """
     held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        table = table.combine_chunks()
-        key = table["_k"].to_numpy()
-        first = np.r_[True, key[1:] != key[:-1]]
-        starts, total, count = pool(
-            first, table["total"].to_numpy(), table["count"].to_numpy()
-        )
-        ends = np.r_[starts[1:], len(key)] - 1
-        pooled = pa.Table.from_arrays(
-            [
-                table[KEY].take(pa.array(starts)),
-                table["_k"].take(pa.array(starts)),
-                table["lo"].take(pa.array(starts)),
-                table["hi"].take(pa.array(ends)),
-                pa.array(total, pa.float64()),
-                pa.array(count, pa.float64()),
-            ],
-            schema=table.schema,
-        )
-        closed = int(np.flatnonzero(key[starts] != key[-1]).max(initial=-1)) + 1
+        new, tail = pa.Table.from_batches([batch]), _TAIL
+        while True:
+            cut = 0 if held is None else max(0, held.num_rows - tail)
+            joined = new if held is None else pa.concat_tables([held.slice(cut), new])
+            pooled, starts, key = _pool_table(joined)
+            # The first block again as it was: nothing before it can change either.
+            if cut == 0 or (len(starts) > 1 and starts[1] == 1):
+                break
+            tail *= 8
+        closed = int(np.flatnonzero(key != key[-1]).max(initial=-1)) + 1
+        settled = [] if held is None else [held.slice(0, cut)]
         if closed:
-            yield from pooled.slice(0, closed).combine_chunks().to_batches()
-        held = pooled.slice(closed)
+            for part in [*settled, pooled.slice(0, closed)]:
+                yield from part.to_batches()
+            held = pooled.slice(closed)
+        else:
+            held = pa.concat_tables([*settled, pooled])
     if held is not None:
-        yield from held.combine_chunks().to_batches()
+        yield from held.to_batches()
 
 
 def _pooled(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,9 +134,11 @@ def isotonic_knots(df: DataFrame, y: str, score: Column, by: Sequence[str]) -> D
         .groupBy(KEY, "_p")
         .agg(F.sum("_y").alias("total"), F.count(F.lit(1)).cast("double").alias("count"))
         .select(KEY, F.col("_p").alias("lo"), F.col("_p").alias("hi"), "total", "count")
-        .withColumn("_slice", bucket(F.col("lo"), SLICE_BITS))
     )
-    blocks = _pooled(_pooled(points, [KEY, "_slice"]), [KEY])
+    blocks = points
+    for bits in SLICE_BITS:
+        blocks = _pooled(blocks.withColumn("_slice", bucket(F.col("lo"), bits)), [KEY, "_slice"])
+    blocks = _pooled(blocks, [KEY])
     ends = F.when(
         F.col("lo") == F.col("hi"), F.array("lo")
     ).otherwise(F.array("lo", "hi"))

@@ -18,8 +18,6 @@ KEY = "_g"
 
 # A table of fitted parameters is broadcast up to this many bytes.
 BROADCAST_BYTES = 64 << 20
-# Beyond it, rows of one group are spread over this many salts.
-SALTS = 64
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -50,21 +48,15 @@ def join_parameters(
 
     ``size`` is the measured size of ``parameters``. Up to ``limit`` they are
     broadcast and ``df`` is not shuffled. Beyond it both sides are shuffled on the
-    group and a salt, so that one hot group is spread over many tasks.
+    group; adaptive execution splits the partition of a hot group, whatever its rows
+    hold and however they repeat.
     """
     keyed = df.withColumn("_gl", group_key(by))
     right = parameters.select(
         group_key(by).alias("_gp"), *[c for c in parameters.columns if c not in by]
     )
-    if size <= limit:
-        joined = keyed.join(F.broadcast(right), F.col("_gl") == F.col("_gp"), "left")
-        return joined.drop("_gl", "_gp")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    salted = right.withColumn("_sp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = keyed.withColumn("_s", salt).join(
-        salted, (F.col("_gl") == F.col("_gp")) & (F.col("_s") == F.col("_sp")), "left"
-    )
-    return joined.drop("_gl", "_gp", "_s", "_sp")
+    right = F.broadcast(right) if size <= limit else right.hint("merge")
+    return keyed.join(right, F.col("_gl") == F.col("_gp"), "left").drop("_gl", "_gp")
 
 
 def join_group_values(df: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:

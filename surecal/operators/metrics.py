@@ -72,21 +72,34 @@ def negative_log_likelihood(
 
 
 def scored_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
-    """One row per group and distinct score, with its positives and negatives.
+    """One row per group and distinct score, a missing one included, with its labels.
 
-    Both ranking metrics and every binned one follow from this table. Rows without
-    score or label are left out.
+    ``pos`` and ``neg`` count labelled rows with that score, ``unlabelled`` rows with that
+    score alone. In the row of the missing score these are 0, so that it ranks nowhere, and
+    ``pos_unscored`` and ``rest`` count its positives and its rows. Every group has a row,
+    and both ranking metrics and every binned one follow from this table.
     """
-    label = F.col("_y")
-    checked = F.when(label.isin(0.0, 1.0), label.cast("long")).otherwise(
-        F.raise_error(F.lit("labels must be 0 or 1")).cast("long")
+    label, scored = F.col("_y"), F.col("_p").isNotNull()
+    checked = F.when(label.isNull() | label.isin(0.0, 1.0), label).otherwise(
+        F.raise_error(F.lit("labels must be 0 or 1")).cast("double")
     )
+
+    def rows(condition: Column, name: str) -> Column:
+        return F.count(F.when(condition, 1)).alias(name)
+
+    labelled = label.isNotNull()
     return (
         df.select(group_key(by), number(y).alias("_y"), number(p).alias("_p"))
-        .where(label.isNotNull() & F.col("_p").isNotNull())
+        .withColumn("_y", checked)
         .groupBy(KEY, "_p")
-        .agg(F.sum(checked).alias("pos"), F.count(F.lit(1)).alias("n"))
-        .select(KEY, "_p", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+        .agg(
+            rows(scored & (label == 1.0), "pos"),
+            rows(scored & (label == 0.0), "neg"),
+            rows(scored & ~labelled, "unlabelled"),
+            rows(~scored & (label == 1.0), "pos_unscored"),
+            rows(~scored & labelled, "labelled_unscored"),
+            rows(~scored, "rest"),
+        )
     )
 
 
@@ -104,12 +117,15 @@ def _ap_term() -> Column:
     """Precision at this score times the positives found there."""
     hits = (F.col("pos_total") - F.col("pos_before")).cast("double")
     alarms = (F.col("neg_total") - F.col("neg_before")).cast("double")
-    return F.col("pos").cast("double") * hits / (hits + alarms)
+    return F.coalesce(F.try_divide(F.col("pos").cast("double") * hits, hits + alarms), F.lit(0.0))
 
 
 def _auc(terms: Column) -> Column:
+    # Always true, but it keeps both running totals in use: were one of them pruned, the
+    # branches of the ranking would differ and the source would be read once for each.
+    ranked = F.max("pos_before") >= 0
     pairs = F.max("pos_total").cast("double") * F.max("neg_total").cast("double")
-    return F.when(pairs > 0, terms / pairs)
+    return F.when((pairs > 0) & ranked, terms / pairs)
 
 
 def _average_precision(terms: Column) -> Column:
@@ -151,19 +167,25 @@ def calculate_metrics(
     """Brier score, ROC AUC, average precision, ECE and accuracy from one scan.
 
     Everything is a sum over the distinct scores of a group, so the score table is
-    built and ranked once.
+    built and ranked once. Each metric takes the rows that the single function takes:
+    accuracy all labels, ECE the confidences and labels of each bin, the others rows with
+    both. Every group has a row; ``n_rows`` counts its rows and ``n`` those with both.
     """
     bins = Bins.of(equal_width_edges(n_bins))
     score, pos, neg = F.col("_p"), F.col("pos"), F.col("neg")
-    n = pos + neg
+    n, confident = pos + neg, pos + neg + F.col("unlabelled")
     per_bin = (
         _ranked(df, y, p, by)
         .withColumn("bin_idx", bins.index_of(score))
         .groupBy(KEY, "bin_idx")
         .agg(
             F.sum(n).alias("n"),
+            F.sum(confident + F.col("rest")).alias("n_rows"),
+            F.sum(confident).alias("n_conf"),
             F.sum(pos).alias("n_pos"),
-            F.sum(score * n).alias("sum_p"),
+            F.sum("pos_unscored").alias("pos_unscored"),
+            F.sum("labelled_unscored").alias("labelled_unscored"),
+            F.sum(score * confident).alias("sum_p"),
             F.sum(
                 pos * (score - F.lit(1.0)) * (score - F.lit(1.0)) + neg * score * score
             ).alias("brier"),
@@ -171,25 +193,28 @@ def calculate_metrics(
             F.sum(_ap_term()).alias("ap"),
             F.max("pos_total").alias("pos_total"),
             F.max("neg_total").alias("neg_total"),
+            F.max("pos_before").alias("pos_before"),
         )
     )
-    binned = F.col("bin_idx").isNotNull()
-    rows = F.sum("n")
+    used = F.col("bin_idx").isNotNull() & (F.col("n") > 0)
+    gap = F.abs(F.try_divide("sum_p", "n_conf") - F.try_divide("n_pos", "n"))
     return (
         per_bin.groupBy(KEY)
         .agg(
-            (F.sum("brier") / rows).alias("brier_score"),
+            F.try_divide(F.sum("brier"), F.sum("n")).alias("brier_score"),
             _auc(F.sum("auc")).alias("roc_auc"),
             _average_precision(F.sum("ap")).alias("average_precision"),
             F.coalesce(
                 F.try_divide(
-                    F.sum(F.when(binned, F.abs(F.col("sum_p") - F.col("n_pos")))),
-                    F.sum(F.when(binned, F.col("n"))),
+                    F.sum(F.when(used, F.col("n") * gap)), F.sum(F.when(used, F.col("n")))
                 ),
                 F.lit(0.0),
             ).alias("ece"),
-            (F.sum("n_pos") / rows).alias("accuracy"),
-            rows.alias("n"),
+            F.try_divide(
+                F.sum(F.col("n_pos") + F.col("pos_unscored")), F.sum(F.col("n") + F.col("labelled_unscored"))
+            ).alias("accuracy"),
+            F.sum("n").alias("n"),
+            F.sum("n_rows").alias("n_rows"),
         )
         .select(
             *group_columns(by),
@@ -199,5 +224,6 @@ def calculate_metrics(
             "ece",
             "accuracy",
             "n",
+            "n_rows",
         )
     )

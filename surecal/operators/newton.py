@@ -9,6 +9,7 @@ the error, one or two of them suffice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,12 +89,13 @@ def solve_cells(
 
 
 def _first_guess(rows: DataFrame, by: Sequence[str], slope_only: bool) -> DataFrame:
+    n = F.sum("n").cast("double")
     cells = (
         rows.groupBy("_g", F.floor(F.col("z") * F.lit(float(1 << CELL_BITS))).alias("cell"))
         .agg(
-            F.avg("z").alias("z"),
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum("y").alias("pos"),
+            (F.sum(F.col("z") * F.col("n")) / n).alias("z"),
+            n.alias("n"),
+            F.sum("pos").alias("pos"),
         )
         # The clipped range of z bounds the cells of a group, however many rows it has.
         .groupBy("_g")
@@ -119,19 +121,20 @@ def _first_guess(rows: DataFrame, by: Sequence[str], slope_only: bool) -> DataFr
 def _improved(
     rows: DataFrame, line: DataFrame, by: Sequence[str], size: int, slope_only: bool
 ) -> DataFrame:
-    """One exact Newton step per group."""
-    fitted = join_parameters(rows, line.select(*by, "a", "b"), by, size, BROADCAST_BYTES)
-    z = F.col("z")
+    """One exact Newton step for each group of ``line``; other groups are left out."""
+    open_ = line.select(group_key(by), "a", "b", F.lit(True).alias("open"))
+    fitted = join_parameters(rows, open_, ["_g"], size, BROADCAST_BYTES).where("open")
+    z, n, residual = F.col("z"), F.col("n"), F.col("n") * F.col("s") - F.col("pos")
     s = sigmoid(F.col("a") * z + F.col("b"))
     sums = (
         fitted.withColumn("s", s)
-        .withColumn("w", F.col("s") * (F.lit(1.0) - F.col("s")))
-        .groupBy(group_key(by))
+        .withColumn("w", n * F.col("s") * (F.lit(1.0) - F.col("s")))
+        .groupBy("_g")
         .agg(
             F.first("a").alias("a"),
             F.first("b").alias("b"),
-            F.sum((F.col("s") - F.col("y")) * z).alias("g1"),
-            F.sum(F.col("s") - F.col("y")).alias("g0"),
+            F.sum(residual * z).alias("g1"),
+            F.sum(residual).alias("g0"),
             F.sum(F.col("w") * z * z).alias("h11"),
             F.sum(F.col("w") * z).alias("h10"),
             F.sum("w").alias("h00"),
@@ -169,16 +172,26 @@ def fit_logit_line(
 ) -> tuple[DataFrame, int]:
     """``by, a, b, converged`` and the measured size of that table in bytes.
 
-    Only a count and the largest step reach the driver.
+    The source is read once: rows that agree in group and ``z`` become one row of a narrow
+    table, on which all passes run. Groups that have settled leave. Only a count reaches
+    the driver.
     """
-    rows = train.select(*by, z.alias("z"), number(y).alias("y")).where(
-        F.col("z").isNotNull() & F.col("y").isNotNull()
+    rows = materialize(
+        train.select(group_key(by), z.alias("z"), number(y).alias("y"))
+        .where(F.col("z").isNotNull() & F.col("y").isNotNull())
+        .groupBy("_g", "z")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     )
-    line = materialize(_first_guess(rows.withColumn("_g", group_key(by)), by, slope_only))
-    size = line.count() * _ROW_BYTES
-    for _ in range(MAX_PASSES):
-        line = materialize(_improved(rows, line, by, size, slope_only))
-        largest = line.agg(F.max("moved")).first()[0]
-        if largest is None or largest <= STEP_TOLERANCE:
+    open_ = materialize(_first_guess(rows, by, slope_only))
+    size = open_.count() * _ROW_BYTES
+    done = []
+    for left in range(MAX_PASSES, 0, -1):
+        stepped = materialize(_improved(rows, open_, by, size, slope_only))
+        # Groups without a fit have no step.
+        moving = F.coalesce(F.col("moved") > STEP_TOLERANCE, F.lit(False))
+        open_ = stepped.where(moving)
+        if left == 1 or not open_.head(1):
+            done.append(stepped)
             break
-    return line.select(*by, "a", "b", "converged"), size
+        done.append(stepped.where(~moving))
+    return reduce(DataFrame.unionByName, done).select(*by, "a", "b", "converged"), size

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Up to this many rows are taken by a top-n; beyond it, by index.
-TOP_N_ROWS = 100_000
-
-
 def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "index") -> DataFrame:
     """Add the 0-based position of each row in the order of ``order_by``.
 
@@ -44,9 +40,8 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], out: str = "index") -
 
 
 def head_n(df: DataFrame, order_by: Sequence[str], n: int | None) -> DataFrame:
-    """The first ``n`` rows in the order of ``order_by``; all of them for 0 or None."""
-    if not n:
-        return df
-    if n <= TOP_N_ROWS:
-        return df.orderBy(*order_by).limit(n)
-    return with_row_index(df, order_by, "_index").where(F.col("_index") < n).drop("_index")
+    """The first ``n`` rows in the order of ``order_by``; all of them for 0 or None.
+
+    ``order_by`` should tell rows apart: among rows it ties, any may come first.
+    """
+    return df.orderBy(*order_by).limit(n) if n else df

@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.probability import number
 from .keys import KEY, group_columns, group_key
 
-# Up to this many rows, a quantile is taken by the built-in aggregate, which holds a
-# group's distinct values in one buffer.
-SMALL_ROWS = 1_000_000
-
 # Buckets per unit of the axis, as powers of two, from coarse to fine.
 LEVELS = (6, 22)
 
@@ -182,22 +178,38 @@ def with_quantiles(ranked: DataFrame, value: str, fractions: Sequence[float]) ->
     return counted_up.withColumn("settled", settled)
 
 
-def counted(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """One row per group and distinct value, with its count; the value is not missing."""
+def counted(df: DataFrame, value: str, by: Sequence[str], times: str | None = None) -> DataFrame:
+    """One row per group and distinct value, with its count; the value is not missing.
+
+    ``times`` names a BIGINT column that tells how many rows each row stands for.
+    """
+    rows = F.count(F.lit(1)) if times is None else F.sum("_times")
     return (
-        df.select(group_key(by), number(value).alias("_v"))
+        df.select(group_key(by), number(value).alias("_v"), *([F.col(times).alias("_times")] if times else []))
         .where(F.col("_v").isNotNull())
         .groupBy(KEY, "_v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(rows.alias("n"))
     )
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q"
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    name: str = "q",
+    times: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``by`` plus ``name`` (an array)."""
+    return quantiles_of_counts(counted(df, value, by, times), probs, by, name)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, probs: Sequence[float], by: Sequence[str], name: str = "q"
+) -> DataFrame:
+    """:func:`exact_quantiles` of what :func:`counted` gives."""
     fractions = quantile_fractions(probs)
-    ranked = running_totals(counted(df, value, by), "_v", ["n"])
+    ranked = running_totals(counts, "_v", ["n"])
     settled = with_quantiles(ranked, "_v", fractions).select(KEY, F.explode("settled").alias("s"))
     # At most one row per group and quantile is left here.
     return (
@@ -205,20 +217,3 @@ def exact_quantiles(
         .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["q"]).alias(name))
         .select(*group_columns(by), name)
     )
-
-
-def measured_quantiles(
-    table: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str],
-    name: str = "q",
-    rows: int | None = None,
-) -> DataFrame:
-    """:func:`exact_quantiles` of a materialized table, by its measured number of rows."""
-    if (table.count() if rows is None else rows) > SMALL_ROWS:
-        return exact_quantiles(table, value, probs, by, name)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return table.where(number(value).isNotNull()).groupBy(*by).agg(
-        F.percentile(number(value), wanted).alias(name)
-    )

@@ -36,6 +36,16 @@ SELECT event_id, event_type AS dataset,
 FROM {events}
 """
 
+# Missing labels and scores of both kinds, and one dataset that never states a score.
+PRED_MISSING = """
+SELECT event_type AS dataset, CAST(user_id % 3 AS STRING) AS prompt,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST((event_id*31 + user_id*1777) % 2 AS INT) END AS y_true,
+       CASE WHEN event_type = 'view' OR event_id % 11 = 0 THEN NULL
+            WHEN event_id % 17 = 0 THEN CAST('NaN' AS DOUBLE)
+            ELSE CAST((event_id*7919 + user_id*104729) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) END AS y_prob
+FROM {events}
+"""
+
 # Many small runs: five datasets, four models, three prompts.
 PRED_RUNS = """
 SELECT event_type AS dataset,

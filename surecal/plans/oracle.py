@@ -6,13 +6,19 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from ..functions.binning import Bins
-from ..functions.extraction import ANSWER_PATTERNS, CONFIDENCE_PATTERNS
-from ..functions.prompts import ARC_ANSWER_PREFIX, GSM8K_ANSWER_PREFIX
-from ..operators.analysis import MODEL_SIZES
-from ..operators.running import quantile_fractions
 from . import fixtures
 
+# Written out here, not taken from the library, so that a wrong value there shows.
+DEFAULT_EDGES = np.linspace(0.0, 1.0, 11).tolist()
+MODEL_SIZES = [("gpt-4o-mini", 8), ("gpt-4o", 200), ("Llama-3.3-70B", 70), ("DeepSeek-V3", 37)]
+# The patterns and prefixes the definitions name.
+ANSWER_PATTERNS = [r'"answer"\s*:\s*"?([^",}]+)"?', r'answer\s*[:=]\s*"?([^",}\n]+)"?']
+CONFIDENCE_PATTERNS = [
+    r'"confidence"\s*:\s*([0-9]*\.?[0-9]+)', r"confidence\s*[:=]\s*([0-9]*\.?[0-9]+)",
+]
+GSM8K_ANSWER_PREFIX = '{\n  "answer": '
+ARC_ANSWER_PREFIX = '{\n    "answer": "'
+
 RUN = ["dataset", "model", "prompt"]
 
 
@@ -20,6 +26,8 @@ def _sql(text: str) -> str:
     return fixtures.plain_sql(text)
 
 
+MISSING = f"""SELECT dataset, prompt, y_true, CASE WHEN NOT isnan(y_prob) THEN y_prob END AS y_prob
+FROM ({_sql(fixtures.PRED_MISSING)}) m"""
 LINEITEM, EVENTS = _sql(fixtures.PRED_LINEITEM), _sql(fixtures.PRED_EVENTS)
 RUNS, LABELS = _sql(fixtures.PRED_RUNS), _sql(fixtures.PRED_LABELS)
 
@@ -41,6 +49,10 @@ def r9(expression: str, name: str) -> str:
     return f"round(CAST({expression} AS DOUBLE), 9) + 0.0 AS {name}"
 
 
+def labels_of(edges: Sequence[float]) -> list[str]:
+    return [f"{a:.3f}-{b:.3f}" for a, b in zip(edges, edges[1:])]
+
+
 def cols(by: Sequence[str], prefix: str = "") -> str:
     return "".join(f"{prefix}{c}, " for c in by)
 
@@ -69,14 +81,14 @@ def bin_of(p: str, edges: Sequence[float]) -> str:
 def bin_table(edges: Sequence[float]) -> str:
     rows = ", ".join(
         f"({i}, '{label}', {num((a + b) / 2.0)}, {num(a)}, {num(b)}, {num(b - a)})"
-        for i, (label, a, b) in enumerate(zip(Bins.of(edges).labels, edges, edges[1:]))
+        for i, (label, a, b) in enumerate(zip(labels_of(edges), edges, edges[1:]))
     )
     return f"(VALUES {rows}) AS t(bin_idx, bin, mid, \"start\", \"end\", width)"
 
 
 def bin_ctes(source: str, by: Sequence[str], edges: Sequence[float] | None = None) -> str:
     """CTEs ending in ``bs``: every bin of every group."""
-    edges = list(Bins.of(edges).edges)
+    edges = list(DEFAULT_EDGES if edges is None else edges)
     return f"""
 src AS ({source}),
 ag AS (SELECT {cols(by)} {bin_of('y_prob', edges)} AS bin_idx, avg(y_true) AS mean_y,
@@ -139,14 +151,15 @@ def metric_ctes(source: str, by: Sequence[str]) -> str:
     """CTE ``mt``: all metrics per group."""
     return f"""{ece_ctes(source, by)},{rank_ctes(source, by)},
 ba AS (SELECT {cols(by)} avg((y_prob - y_true) * (y_prob - y_true)) AS brier_score,
-         avg(y_true) AS accuracy, count(*) AS n FROM es {group(by)}),
-mt AS (SELECT ba.*, ece.ece, rk.roc_auc, rk.average_precision
-       FROM ba JOIN ece ON {on(by, 'ba', 'ece')} JOIN rk ON {on(by, 'ba', 'rk')})"""
+         avg(y_true) AS accuracy, count(*) FILTER (y_prob IS NOT NULL AND y_true IS NOT NULL) AS n,
+         count(*) AS n_rows FROM es {group(by)}),
+mt AS (SELECT ba.*, ece.ece, rk.roc_auc, coalesce(rk.average_precision, 0) AS average_precision
+       FROM ba JOIN ece ON {on(by, 'ba', 'ece')} LEFT JOIN rk ON {on(by, 'ba', 'rk')})"""
 
 
 METRIC_COLUMNS = ", ".join(
     [r9(c, c) for c in ("brier_score", "roc_auc", "average_precision", "ece", "accuracy")]
-    + ["CAST(n AS BIGINT) AS n"]
+    + ["CAST(n AS BIGINT) AS n", "CAST(n_rows AS BIGINT) AS n_rows"]
 )
 
 
@@ -171,7 +184,7 @@ LOGIT = f"ln({CLIPPED} / (1e0 - {CLIPPED}))"
 
 def eqfreq_ctes(source: str, by: Sequence[str], n_bins: int = 10) -> str:
     """CTE ``eq``: statistics of each equal-frequency bin."""
-    fractions = quantile_fractions(np.linspace(0, 1, n_bins + 1))
+    fractions = (np.linspace(0, 1, n_bins + 1) * 100.0 / 100.0).tolist()
     values = ", ".join(f"({j}, {num(q)})" for j, q in enumerate(fractions))
     stats = "avg(y_true) AS mean_y, stddev_samp(y_true) AS std_y, avg(y_prob) AS mean_conf"
     return f"""
@@ -249,7 +262,7 @@ FROM ip GROUP BY dataset, i"""
 
 def histogram(by: Sequence[str], train_filter: str = "TRUE") -> str:
     train = f"SELECT * FROM ({EVENTS}) e WHERE split = 'train' AND ({train_filter})"
-    edges = list(Bins.of().edges)
+    edges = DEFAULT_EDGES
     return f"""WITH {bin_ctes(train, by)},
 kn AS (SELECT {cols(by)} mid AS kx, mean_y AS ky FROM bs WHERE mean_y IS NOT NULL),
 kc AS (SELECT {cols(by)} count(*) AS known FROM kn {group(by)}),
@@ -317,7 +330,7 @@ FROM te LEFT JOIN fit ON {on(by, 'te', 'fit')}"""
 
 
 def with_sizes() -> str:
-    values = ", ".join(f"({quoted(m)}, {s})" for m, s in MODEL_SIZES.items())
+    values = ", ".join(f"({quoted(m)}, {s})" for m, s in MODEL_SIZES)
     return f"""{metric_ctes(RUNS, RUN)},
 sz AS (SELECT mt.*, t.model_size FROM mt JOIN (VALUES {values}) AS t(model, model_size)
        ON mt.model = t.model)"""
@@ -462,8 +475,8 @@ def log_softmax(vector: str, index: str) -> str:
 def oracle_sql() -> dict[str, str]:
     by2 = ["dataset", "model"]
     prefix_math, prefix_choice = quoted(GSM8K_ANSWER_PREFIX), quoted(ARC_ANSWER_PREFIX)
-    moved_bins = bin_of("(y_prob * 1.25e0 - 0.125e0)", list(Bins.of().edges))
-    labels = "[" + ", ".join(quoted(x) for x in Bins.of().labels) + "]"
+    moved_bins = bin_of("(y_prob * 1.25e0 - 0.125e0)", DEFAULT_EDGES)
+    labels = "[" + ", ".join(quoted(x) for x in labels_of(DEFAULT_EDGES)) + "]"
     sized = with_sizes()
     gsm8k = """SELECT concat('run_', user_id % 3) AS run_id, event_id AS "index",
   event_type AS question, CAST(user_id AS VARCHAR) AS answer,
@@ -494,6 +507,11 @@ FROM documents"""
         f"{r9('average_precision', 'average_precision')} FROM rk",
         "metrics_bundle": metrics(LINEITEM, RUN),
         "metrics_labels": metrics(LABELS, ["lang"]),
+        "metrics_bundle_missing": metrics(MISSING, ["dataset", "prompt"]),
+        "ece_missing": f"WITH {ece_ctes(MISSING, ['dataset', 'prompt'])} "
+        f"SELECT dataset, prompt, {r9('ece', 'ece')} FROM ece",
+        "bin_stats_missing": bin_stats(MISSING, ["dataset"]),
+        "eqfreq_missing": eqfreq(f"SELECT * FROM ({MISSING}) q WHERE y_prob IS NOT NULL", ["dataset"]),
         "nll": simple_mean(LINEITEM, RUN, loss(CLIPPED), "nll", r6),
         "nll_given_log_t": simple_mean(
             LINEITEM, RUN, loss(f"(1e0 / (1e0 + exp(-({LOGIT} / exp(0.4e0)))))"), "nll", r6
@@ -572,9 +590,9 @@ SELECT vec_id, CAST(step AS BIGINT) AS step, {r6(log_softmax('x', 't'), 'logprob
   ELSE concat(chr(10), 'A. ', lang, chr(10), 'B. ', source, chr(10), 'C. ', n_chars) END) AS prompt
 FROM documents""",
         "chat_messages": """SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos,
-  CASE pos WHEN 0 THEN 'system' ELSE 'user' END AS role,
+  CASE pos WHEN 0 THEN 'system' ELSE role END AS role,
   CASE pos WHEN 0 THEN 'Answer in JSON.' ELSE text END AS content
-FROM conversations CROSS JOIN range(2) AS t(pos) WHERE role = 'user'""",
+FROM conversations CROSS JOIN range(2) AS t(pos)""",
         "continuation_prompt": f"""SELECT conv_id, turn,
   concat(text, CASE WHEN turn % 2 = 0 THEN concat(role, chr(10), chr(10)) ELSE '' END, {prefix_math}) AS math,
   concat(text, CASE WHEN turn % 2 = 0 THEN concat(role, chr(10), chr(10)) ELSE '' END, {prefix_choice}) AS choice

@@ -121,6 +121,31 @@ def brier(spark, sf):
     return precise(metrics.brier_score(pred_lineitem(spark, sf), by=RUN))
 
 
+def pred_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.frame(spark, sf, fixtures.PRED_MISSING)
+
+
+@query
+def metrics_bundle_missing(spark, sf):
+    """All metrics where labels and scores are missing; every run has a row."""
+    return precise(metrics.calculate_metrics(pred_missing(spark, sf), by=["dataset", "prompt"]))
+
+
+@query
+def ece_missing(spark, sf):
+    return precise(metrics.expected_calibration_error(pred_missing(spark, sf), by=["dataset", "prompt"]))
+
+
+@query
+def bin_stats_missing(spark, sf):
+    return precise(bins.bin_stats(pred_missing(spark, sf), by=["dataset"]))
+
+
+@query
+def eqfreq_missing(spark, sf):
+    return precise(bins.equal_frequency_bin_stats(pred_missing(spark, sf), by=["dataset"]))
+
+
 @query
 def accuracy(spark, sf):
     return precise(metrics.accuracy(pred_lineitem(spark, sf), by=RUN))
@@ -482,10 +507,10 @@ def format_question(spark, sf):
 
 @query
 def chat_messages(spark, sf):
-    messages = prompts.chat_messages(F.lit("Answer in JSON."), "text")
+    """Every turn after a system message, with the role it has."""
+    messages = prompts.chat_messages(F.lit("Answer in JSON."), "text", "role")
     return (
         fixtures.table(spark, sf, "conversations")
-        .where(F.col("role") == "user")
         .select("conv_id", "turn", F.posexplode(messages).alias("pos", "m"))
         .select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content")
     )

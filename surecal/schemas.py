@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-PREDICTIONS = "gpt_eval double, confidence double"
 MANIFEST = "csv_file string, prompt string, dataset string, model string"
-MODEL_SIZES = "model string, model_size int"
 GSM8K_OUTPUTS = (
     "index bigint, question string, answer string, content string, thinking string, "
     "prediction string, logprobs array<double>, verb_conf double"
@@ -21,4 +19,3 @@ ARC_QUESTIONS = (
     "id string, question string, choices struct<text: array<string>, label: array<string>>, "
     "answerKey string"
 )
-GSM8K_QUESTIONS = "question string, answer string"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +16,17 @@ MISSING_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# A manifest naming up to this many runs is broadcast.
-BROADCAST_RUNS = 100_000
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per run from a JSON array of flat objects."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """One row per run from a JSON array of flat objects; a damaged file is an error.
+
+    All attributes are kept. The four known ones come first and are text, present or not;
+    others have the types that their values show.
+    """
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    known = [c.split()[0] for c in MANIFEST.split(", ")]
+    seen = reader.json(path)
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema if f.name not in known]
+    return reader.schema(", ".join([MANIFEST, *others])).json(path)
 
 
 def select_runs(manifest: DataFrame, **equal: str) -> DataFrame:
@@ -33,15 +36,18 @@ def select_runs(manifest: DataFrame, **equal: str) -> DataFrame:
     return manifest
 
 
-def _relative_path(base_dir: str) -> Column:
-    """Path of the scanned file below ``base_dir``.
+def _plain_path(path: Column | str) -> Column:
+    """A path without dot parts and doubled slashes."""
+    joined = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
+    return F.regexp_replace(F.regexp_replace(joined, "/+", "/"), "^/", "")
 
-    A run that Spark wrote is a folder of part files; its rows belong to the folder.
-    """
-    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", base_dir).rstrip("/")
+
+def _path_below(base_dir: str) -> Column:
+    """Path of the scanned file below ``base_dir``."""
+    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", base_dir)
+    base = re.sub(r"/+", "/", re.sub(r"/(\./)+", "/", base)).rstrip("/")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    below = F.substr(path, F.instr(path, base) + F.lit(len(base) + 1))
-    return F.regexp_replace(below, r"/part-[^/]*$", "")
+    return F.substr(path, F.instr(path, base) + F.lit(len(base) + 1))
 
 
 def _cell_number(text: Column) -> Column:
@@ -66,11 +72,13 @@ def read_predictions(
     """Label and confidence of every row of every run, with the run's attributes.
 
     ``manifest`` is filtered first: only the files it still names are opened, all in
-    one scan, and each row finds its run by the name of its file. With
-    ``same_header`` a file whose columns differ from the first one's is an error;
-    without, files are scanned once per distinct header.
+    one scan, and each row finds its run by the name of its file, or of the folder of part
+    files it lies in. A scanned file without a run is an error. With ``same_header`` a file
+    whose columns differ from the first one's is an error; without, one job reads the
+    headers, and files are scanned once per distinct header.
     """
-    names = sorted(r[0] for r in manifest.select("csv_file").distinct().collect())
+    manifest = manifest.withColumn("_name", _plain_path("csv_file"))
+    names = sorted(r[0] for r in manifest.select("_name").distinct().collect())
     paths = [f"{base_dir.rstrip('/')}/{name}" for name in names]
 
     def reader():
@@ -82,20 +90,10 @@ def read_predictions(
             .option("escape", '"')
         )
 
-    def columns(path: str) -> tuple[str, ...]:
-        return tuple(reader().csv(path).columns)
-
-    if same_header:
-        groups = [paths]
-    else:
-        with ThreadPoolExecutor(8) as workers:
-            headers = list(workers.map(columns, paths))
-        groups = [
-            [p for p, h in zip(paths, headers) if h == header] for header in dict.fromkeys(headers)
-        ]
+    groups = [paths] if same_header else _by_header(spark, paths)
     scans = [
         reader().csv(group).select(
-            _relative_path(base_dir).alias("_file"),
+            _path_below(base_dir).alias("_file"),
             _cell_number(F.col(label)).alias("y_true"),
             number(_cell_number(F.col(confidence))).alias("y_prob"),
         )
@@ -104,11 +102,35 @@ def read_predictions(
     rows = scans[0]
     for scan in scans[1:]:
         rows = rows.unionByName(scan)
-    runs = F.broadcast(manifest) if len(names) <= BROADCAST_RUNS else manifest
-    return (
-        rows.join(runs, F.col("_file") == F.col("csv_file"))
-        .select(*manifest.columns, "y_true", "y_prob")
+    # A run by the whole path of its file, or else by the folder of its part files.
+    runs = manifest.select("_name", F.struct(*[c for c in manifest.columns if c != "_name"]).alias("_run"))
+    folder = F.regexp_replace(F.col("_file"), r"/part-[^/]*$", "")
+    found = (
+        rows.join(runs.select(F.col("_name").alias("_a"), F.col("_run").alias("_of_file")),
+                  F.col("_file") == F.col("_a"), "left")
+        .join(runs.select(F.col("_name").alias("_b"), F.col("_run").alias("_of_folder")),
+              (folder == F.col("_b")) & F.col("_a").isNull(), "left")
+    )
+    run = F.coalesce("_of_file", "_of_folder")
+    checked = F.when(run.isNotNull(), run).otherwise(
+        F.raise_error(F.concat(F.lit("no run in the manifest for "), "_file")).cast(found.schema["_of_file"].dataType)
+    )
+    return found.select(checked.alias("_run"), "y_true", "y_prob").select("_run.*", "y_true", "y_prob")
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths grouped by the first line of their files, read in one job."""
+    lines = spark.read.text(paths).select(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.monotonically_increasing_id().alias("at"), "value",
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    # One row per file; its first line is that of its first block.
+    first = (
+        lines.groupBy("file").agg(F.min_by("value", F.struct("start", "at")).alias("header"))
+        .groupBy("header").agg(F.collect_list("file").alias("files"))
     )
+    return sorted(sorted(r.files) for r in first.collect())
 
 
 def run_id(timestamp: Column | str) -> Column:
@@ -126,10 +148,11 @@ def run_of_file() -> Column:
 def read_run_metadata(
     spark: SparkSession, out_dir: str, file_name: str = "metadata.json"
 ) -> DataFrame:
-    """One row per run from ``<run>/metadata.json``, with its ``run_id``."""
+    """One row per run from ``<run>/metadata.json``, with its ``run_id``; damage is an error."""
     return (
         spark.read.schema(RUN_METADATA)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .json(f"{out_dir.rstrip('/')}/*/{file_name}")
         .select(run_of_file().alias("run_id"), "*")
     )

@@ -14,7 +14,7 @@ from surecal.operators.analysis import (
     with_model_size,
     zscore,
 )
-from surecal.operators import running
+from surecal.operators.keys import join_parameters
 from surecal.operators.rows import head_n, with_row_index
 
 
@@ -30,8 +30,14 @@ def test_zscore_and_weights(spark):
     f = pd.concat([metric_frame(), pd.DataFrame({"dataset": ["solo"], "prompt": ["p"], "model_size": [8], "ece": [0.2], "brier_score": [0.1]})])
     df = with_group_size(zscore(spark.createDataFrame(f), ["ece", "brier_score"]))
     got = df.orderBy("dataset", "ece").toPandas()
-    want = f.assign(z=f.groupby("dataset").ece.transform(lambda x: (x - x.mean()) / x.std()),
-                    w=f.groupby("dataset").ece.transform("size")).sort_values(["dataset", "ece"])
+    want = f.sort_values(["dataset", "ece"]).assign(z=np.nan, w=0)
+    for name in set(want.dataset):
+        values = [v for d, v in zip(want.dataset, want.ece) if d == name]
+        mean, n = sum(values) / len(values), len(values)
+        spread = (sum((v - mean) ** 2 for v in values) / (n - 1)) ** 0.5 if n > 1 else np.nan
+        here = want.dataset == name
+        want.loc[here, "z"] = [(v - mean) / spread for v in values]
+        want.loc[here, "w"] = n
     np.testing.assert_allclose(got.ece_norm.astype(float), want.z, atol=1e-12)
     assert got.dataset_weight.tolist() == want.w.tolist()
     agg = weighted_mean(df, "ece", "dataset_weight", out="weighted_ece").toPandas().set_index("model_size")
@@ -60,13 +66,7 @@ def test_model_size_lookup(spark):
         with_model_size(bad, model_sizes(spark)).collect()
 
 
-@pytest.fixture(params=["built-in", "ranked"])
-def quantile_path(request, monkeypatch):
-    if request.param == "ranked":
-        monkeypatch.setattr(running, "SMALL_ROWS", 0)
-
-
-def test_box_stats(spark, quantile_path):
+def test_box_stats(spark):
     f = metric_frame(n=200)
     df = spark.createDataFrame(f)
     got = box_stats(df, "brier_score").toPandas().set_index("model_size")
@@ -107,7 +107,7 @@ def brute_lowess(x, y, frac=2 / 3, it=3):
         robust = np.where(u >= 0.999, 0.0, np.where(u <= 0.001, 1.0, (1 - u ** 2) ** 2))
 
 
-def test_lowess(spark, quantile_path):
+def test_lowess(spark):
     rng = np.random.default_rng(2)
     f = pd.DataFrame({"model_size": rng.choice([8, 20, 37, 70, 120, 200], 80), "prompt": rng.choice(["p", "q"], 80)})
     f["ece"] = np.sin(f.model_size / 60) + rng.standard_t(2, 80) * 0.2
@@ -128,10 +128,14 @@ def test_row_index_and_head(spark):
     assert [got[i] for i in range(5000)] == keys
     assert sorted(r["k"] for r in head_n(df, ["k"], 10).collect()) == keys[:10]
     assert head_n(df, ["k"], None).count() == 5000
-    import surecal.operators.rows as rows
 
-    limit, rows.TOP_N_ROWS = rows.TOP_N_ROWS, 5
-    try:
-        assert sorted(r["k"] for r in head_n(df, ["k"], 10).collect()) == keys[:10]
-    finally:
-        rows.TOP_N_ROWS = limit
+
+def test_both_joins_take_the_same_rows(spark):
+    """Broadcast or shuffled: maps, repeated rows, missing keys and unknown groups."""
+    rows = [("a", {"k": 1}, 0.9)] * 50 + [(None, {"k": 2}, 0.5), ("b", None, 0.1), ("c", {}, 0.2)]
+    df = spark.createDataFrame(rows, "g string, m map<string,int>, p double")
+    fitted = spark.createDataFrame([("a", 1.0, [1, 2]), (None, 2.0, None), ("b", 3.0, [])], "g string, v double, l array<int>")
+    got = [
+        sorted(map(str, join_parameters(df, fitted, ["g"], 100, limit).collect())) for limit in (1_000, 10)
+    ]
+    assert got[0] == got[1] and len(got[0]) == len(rows)

@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -41,12 +42,36 @@ def test_missing_label_counts_only_in_mean_conf(spark):
     assert rows[5]["n"] == 0 and rows[5]["mean_y"] is None
 
 
-def pandas_bin_stats(frame, edges):
-    labels = Bins.of(edges).labels
-    frame = frame.assign(bin=pd.cut(frame.p, edges, labels=labels, include_lowest=True))
-    return frame.groupby("bin", observed=False).agg(
-        mean_y=("y", "mean"), std_y=("y", "std"), mean_conf=("p", "mean"), n=("y", "count")
-    )
+def described(rows):
+    """Count of labels, mean and ddof-1 deviation of them, mean of all probabilities."""
+    p, y = [r[0] for r in rows], [r[1] for r in rows]
+    labels = [v for v in y if v == v]
+    n = len(labels)
+    mean = sum(labels) / n if n else math.nan
+    std = math.sqrt(sum((v - mean) ** 2 for v in labels) / (n - 1)) if n > 1 else math.nan
+    return {"n": n, "mean_y": mean, "std_y": std, "mean_conf": sum(p) / len(p) if len(p) else math.nan}
+
+
+def in_bins(part, edges):
+    """(p, y) of each bin (a, b], the first one holding its left edge."""
+    out = [[] for _ in edges[1:]]
+    for p, y in zip(part.p, part.y):
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < p <= b or (i == 0 and p == a):
+                out[i].append((p, y))
+    return out
+
+
+def equal_frequency_edges(p, n_bins):
+    """Distinct interpolated quantiles: order statistics at fractions of n - 1."""
+    v, edges = sorted(p), []
+    for j in range(n_bins + 1):
+        at = (len(v) - 1) * (j / n_bins)
+        low, high = v[math.floor(at + 1e-9)], v[min(len(v) - 1, math.ceil(at - 1e-9))]
+        q = low + (high - low) * (at - math.floor(at + 1e-9))
+        if not edges or q > edges[-1]:
+            edges.append(q)
+    return edges
 
 
 def random_frame(seed, n=2000, decimals=None):
@@ -61,59 +86,72 @@ def random_frame(seed, n=2000, decimals=None):
 
 @pytest.mark.parametrize("decimals", [None, 2, 1])
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_fixed_bins_match_pandas(spark, decimals, partitions):
+def test_fixed_bins_match_loops(spark, decimals, partitions):
     frame = random_frame(1, decimals=decimals)
     df = spark.createDataFrame(frame).repartition(partitions)
     edges = [0.0, 0.2, 0.5, 0.55, 0.9, 1.0]
     got = bin_stats(df, "y", "p", ["g"], edges).toPandas()
     for g, part in frame.groupby(frame.g.fillna("none")):
-        want = pandas_bin_stats(part, edges).reset_index()
-        have = got[got.g.fillna("none") == g].sort_values("bin_idx").reset_index(drop=True)
-        assert have["bin"].tolist() == want["bin"].astype(str).tolist()
+        have = got[got.g.fillna("none") == g].sort_values("bin_idx")
+        want = [described(rows) for rows in in_bins(part, edges)]
+        assert have["n"].tolist() == [w["n"] for w in want]
         for c in ["mean_y", "std_y", "mean_conf"]:
-            np.testing.assert_allclose(have[c].astype(float), want[c], rtol=1e-9)
-        assert have["n"].tolist() == want["n"].tolist()
+            np.testing.assert_allclose(have[c].astype(float), [w[c] for w in want], rtol=1e-9)
 
 
 @pytest.mark.parametrize("decimals", [None, 2, 1])
 @pytest.mark.parametrize("n_bins", [1, 4, 10, 37])
-def test_equal_frequency_bins_match_pandas(spark, decimals, n_bins):
+def test_equal_frequency_bins_match_loops(spark, decimals, n_bins):
     frame = random_frame(2, decimals=decimals)
     df = spark.createDataFrame(frame).repartition(5)
     got = equal_frequency_bin_stats(df, "y", "p", ["g"], n_bins).toPandas()
     for g, part in frame.groupby(frame.g.fillna("none")):
-        part = part.assign(bin=pd.qcut(part.p, n_bins, labels=False, duplicates="drop"))
-        want = part.groupby("bin").agg(
-            mean_y=("y", "mean"), std_y=("y", "std"), mean_conf=("p", "mean"), n=("y", "count"),
-            start=("p", "min"), end=("p", "max"), width=("p", lambda x: x.max() - x.min()),
-        ).reset_index()
-        have = got[got.g.fillna("none") == g].sort_values("bin").reset_index(drop=True)
-        assert have["bin"].tolist() == want["bin"].astype(int).tolist()
-        for c in ["mean_y", "std_y", "mean_conf", "start", "end", "width"]:
-            np.testing.assert_allclose(have[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12)
-        assert have["n"].tolist() == want["n"].tolist()
+        have = got[got.g.fillna("none") == g].sort_values("bin")
+        bins = in_bins(part, equal_frequency_edges(part.p, n_bins))
+        full = [i for i, rows in enumerate(bins) if rows]
+        assert have["bin"].tolist() == full
+        want = [described(bins[i]) for i in full]
+        assert have["n"].tolist() == [w["n"] for w in want]
+        for c in ["mean_y", "std_y", "mean_conf"]:
+            np.testing.assert_allclose(have[c].astype(float), [w[c] for w in want], rtol=1e-9, atol=1e-12)
+        for c, end in [("start", min), ("end", max)]:
+            assert have[c].tolist() == [end(p for p, _ in bins[i]) for i in full]
+        np.testing.assert_allclose(have["width"], have["end"] - have["start"], atol=0)
 
 
+# Values, bins asked for, and how many values each bin that comes out holds.
 SMALL = [
-    ([.1, .9, .9, .9, .9, 1.0], 4),
-    ([.5] * 5, 10),
-    ([.1, .2], 10),
-    ([.3], 3),
-    ([.1, .1, .1, .5], 10),
-    ([.1, .1, .1, .5, .6, .6, .9], 3),
-    ([0.0, 1e-300, 1e-10, 0.5, 1 - 1e-16, 1.0], 5),
-    ([-3.0, -1.0, 0.0, 2.0, 1e300], 4),
+    ([.1, .9, .9, .9, .9, 1.0], 4, {0: 5, 1: 1}),
+    ([.5] * 5, 10, {}),
+    ([.1, .2], 10, {0: 1, 9: 1}),
+    ([.3], 3, {}),
+    ([.1, .1, .1, .5], 10, {0: 3, 3: 1}),
+    # Two thirds of 6 is a rounding error below 4: the edge lies just below 0.6.
+    ([.1, .1, .1, .5, .6, .6, .9], 3, {0: 4, 1: 3}),
+    ([0.0, 1e-300, 1e-10, 0.5, 1 - 1e-16, 1.0], 5, {0: 2, 1: 1, 2: 1, 3: 1, 4: 1}),
+    ([-3.0, -1.0, 0.0, 2.0, 1e300], 4, {0: 2, 1: 1, 2: 1, 3: 1}),
 ]
 
 
-@pytest.mark.parametrize("values,n_bins", SMALL)
-def test_equal_frequency_bins_small(spark, values, n_bins):
+@pytest.mark.parametrize("values,n_bins,want", SMALL)
+def test_equal_frequency_bins_small(spark, values, n_bins, want):
     df = spark.createDataFrame([(v, 1) for v in values], "y_prob double, y_true int")
-    got = equal_frequency_bin_stats(df, n_bins=n_bins).orderBy("bin").toPandas()
-    cut = pd.qcut(pd.Series(values), n_bins, labels=False, duplicates="drop")
-    want = cut.dropna().astype(int).value_counts().sort_index()
-    assert got["bin"].tolist() == want.index.tolist()
-    assert got["n"].tolist() == want.tolist()
+    assert {r["bin"]: r["n"] for r in equal_frequency_bin_stats(df, n_bins=n_bins).collect()} == want
+
+
+def test_the_source_is_read_once(spark, tmp_path):
+    spark.createDataFrame(random_frame(4)).write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    stats = equal_frequency_bin_stats(source, "y", "p", ["g"])
+    # What is left to run reads the written score table, not the source.
+    assert not any("/t/" in f for f in stats.inputFiles())
+    from surecal.operators.metrics import roc_auc
+
+    ranked = roc_auc(source.where("y IS NOT NULL"), "y", "p", ["g"])
+    ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan parquet") == 1 or final.count("ReusedExchange") >= 1
 
 
 def test_exact_quantiles_match_numpy(spark):

@@ -1,5 +1,8 @@
+import time
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from surecal.operators.calibration import (
     platt_scaling,
     temperature_scaling,
 )
+from surecal.operators import calibration, isotonic
 from surecal.operators.isotonic import pool
 
 
@@ -181,8 +185,55 @@ def test_shuffled_join_gives_the_same(spark):
     wide = model.transform(df).orderBy("g", "y_prob", "y_true").toPandas()
     from dataclasses import replace
 
-    salted = replace(model, broadcast_bytes=0).transform(df)
-    assert "xxhash64" in salted._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = replace(model, broadcast_bytes=0).transform(df)
+    assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
     pd.testing.assert_frame_equal(
-        wide, salted.orderBy("g", "y_prob", "y_true").toPandas()
+        wide, shuffled.orderBy("g", "y_prob", "y_true").toPandas()
     )
+
+
+def flat_batches(rows, step=10_000):
+    """Sorted scores of one key, all with label 0."""
+    for at in range(0, rows, step):
+        lo = np.arange(at, min(rows, at + step), dtype=float)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(lo), pa.int64()), pa.array([7] * len(lo), pa.int64()), pa.array(lo), pa.array(lo),
+             pa.array(np.zeros(len(lo))), pa.array(np.ones(len(lo)))],
+            names=["_g", "_k", "lo", "hi", "total", "count"],
+        )
+
+
+def test_a_flat_stretch_is_one_block():
+    began = time.perf_counter()
+    out = list(isotonic.pool_batches(flat_batches(3_200_000)))
+    blocks = [b for batch in out for b in batch.to_pylist()]
+    assert len(blocks) == 1 and (blocks[0]["lo"], blocks[0]["hi"], blocks[0]["count"]) == (0.0, 3_199_999.0, 3.2e6)
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("step", [1, 7, 50, 5_000])
+def test_batches_pool_as_one(step):
+    rng = np.random.default_rng(step)
+    keys = np.sort(rng.integers(0, 3, 3_000))
+    lo = np.arange(3_000, dtype=float)
+    total, count = rng.random(3_000) + lo / 500 - 4 * (lo > 2_500), rng.integers(1, 4, 3_000).astype(float)
+
+    def batches(step):
+        for at in range(0, 3_000, step):
+            s = slice(at, at + step)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[s]), pa.array(keys[s]), pa.array(lo[s]), pa.array(lo[s]), pa.array(total[s]), pa.array(count[s])],
+                names=["_g", "_k", "lo", "hi", "total", "count"],
+            )
+
+    def pooled(step):
+        return [(r["_k"], r["lo"], r["hi"], round(r["total"], 9), r["count"])
+                for b in isotonic.pool_batches(batches(step)) for r in b.to_pylist()]
+
+    assert pooled(step) == pooled(3_000)
+
+
+def test_one_class_has_two_knots(spark):
+    df = spark.range(0, 5_000).select((F.col("id") / 5_000).alias("y_prob"), F.lit(0).alias("y_true"))
+    model = calibration.fit_isotonic(df)
+    assert len(model.parameters.first()["knot_x"]) == 2

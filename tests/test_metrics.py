@@ -115,6 +115,26 @@ def test_missing_and_out_of_range(spark):
     assert calculate_metrics(df).first()["n"] == 2
 
 
+def test_missing_labels_and_scores(spark):
+    nan = float("nan")
+    rows = [("r", 0.9, 1), ("r", 0.8, None), ("r", None, 1), ("r", nan, 0), ("r", 0.85, 0), ("r", 1.5, 1),
+            ("none", None, 1), ("none", nan, 0), ("bare", 0.3, None), ("void", None, None)]
+    df = spark.createDataFrame(rows, "g string, y_prob double, y_true int")
+    both = {r.g: r for r in calculate_metrics(df, by=["g"]).collect()}
+    assert {g: (r.n, r.n_rows) for g, r in both.items()} == {"r": (3, 6), "none": (0, 2), "bare": (0, 1), "void": (0, 1)}
+    singles = {"ece": expected_calibration_error, "accuracy": accuracy, "brier_score": brier_score,
+               "roc_auc": roc_auc, "average_precision": average_precision}
+    for name, function in singles.items():
+        kwargs = {"by": ["g"]}
+        one = {r.g: r[name] for r in function(df, **kwargs).collect()}
+        assert set(one) == set(both)
+        for g, value in one.items():
+            assert both[g][name] == (value if value is None else pytest.approx(value, abs=1e-12)), (name, g)
+    assert both["r"].accuracy == pytest.approx(3 / 5) and both["none"].roc_auc is None
+    # Bin 0.8-0.9 holds 0.9, 0.85 and (unlabelled) nothing more; 0.8 lies in the one below.
+    assert both["r"].ece == pytest.approx(abs(0.875 - 0.5))
+
+
 def test_other_labels_are_refused(spark):
     df = spark.createDataFrame([(0.5, 2)], "y_prob double, y_true int")
     with pytest.raises(Exception, match="labels must be 0 or 1"):

@@ -52,6 +52,39 @@ def test_manifest_and_predictions(spark, legacy):
     ]
 
 
+def test_paths_spelled_differently(spark, tmp_path):
+    """Dot parts, doubled slashes and a run whose own name looks like a part file."""
+    (tmp_path / "sub").mkdir()
+    for name, p in [("a.csv", 0.1), ("sub/a.csv", 0.2), ("sub/part-x.csv", 0.3)]:
+        (tmp_path / name).write_text(f"gpt_eval,confidence\n1,{p}\n")
+    names = ["./a.csv", "sub//a.csv", "sub/part-x.csv"]
+    (tmp_path / "data.json").write_text(json.dumps([{"csv_file": n, "model": n, "seed": 3} for n in names]))
+    manifest = read_manifest(spark, f"{tmp_path}/data.json")
+    assert manifest.columns == ["csv_file", "prompt", "dataset", "model", "seed"]
+    for same in (True, False):
+        rows = read_predictions(spark, manifest, f"{tmp_path}/", same_header=same).collect()
+        assert {r.model: r.y_prob for r in rows} == dict(zip(names, [0.1, 0.2, 0.3]))
+        assert {r.seed for r in rows} == {3}
+
+
+def test_a_file_without_a_run_is_an_error(spark, tmp_path):
+    (tmp_path / "run=1").mkdir()
+    (tmp_path / "run=1" / "x.csv").write_text("gpt_eval,confidence\n1,0.5\n")
+    manifest = spark.createDataFrame([("run=1", "m")], "csv_file string, model string")
+    with pytest.raises(Exception, match="no run in the manifest"):
+        read_predictions(spark, manifest, str(tmp_path)).collect()
+
+
+def test_damaged_json_is_an_error(spark, tmp_path):
+    (tmp_path / "data.json").write_text('[{"csv_file": "a.csv"')
+    with pytest.raises(Exception):
+        read_manifest(spark, f"{tmp_path}/data.json").collect()
+    (tmp_path / "run_1").mkdir()
+    (tmp_path / "run_1" / "metadata.json").write_text('{"model": "m", "batch_size": ')
+    with pytest.raises(Exception):
+        read_run_metadata(spark, str(tmp_path)).collect()
+
+
 def test_only_selected_files_are_opened(spark, legacy):
     chosen = select_runs(read_manifest(spark, f"{legacy}/data.json"), dataset="HotpotQA", model="gpt-4o")
     rows = read_predictions(spark, chosen, str(legacy))
