@@ -98,6 +98,16 @@ FROM (SELECT doc_id AS event_id, text AS body, CAST(n_chars AS STRING) AS a,
              concat('0.', CAST(10 + doc_id % 90 AS STRING)) AS c FROM {{documents}}) t
 """
 
+# Turns of conversations, with an answer taken from the words of each.
+TURN_OUTPUTS = """
+SELECT conv_id * 100000 + turn AS id, role, body,
+       CASE WHEN turn % 4 = 3 THEN body
+            ELSE concat(body, ' {{"answer": "', a, CASE WHEN turn % 4 = 2 THEN ' zz' ELSE '' END,
+                        '", "confidence": 0.', CAST(10 + conv_id % 90 AS STRING), '}}') END AS text
+FROM (SELECT conv_id, turn, role, text AS body, regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) AS a
+      FROM {conversations}) t
+"""
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -466,6 +466,10 @@ fs AS (SELECT *, CASE WHEN prediction_ids IS NULL THEN NULL ELSE
            AND content_ids[i + 2] = prediction_ids[2])) END AS position FROM tk)"""
 
 
+def tokens_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]')"
+
+
 def log_softmax(vector: str, index: str) -> str:
     top = f"list_max({vector})"
     total = f"list_sum(list_transform({vector}, lambda v: exp(v::DOUBLE - {top}::DOUBLE)))"
@@ -569,6 +573,27 @@ SELECT event_id, CASE WHEN prediction_ids IS NULL THEN 'no_prediction'
     WHEN position IS NULL THEN 'not_found' ELSE 'found' END AS reason,
   CAST(CASE WHEN position IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n,
   {r6('logprobs[position + 1]', 'first')}, {r6('logprobs[position + 2]', 'second')} FROM fs""",
+        "gsm8k_records": f"""WITH {extract_ctes(_sql(fixtures.TURN_OUTPUTS))},
+tok AS (SELECT tx.id, prediction, verb_conf, {tokens_sql('text')} AS t, {tokens_sql('prediction')} AS p
+        FROM tx JOIN xt ON tx.id = xt.id),
+fd AS (SELECT *, CASE WHEN len(p) = 0 THEN 0 ELSE list_min(list_filter(range(0, len(t) - len(p) + 1),
+         lambda i: t[i + 1:i + len(p)] = p)) END AS position FROM tok),
+lp AS (SELECT *, list_transform(p, lambda w, k: -(length(w) * 8 + (position + k - 1) % 8)::DOUBLE / 16e0) AS l FROM fd)
+SELECT id, prediction, {r6('verb_conf', 'verb_conf')},
+  CAST(CASE WHEN position IS NULL OR prediction IS NULL THEN 0 ELSE len(p) END AS BIGINT) AS n,
+  CASE WHEN position IS NOT NULL THEN {r6('l[1]', 'x')[:-5]} END AS first,
+  CASE WHEN position IS NOT NULL THEN {r6('l[len(l)]', 'x')[:-5]} END AS last FROM lp""",
+        "arc_records": f"""WITH {extract_ctes(_sql(fixtures.DOCUMENT_OUTPUTS))},
+lg AS (SELECT doc_id AS id, [exp(1e0), exp(length(lang) / 2e0), exp((n_chars % 5)::DOUBLE)] AS e FROM documents)
+SELECT xt.id, prediction, {r6('verb_conf', 'verb_conf')},
+  {", ".join(r6(f"e[{i + 1}] / list_sum(e)", f"p{i}") for i in range(3))}
+FROM xt JOIN lg ON xt.id = lg.id""",
+        "prompt_pipeline": f"""WITH q AS (SELECT item_id, text, string_split(text, ' ')[1:4] AS c
+  FROM benchmark ORDER BY item_id LIMIT 150),
+m AS (SELECT item_id, concat('system: Answer in JSON.', chr(10), 'user: ', text, chr(10), chr(10),
+  array_to_string(list_transform(c, lambda x, i: concat(['A', 'B', 'C', 'D'][i], '. ', x)), chr(10))) AS p FROM q)
+SELECT item_id, concat(p, CASE WHEN item_id % 2 = 0 THEN concat('thought', chr(10), chr(10)) ELSE '' END,
+  {prefix_choice}) AS prompt FROM m""",
         "content_tail": f"""WITH tk AS ({TOKENS}),
 kp AS (SELECT event_id, content_ids[(10 + event_id % 14 - 4 + 1):] AS k FROM tk)
 SELECT event_id, CAST(len(k) AS BIGINT) AS n, CAST(k[1] AS BIGINT) AS first,

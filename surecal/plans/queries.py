@@ -17,7 +17,7 @@ from ..functions import prompts, sequences
 from ..functions.binning import Bins
 from ..functions.extraction import parse_output
 from ..functions.probability import clip, logit, number, sigmoid
-from ..operators import analysis, bins, calibration, curves, metrics, rows
+from ..operators import analysis, assembly, bins, calibration, curves, metrics, rows
 from ..schemas import ARC_OUTPUTS, GSM8K_OUTPUTS
 from ..session import materialize, scratch_path
 from ..sources import records, runs
@@ -439,6 +439,59 @@ def answer_logprobs(spark, sf):
     )
 
 
+@query
+def gsm8k_records(spark, sf):
+    """Answer, confidence and log-probabilities of the answer's tokens, in one step from text."""
+    turns = fixtures.frame(spark, sf, fixtures.TURN_OUTPUTS).withColumnRenamed("text", "content")
+    given = F.transform(
+        assembly.text_tokens(F.col("content")), lambda t, i: -(F.length(t) * 8 + i % 8).cast("double") / 16.0
+    )
+    records_ = assembly.math_records(turns.withColumn("token_logprobs", given))
+    return records_.select(
+        "id", "prediction", r6("verb_conf").alias("verb_conf"),
+        F.size("logprobs").cast("bigint").alias("n"),
+        r6(F.get("logprobs", F.lit(0))).alias("first"),
+        r6(F.get("logprobs", F.size("logprobs") - 1)).alias("last"),
+    )
+
+
+@query
+def arc_records(spark, sf):
+    """Answer, confidence and label probabilities, the logits being lengths of choices."""
+    outputs = fixtures.frame(spark, sf, fixtures.DOCUMENT_OUTPUTS).withColumnRenamed("text", "content")
+    documents = fixtures.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    logits = F.array(
+        F.length("lang") / 2.0, F.length("source") / 2.0, (F.col("n_chars") % 5).cast("double"), F.lit(1.0)
+    )
+    given = outputs.join(documents, "id").withColumns(
+        {"logits": logits, "label_ids": F.array(F.lit(3), F.lit(0), F.lit(2))}
+    )
+    records_ = assembly.choice_records(given)
+    return records_.select(
+        "id", "prediction", r6("verb_conf").alias("verb_conf"),
+        *[r6(F.get("label_probs", F.lit(i))).alias(f"p{i}") for i in range(3)],
+    )
+
+
+@query
+def prompt_pipeline(spark, sf):
+    """Benchmark, first questions, choices, messages and prompt as one plan."""
+    questions = rows.head_n(fixtures.table(spark, sf, "benchmark"), ["item_id"], 150).select(
+        "item_id", "text",
+        F.struct(
+            F.slice(F.split("text", " "), 1, 4).alias("text"),
+            F.array(*[F.lit(x) for x in "ABCD"]).alias("label"),
+        ).alias("choices"),
+    )
+    asked = prompts.format_question("text", "choices.text", "choices.label")
+    messages = questions.select(
+        "item_id", prompts.chat_messages(F.lit("Answer in JSON."), asked).alias("m")
+    )
+    chat = F.array_join(F.transform("m", lambda t: F.concat_ws(": ", t["role"], t["content"])), "\n")
+    prompt = prompts.continuation_prompt(chat, F.lit("thought"), F.col("item_id") % 2 == 0, prompts.ARC_ANSWER_PREFIX)
+    return messages.select("item_id", prompt.alias("prompt"))
+
+
 @query
 def content_tail(spark, sf):
     """Tokens kept after the prompt is cut down to its answer prefix."""
