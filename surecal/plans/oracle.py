@@ -277,11 +277,11 @@ SELECT event_id, {cols(by, 'te.')} {r6('y_prob', 'y_prob')}, {r6('adj', 'p_cal')
 FROM te LEFT JOIN md ON {on(by, 'te', 'md')} AND te.b = md.bin_idx"""
 
 
-def isotonic(by: Sequence[str]) -> str:
-    """Max-min formula over prefix sums."""
-    return f"""WITH
+def isotonic_ctes(source: str, by: Sequence[str], key: str) -> str:
+    """CTE ``ip`` (i, y) of test rows ``te``: max-min formula over prefix sums."""
+    return f"""
 tr AS (SELECT {cols(by)} {CLIPPED} AS x, sum(y_true) AS s, count(*) AS n
-       FROM ({EVENTS}) e WHERE split = 'train' {group(by, 'x')}),
+       FROM ({source}) e WHERE split = 'train' {group(by, 'x')}),
 cs AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS s1, sum(n) OVER w AS n1
        FROM tr WINDOW w AS ({part(by)} ORDER BY x)),
 uv AS (SELECT {cols(by, 'u.')} u.i AS ui, v.i AS vi,
@@ -292,12 +292,22 @@ mn AS (SELECT {cols(by)} ui, vi,
 ft AS (SELECT {cols(by)} vi AS i, max(m) AS fit FROM mn {group(by, 'vi')}),
 kn AS (SELECT {cols(by, 'cs.')} x AS kx, fit AS ky FROM cs JOIN ft
        ON {on(by, 'cs', 'ft')} AND cs.i = ft.i),
-te AS (SELECT event_id AS i, {cols(by)} y_prob, {CLIPPED} AS x FROM ({EVENTS}) e WHERE split = 'test'),
-{interpolated('kn', 'te', by)}
+te AS (SELECT {key} AS i, {cols(by)} y_prob, {CLIPPED} AS x FROM ({source}) e WHERE split = 'test'),
+{interpolated('kn', 'te', by)}"""
+
+
+def isotonic(by: Sequence[str]) -> str:
+    return f"""WITH {isotonic_ctes(EVENTS, by, 'event_id')}
 SELECT te.i AS event_id, {cols(by, 'te.')} {r6('y_prob', 'y_prob')}, {r6('y', 'p_cal')}
 FROM te LEFT JOIN ip ON te.i = ip.i"""
 
 
+def isotonic_means(by: Sequence[str]) -> str:
+    return f"""WITH {isotonic_ctes(LINEITEM, by, 'row_number() OVER ()')}
+SELECT {cols(by, 'te.')} {r6('avg(y)', 'mean_cal')}, CAST(count(y) AS BIGINT) AS n
+FROM te LEFT JOIN ip ON te.i = ip.i {group([f'te.{c}' for c in by])}"""
+
+
 def newton_ctes(source: str, by: Sequence[str], slope_only: bool, steps: int = 14) -> str:
     """CTE ``fit`` (by, a, b): Newton steps written out one after the other."""
     text = f"""
@@ -527,6 +537,7 @@ FROM documents"""
             ["dataset"], "y_prob <= 0.3e0 OR (y_prob > 0.6e0 AND y_prob <= 0.8e0)"
         ),
         "isotonic_scaling": isotonic(by2),
+        "isotonic_continuous": isotonic_means(RUN),
         "platt_params": f"WITH {newton_ctes(LINEITEM, RUN, False)} "
         f"SELECT {cols(RUN)} {r6('a', 'a')}, {r6('b', 'b')}, TRUE AS converged FROM fit",
         "platt_scaling": newton_applied(by2, False),
