@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Row
@@ -27,6 +26,7 @@ from .common import remainder, text_or_empty, text_runs, written
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
 _START = xxhash.xxh3_64_intdigest(b"\x00start")
+_LOW = np.uint64(0xFFFFFFFF)
 _KNOWN_WORDS = 200_000
 _FLUSH = 1_000_000
 _LEVELS = 40
@@ -43,7 +43,7 @@ class Settings:
     probes: int = 5
     pair_weight: float = 2.0
     block_bytes: int = 1 << 20
-    segment_bytes: int = 80 << 20
+    segment_bytes: int = 112 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ class _Words(dict):
         counts = []
         for text in texts:
             words = (text or "").encode().lower().split()
-            flat += [self[w] for w in words]
+            flat += map(self.__getitem__, words)
             flat.append(0)
             counts.append(len(words) + 1)
         return np.array(flat, dtype=np.int64), np.array(counts, dtype=np.int64)
@@ -104,12 +104,15 @@ def _histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return before
 
 
-def _positions(grams: np.ndarray, at: int, start: np.ndarray, bits: np.ndarray, probes: int):
-    """Bit numbers of n-grams with level ``at``, in blocks of ``bits`` bits from ``start``."""
+def _halves(grams: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of n-grams with level ``at``."""
     h = _mixed(grams + np.uint64(at * int(_K) % 2**64))
-    a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    for i in range(probes):
-        yield start + ((a + np.uint64(i) * b) % bits.astype(np.uint64)).astype(np.int64)
+    return h >> np.uint64(32), (h & _LOW) | np.uint64(1)
+
+
+def _position(a: np.ndarray, b: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """Place of probe ``i`` among ``bits`` bits."""
+    return (((a + np.uint64(i) * b) & _LOW) * bits >> np.uint64(32)).astype(np.int64)
 
 
 def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, int]:
@@ -126,7 +129,7 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
 
         def merged():
             grams, counts, word = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((word, grams))
+            order = np.argsort(grams)
             grams, counts, word = grams[order], counts[order], word[order]
             first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (word[1:] != word[:-1])][: len(grams)])
             held[:] = [(grams[first], np.add.reduceat(counts, first) if len(first) else counts, word[first])]
@@ -155,31 +158,37 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
         merged()
         yield rows()
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        total = group.groupby(["word", "gram"], sort=True)["n"].sum().reset_index()
-        is_word = total["word"].to_numpy()
-        grams, n = total["gram"].to_numpy().astype(np.int64).view(np.uint64), total["n"].to_numpy()
-        levels = level(n)
-        bits = np.int64(max(64, -(-int(levels.sum()) * settings.bits_per_entry // 64) * 64))
+    def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(grams)
+        grams, n = grams[order], n[order]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+    def pack(group: pa.Table) -> pa.Table:
+        grams = group["gram"].to_numpy().view(np.uint64)
+        n, is_word = group["n"].to_numpy(), group["word"].to_numpy()
+        words, times = summed(grams[is_word], n[is_word])
+        pairs, pair_times = summed(grams[~is_word], n[~is_word])
+        grams, levels = np.concatenate([words, pairs]), level(np.concatenate([times, pair_times]))
+        bits = max(64, -(-int(levels.sum()) * settings.bits_per_entry // 64) * 64)
         flags = np.zeros(bits, dtype=np.uint8)
         for at in range(1, int(levels.max()) + 1):
-            those = grams[levels >= at]
-            for p in _positions(those, at, np.int64(0), np.full(len(those), bits), settings.probes):
-                flags[p] = 1
-        words, times = grams[is_word], n[is_word]
+            a, b = _halves(grams[levels >= at], at)
+            for i in range(settings.probes):
+                flags[_position(a, b, i, np.uint64(bits))] = 1
         once = times == 1
-        return pd.DataFrame({
-            "block": [group["block"].iloc[0]], "bits": [bits], "filter": [np.packbits(flags, bitorder="little").tobytes()],
+        return pa.table({
+            "block": group["block"].slice(0, 1), "bits": pa.array([bits], pa.int64()),
+            "filter": [np.packbits(flags, bitorder="little").tobytes()],
             "once": [words[once].tobytes()], "words": [words[~once].tobytes()],
-            "counts": [times[~once].astype(np.int64).tobytes()],
-            "n_tokens": [int(times.sum())], "n_words": [len(words)],
+            "counts": [times[~once].tobytes()], "n_tokens": [int(times.sum())], "n_words": [len(words)],
         })
 
     grams = docs.select(text_or_empty().cast("string").alias("text")).mapInArrow(
         count, "block int, gram bigint, n bigint, word boolean"
     )
     return written(
-        grams.groupBy("block").applyInPandas(
+        grams.groupBy("block").applyInArrow(
             pack, "block int, bits bigint, filter binary, once binary, words binary, counts binary, n_tokens bigint, n_words bigint"
         ),
         "language-model",
@@ -206,18 +215,22 @@ class Segment:
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Levels read from the filter; 0 for n-grams of other segments."""
-        block = (grams % np.uint64(self.blocks)).astype(np.int64)
         out = np.zeros(len(grams), dtype=np.uint8)
-        active = np.flatnonzero(self.start[block] >= 0)
-        start, bits = self.start[block], self.bits[block]
+        block = (grams % np.uint64(self.blocks)).astype(np.int64)
+        at_gram = np.flatnonzero(self.start[block] >= 0)
+        block = block[at_gram]
+        start, bits, grams = self.start[block], self.bits[block].astype(np.uint64), grams[at_gram]
         for at in range(1, _LEVELS + 1):
-            if not len(active):
+            if not len(at_gram):
                 break
-            hit = np.ones(len(active), dtype=bool)
-            for p in _positions(grams[active], at, start[active], bits[active], self.probes):
-                hit &= ((self.filter[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-            active = active[hit]
-            out[active] = at
+            a, b = _halves(grams, at)
+            for i in range(self.probes):
+                p = start + _position(a, b, i, bits)
+                hit = ((self.filter[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+                if not hit.all():
+                    # Those that missed are not probed again.
+                    at_gram, start, bits, grams, a, b = (x[hit] for x in (at_gram, start, bits, grams, a, b))
+            out[at_gram] = at
         return out
 
     def exact(self, words: np.ndarray) -> np.ndarray:

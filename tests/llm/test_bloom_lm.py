@@ -85,3 +85,24 @@ def test_pair_model_beats_words_on_held_out_text(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     same([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out.collect()], brute(docs))
+
+
+def test_filter_gives_levels_back():
+    """Every stored level is read back, or a higher one at the filter's error rate."""
+    rng = np.random.default_rng(4)
+    grams = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    levels = rng.integers(1, 6, 20_000)
+    bits = int(levels.sum()) * 8
+    flags = np.zeros(bits, dtype=np.uint8)
+    for at in range(1, 6):
+        a, b = bloom_lm._halves(grams[levels >= at], at)
+        for i in range(5):
+            flags[bloom_lm._position(a, b, i, np.uint64(bits))] = 1
+    segment = object.__new__(bloom_lm.Segment)
+    segment.blocks, segment.probes = 1, 5
+    segment.start, segment.bits = np.zeros(1, np.int64), np.array([bits])
+    segment.filter = np.packbits(flags, bitorder="little")
+    got = segment.levels(grams)
+    assert (got >= levels).all() and (got == levels).mean() > 0.95
+    other = segment.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    assert (other > 0).mean() < 0.05
