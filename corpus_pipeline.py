@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from surecal.llm import mixing, pieces, secrets
 from surecal.llm import toxicity as toxic
-from surecal.llm.common import table, written
+from surecal.llm.common import shielded, table, written
 from surecal.llm.ngram_join import ngram_join, one_of_each
 from surecal.llm.queries import PIECES, labelled_languages
 
@@ -21,8 +21,8 @@ LANGUAGE_POWER = 0.9
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go; null and empty texts are scored like others."""
     model = toxic.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxic.score(docs, model)
-    return scored.where("toxic_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, back = shielded(docs, ("doc_id", "text"))
+    return toxic.score(plain, model).where("toxic_predicted = 0").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``keep`` renamed, and the columns under their own names.
+
+    Whatever a caller's columns are called, they cannot meet those that an operator adds.
+    """
+    inner = [n if n in keep else f"c{i}" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*inner), [F.col(a).alias(b) for a, b in zip(inner, docs.columns)]
+
+
 def text_or_empty(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import shielded, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -249,15 +249,14 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[secret]
 
     rest = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int")))
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    found = find_secrets(docs, rules)
+    plain, back = shielded(docs, ("doc_id", "text", "n_chars"))
+    found = find_secrets(plain, rules)
     hit = F.size("secrets") > 0
-    out = found.withColumn(
-        "_clean", F.when(hit, F.aggregate("secrets", begin, step, rest)).otherwise(F.col("text"))
-    )
-    columns = [
-        F.col("_clean").alias("text") if n == "text"
-        else F.when(hit, F.length("_clean").cast(found.schema[n].dataType)).otherwise(F.col(n)).alias(n)
-        if n == "n_chars" else F.col(f"`{n}`")
-        for n in docs.columns
-    ]
-    return out.select(*columns)
+    changed = {"text": F.when(hit, F.aggregate("secrets", begin, step, rest)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        found = found.withColumn("_old", F.col("n_chars"))
+    out = found.withColumns(changed)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("_old")))
+    return out.select(*back)

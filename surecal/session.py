@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths handed out by this process, by application.
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
@@ -28,8 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; :func:`release` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all paths that :func:`scratch_path` gave this application; how many.
+
+    Results that still read from them can no longer be computed. Checkpoints of
+    :func:`materialize` go with their tables where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(conf).delete(there, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -109,6 +109,20 @@ def test_no_documents(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
+def test_columns_of_clashing_names_stay(spark, folder):
+    """Every stage but the last hands on whatever columns it gets."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["toxic_score", "toxic_predicted", "digest", "bands", "node", "secrets", "_x", "rate", "tokens", "mark", "rows"]
+    for i, name in enumerate(names):
+        docs = docs.selectExpr("*", f"'{i}' AS {name}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(str(i) for i in range(len(names)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_entry_lists_the_pipeline():
     import __spark_entry__ as contract
 

@@ -71,6 +71,14 @@ def test_redaction(spark):
     assert secrets.redact(df).schema == df.schema
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame(
+        [(1, "password=abcdef0123", "mine", 5, "r")], "doc_id bigint, text string, secrets string, c0 int, rules string"
+    )
+    row = secrets.redact(df).first()
+    assert tuple(row) == (1, "[secret]", "mine", 5, "r")
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     plan = secrets.find_secrets(df)._jdf.queryExecution().executedPlan().toString()
