@@ -614,7 +614,8 @@ def _written_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
         F.col("y_true").alias("gpt_eval"),
         F.col("y_prob").alias("confidence"),
     )
-    predictions.drop(*RUN).repartition("run").write.partitionBy("run").csv(
+    # Several part files per run, so that a large one is read by several tasks.
+    predictions.drop(*RUN).repartition(4).write.partitionBy("run").csv(
         base, header=True, escape='"'
     )
     manifest = predictions.select(*RUN, F.concat(F.lit("run="), "run").alias("csv_file")).distinct()
