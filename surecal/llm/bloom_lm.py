@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, text_or_empty, text_runs, written
@@ -27,8 +27,9 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
 _START = xxhash.xxh3_64_intdigest(b"\x00start")
 _LOW = np.uint64(0xFFFFFFFF)
-_KNOWN_WORDS = 200_000
-_FLUSH = 1_000_000
+_KNOWN_WORDS = 150_000
+_RUN_BYTES = 1 << 20
+_FLUSH = 500_000
 _LEVELS = 40
 
 
@@ -39,7 +40,7 @@ class Settings:
     ``block_bytes``: text per filter block. ``segment_bytes`` bounds what is broadcast at once.
     """
 
-    bits_per_entry: int = 8
+    bits_per_entry: int = 7
     probes: int = 5
     pair_weight: float = 2.0
     block_bytes: int = 1 << 20
@@ -144,7 +145,7 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
                 names=["block", "gram", "n", "word"],
             )
 
-        for part in text_runs(batches, "text"):
+        for part in text_runs(batches, "text", _RUN_BYTES):
             if len(known) > _KNOWN_WORDS:
                 known.restart()
             numbers, lengths = known.read(part.column("text").to_pylist())
@@ -157,6 +158,10 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
                 yield rows()
         merged()
         yield rows()
+        # The worker goes on to other tasks: what this one used is given back.
+        held.clear()
+        known.restart()
+        pa.default_memory_pool().release_unused()
 
     def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(grams)
@@ -198,20 +203,25 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
 class Segment:
     """Some blocks of the model, as arrays: what one pass over the texts knows."""
 
-    def __init__(self, rows: list[Row], blocks: int, probes: int):
+    def __init__(self, model: DataFrame, blocks: int, probes: int):
+        """``model``: the rows of the segment, read to the driver column by column."""
+
+        def column(name: str, dtype) -> np.ndarray:
+            return np.frombuffer(b"".join(bytes(r[0]) for r in model.select(name).orderBy("block").collect()), dtype=dtype)
+
         self.blocks, self.probes = blocks, probes
         self.start = np.full(blocks, -1, dtype=np.int64)
         self.bits = np.ones(blocks, dtype=np.int64)
         at = 0
-        for r in rows:
+        for r in model.select("block", "bits").orderBy("block").collect():
             self.start[r.block], self.bits[r.block] = at, r.bits
             at += r.bits
-        self.filter = np.frombuffer(b"".join(bytes(r.filter) for r in rows), dtype=np.uint8)
-        self.once = np.sort(np.frombuffer(b"".join(bytes(r.once) for r in rows), dtype=np.uint64))
-        words = np.frombuffer(b"".join(bytes(r.words) for r in rows), dtype=np.uint64)
+        self.filter = column("filter", np.uint8)
+        self.once = np.sort(column("once", np.uint64))
+        words = column("words", np.uint64)
         order = np.argsort(words)
         self.words = words[order]
-        self.counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), dtype=np.int64)[order]
+        self.counts = column("counts", np.int64)[order]
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Levels read from the filter; 0 for n-grams of other segments."""
@@ -281,7 +291,7 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, known = segment.value, _Words()
             exact_of = levels_of = np.zeros(0, dtype=np.int64)
-            for part in text_runs(batches, "text"):
+            for part in text_runs(batches, "text", _RUN_BYTES):
                 if len(known) > _KNOWN_WORDS:
                     known.restart()
                     exact_of = levels_of = exact_of[:0]
@@ -325,10 +335,9 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
         return run
 
     for i, chosen in enumerate(segments):
-        rows = model.where(F.col("block").between(chosen[0], chosen[-1])).collect() if chosen else []
+        part = model.where(F.col("block").between(*((chosen[0], chosen[-1]) if chosen else (1, 0))))
         # At most segment_bytes, or one block.
-        shared = spark.sparkContext.broadcast(Segment(rows, blocks, settings.probes))
-        del rows
+        shared = spark.sparkContext.broadcast(Segment(part, blocks, settings.probes))
         last = i == len(segments) - 1
         state = state.mapInArrow(one_pass(shared, last), final if last else schema)
         state = state if last else written(state, "partial-scores")

@@ -47,14 +47,16 @@ def remainder(column: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose ``column`` holds about RUN_BYTES."""
+def text_runs(
+    batches: Iterator[pa.RecordBatch], column: str, run_bytes: int = RUN_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose ``column`` holds about ``run_bytes``."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_pylist()
         start, total = 0, 0
         for i, size in enumerate(sizes):
             total += size or 0
-            if total >= RUN_BYTES:
+            if total >= run_bytes:
                 yield batch.slice(start, i + 1 - start)
                 start, total = i + 1, 0
         if start < batch.num_rows:
