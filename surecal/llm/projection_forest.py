@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,9 @@ class Settings:
 
     trees: int = 8
     spill: float = 0.05
-    leaf: int = 400
+    leaf: int = 512
     sample: int = 8_192
-    levels: int = 6
+    levels: int = 8
     rounds: int = 8
     seed: int = 11
 
@@ -54,6 +55,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("_length") == (lengths[0] if lengths else 0)).drop("_length")
 
 
+@lru_cache(maxsize=4_096)
 def _direction(tree: int, level: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, level]).normal(size=dim)
 
@@ -94,7 +96,9 @@ def _split(placed: DataFrame, large: DataFrame, level: int, settings: Settings)
     def fit(key, group: pd.DataFrame) -> pd.DataFrame:
         tree, leaf = int(key[0]), key[1]
         n = int(group["n"].iloc[0])
-        levels = int(np.clip(np.ceil(np.log2(n / settings.leaf)), 1, settings.levels))
+        # Each level leaves a share of 1/2 + spill of a node's vectors in a child.
+        levels = np.ceil(np.log(n / settings.leaf) / -np.log(0.5 + settings.spill))
+        levels = int(np.clip(levels, 1, settings.levels))
         x = np.stack(group["vector"].to_numpy())
         return pd.DataFrame(
             {"tree": [tree], "leaf": [leaf], "levels": [levels], "bounds": [_fit(x, tree, level, levels, settings)]}
@@ -107,27 +111,34 @@ def _split(placed: DataFrame, large: DataFrame, level: int, settings: Settings)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pandas()
-            for (tree, leaf, levels), group in rows.groupby(["tree", "leaf", "levels"], sort=False):
-                x = np.stack(group["vector"].to_numpy())
-                bounds = np.array(group["bounds"].iloc[0]).reshape(-1, 2)
-                row, node = _descend(x, int(tree), level, int(levels), bounds, settings.seed)
+            if not batch.num_rows:
+                continue
+            node, copies, tree, leaf, levels = (
+                batch.column(c).to_numpy() for c in ("node", "copies", "tree", "leaf", "levels")
+            )
+            x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+            order = np.lexsort((leaf, tree))
+            starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
+            rows, leaves = [], []
+            for at in np.split(order, starts[1:]):
+                t, parent = int(tree[at[0]]), int(leaf[at[0]])
+                bounds = batch.column("bounds")[int(at[0])].values.to_numpy().reshape(-1, 2)
+                row, below = _descend(x[at], t, level, int(levels[at[0]]), bounds, settings.seed)
                 # A leaf's number: a hash of its parent's and its place below it.
-                parent = np.uint64(int(leaf) * 0xD1342543DE82EF95 % 2**64)
-                mixed = (parent + node.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = np.uint64(parent * 0xD1342543DE82EF95 % 2**64) + below.astype(np.uint64)
+                mixed *= np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-                mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({
-                        "node": group["node"].to_numpy()[row], "copies": group["copies"].to_numpy()[row],
-                        "vector": group["vector"].to_numpy()[row], "tree": np.int32(tree), "leaf": mixed,
-                    }), schema=out, preserve_index=False,
-                )
-
-    out = pa.schema([
-        ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("tree", pa.int32()),
-        ("leaf", pa.int64()),
-    ])
+                rows.append(at[row])
+                leaves.append((mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+            row = np.concatenate(rows)
+            ends = pa.array(np.arange(len(row) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[row]), pa.array(copies[row]),
+                 pa.ListArray.from_arrays(ends, pa.array(x[row].ravel())), pa.array(tree[row]),
+                 pa.array(np.concatenate(leaves))],
+                names=["node", "copies", "vector", "tree", "leaf"],
+            )
+
     return placed.join(fitted, ["tree", "leaf"]).select(
         "node", "copies", "vector", "tree", "leaf", "levels", "bounds"
     ).mapInArrow(descend, "node bigint, copies bigint, vector array<double>, tree int, leaf bigint")
