@@ -27,9 +27,9 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
 _START = xxhash.xxh3_64_intdigest(b"\x00start")
 _LOW = np.uint64(0xFFFFFFFF)
-_KNOWN_WORDS = 150_000
-_RUN_BYTES = 1 << 20
-_FLUSH = 500_000
+_KNOWN_WORDS = 200_000
+_RUN_BYTES = 2 << 20
+_FLUSH = 900_000
 _LEVELS = 40
 
 
@@ -140,9 +140,10 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
             grams, counts, word = held.pop()
             held.append((grams[:0], counts[:0], word[:0]))
             block = (grams % np.uint64(blocks)).astype(np.int32)
+            # Counts of words are sent as negative numbers, which saves a column.
             return pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(grams.view(np.int64)), pa.array(counts), pa.array(word)],
-                names=["block", "gram", "n", "word"],
+                [pa.array(block), pa.array(grams.view(np.int64)), pa.array(np.where(word, -counts, counts))],
+                names=["block", "gram", "n"],
             )
 
         for part in text_runs(batches, "text", _RUN_BYTES):
@@ -171,8 +172,9 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
 
     def pack(group: pa.Table) -> pa.Table:
         grams = group["gram"].to_numpy().view(np.uint64)
-        n, is_word = group["n"].to_numpy(), group["word"].to_numpy()
-        words, times = summed(grams[is_word], n[is_word])
+        n = group["n"].to_numpy()
+        is_word = n < 0
+        words, times = summed(grams[is_word], -n[is_word])
         pairs, pair_times = summed(grams[~is_word], n[~is_word])
         grams, levels = np.concatenate([words, pairs]), level(np.concatenate([times, pair_times]))
         bits = max(64, -(-int(levels.sum()) * settings.bits_per_entry // 64) * 64)
@@ -190,7 +192,7 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
         })
 
     grams = docs.select(text_or_empty().cast("string").alias("text")).mapInArrow(
-        count, "block int, gram bigint, n bigint, word boolean"
+        count, "block int, gram bigint, n bigint"
     )
     return written(
         grams.groupBy("block").applyInArrow(
@@ -227,7 +229,9 @@ class Segment:
         """Levels read from the filter; 0 for n-grams of other segments."""
         out = np.zeros(len(grams), dtype=np.uint8)
         block = (grams % np.uint64(self.blocks)).astype(np.int64)
-        at_gram = np.flatnonzero(self.start[block] >= 0)
+        # In the order of blocks, neighbouring probes fall close together.
+        at_gram = np.argsort(block.astype(np.uint16), kind="stable")
+        at_gram = at_gram[self.start[block[at_gram]] >= 0]
         block = block[at_gram]
         start, bits, grams = self.start[block], self.bits[block].astype(np.uint64), grams[at_gram]
         for at in range(1, _LEVELS + 1):
@@ -246,11 +250,15 @@ class Segment:
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for those of other segments."""
         out = np.zeros(len(words), dtype=np.int64)
+        # Ascending ones are found faster: each search starts where memory is warm.
+        order = np.argsort(words)
+        words, found = words[order], out.copy()
         for known, counts in ((self.once, None), (self.words, self.counts)):
             if len(known):
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 hit = known[at] == words
-                out[hit] = 1 if counts is None else counts[at[hit]]
+                found[hit] = 1 if counts is None else counts[at[hit]]
+        out[order] = found
         return out
 
 
