@@ -66,3 +66,19 @@ def test_recall_on_the_table(spark, sf):
     assert sum(r.n_links for r in out) >= 0.99 * linked.sum()
     want = dict(zip([r.vec_id for r in rows], linked.sum(axis=1)))
     assert all(r.n_links <= want[r.vec_id] for r in out)
+
+
+def test_recall_in_a_large_group_of_near_vectors(spark):
+    """A third of the rows are different vectors of which nearly all pairs are links."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=64)
+    near = near / np.linalg.norm(near) + rng.normal(size=(5_000, 64)) * 0.19 / 8
+    x = np.vstack([near, rng.normal(size=(10_000, 64))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert want[:5_000].mean() > 4_500
+    out = near_vectors(df).collect()
+    got = np.array([r.n_links for r in sorted(out, key=lambda r: r.vec_id)])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+    assert {r.component_id for r in out if r.vec_id < 5_000} == {0}
