@@ -40,8 +40,8 @@ class Settings:
     ``block_bytes``: text per filter block. ``segment_bytes`` bounds what is broadcast at once.
     """
 
-    bits_per_entry: int = 7
-    probes: int = 5
+    bits_per_entry: int = 10
+    probes: int = 6
     pair_weight: float = 2.0
     block_bytes: int = 1 << 20
     segment_bytes: int = 112 << 20

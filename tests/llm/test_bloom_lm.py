@@ -106,3 +106,14 @@ def test_filter_gives_levels_back():
     assert (got >= levels).all() and (got == levels).mean() > 0.95
     other = segment.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
     assert (other > 0).mean() < 0.05
+
+
+def test_error_rate_of_the_production_filter(spark):
+    """Unseen word pairs read as seen, in the model that ``build`` makes with ``Settings()``."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 200))) for _ in range(300)]
+    settings = bloom_lm.Settings()
+    model, blocks = bloom_lm.build(spark.createDataFrame([(t,) for t in texts], "text string"), settings)
+    segment = bloom_lm.Segment(model, blocks, settings.probes)
+    unseen = segment.levels(rng.integers(0, 2**63, 200_000, dtype=np.uint64))
+    assert (unseen > 0).mean() < 0.011
