@@ -62,10 +62,11 @@ def op3_ngram_join(spark, sf):
 
 @query
 def op4_token_counts(spark, sf):
-    """Tokens of every document, counted in flat token streams written from the documents."""
+    """Tokens of every document, counted in flat token files written from the documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    stored = token_files.write_token_blocks(docs, RANKS, WORD_PATTERN, END_ID)
-    counted = token_files.count_tokens(stored.where("kind = 'tokens'"), END_ID)
+    folder, stored = token_files.write_token_files(docs, RANKS, WORD_PATTERN, END_ID)
+    blocks = token_files.read_token_files(spark, folder, names=stored.select("file").distinct())
+    counted = token_files.count_tokens(blocks, END_ID).withColumn("file", F.substring_index("file", "/", -1))
     return counted.join(token_files.document_order(stored), ["file", "ordinal"]).select(
         "doc_id", "n_tokens", "file", "ordinal", "start"
     )

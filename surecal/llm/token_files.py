@@ -8,25 +8,37 @@ blocks of a file (tokens before, ends before, last end before) stitches them.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import text_runs, written
 
 BLOCK_TOKENS = 1 << 17
 # Blocks scanned together in the first of the two levels of the prefix scan.
 CHUNK_BLOCKS = 1 << 12
 _IDS = 8_192
+_TASK_BYTES = 16 << 20
 _NULL = -(2**63)
 _TOKEN = np.dtype("<u2")
 
 
+def _opened(path: str):
+    """File system and inner path of a path or URI; Hadoop's ``file:/x`` is a local path."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+        return LocalFileSystem(), path
+    return (LocalFileSystem(), path) if path.startswith("/") else FileSystem.from_uri(path)
+
+
 def write_token_blocks(
     docs: DataFrame, ranks_file: str, pattern: str, end: int, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
@@ -76,24 +88,101 @@ def write_token_blocks(
     return written(streams, "token-blocks", compression="zstd")
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, no, data) of raw files of 16-bit little-endian ids, below 2 GB each."""
+def write_token_files(docs: DataFrame, ranks_file: str, pattern: str, end: int) -> tuple[str, DataFrame]:
+    """Tokenise ``text`` of (doc_id, text) into flat files of 16-bit ids, one per task.
+
+    A file is all documents of the task, each closed by ``end`` (null texts are empty), and
+    nothing else. Gives the folder, and rows (kind 'ids', file, no, data) with the order of the
+    documents, ``file`` being a name in the folder. A task that runs again writes a file of
+    another name; only files that the rows name count.
+    """
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_file, "rb"))}
+    if max(ranks.values()) >= 2**16 or end >= 2**16 or end in set(ranks.values()):
+        raise ValueError("ids must fit 16 bits, and the end id must be free")
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((ranks, pattern))
+    folder = scratch_path(spark, "token-files")
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(there)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, pattern = shared.value
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        name, raw, held, no = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}", None, bytearray(), 0
+
+        def rows(last: bool):
+            nonlocal no
+            while len(held) >= _IDS * 8 or (last and held):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["ids"]), pa.array([name]), pa.array([no], pa.int64()), pa.array([bytes(held[: _IDS * 8])], pa.binary())],
+                    names=["kind", "file", "no", "data"],
+                )
+                no += 1
+                del held[: _IDS * 8]
+
+        try:
+            for part in text_runs(batches, "text"):
+                if raw is None:
+                    system, inner = _opened(f"{folder}/{name}")
+                    raw = system.open_output_stream(inner)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for ids in encoding.encode_ordinary_batch(texts, num_threads=1):
+                    ids.append(end)
+                    raw.write(np.array(ids, dtype=_TOKEN).tobytes())
+                held += part.column("doc_id").fill_null(_NULL).to_numpy().astype("<i8").tobytes()
+                yield from rows(False)
+        finally:
+            if raw is not None:
+                raw.close()
+        yield from rows(True)
+
+    return folder, written(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+            run, "kind string, file string, no bigint, data binary"
+        ),
+        "token-order", compression="zstd",
+    )
+
+
+def read_token_files(
+    spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, names: DataFrame | None = None
+) -> DataFrame:
+    """Blocks (file, no, data) of raw files of 16-bit little-endian ids, of any size.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = block_tokens * _TOKEN.itemsize
+    Files are listed without their content; each task opens them and reads its own byte ranges.
+    Paths are of file systems that pyarrow opens on the workers: shared folders, HDFS, S3, GCS.
+    ``names`` (file): only files of these names are read.
+    """
+    size = block_tokens * _TOKEN.itemsize
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    if names is not None:
+        files = files.join(names, F.substring_index("path", "/", -1) == F.col("file"), "left_semi")
+    width = F.lit(_TOKEN.itemsize)
+    ends = F.when(F.col("length") % width == 0, F.col("length")).otherwise(
+        F.raise_error(F.concat("path", F.lit(" ends within a token")))
+    )
+    blocks = F.ceil(ends / F.lit(size)).cast("bigint")
+    ranges = files.where("length > 0").withColumn("blocks", blocks).select(
+        F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("no")
+    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                view = memoryview(content.as_buffer())
-                if len(view) % _TOKEN.itemsize:
-                    raise ValueError(f"{path.as_py()} ends within a token")
-                for no, at in enumerate(range(0, len(view), size)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path.as_py()]), pa.array([no], pa.int64()), pa.array([bytes(view[at : at + size])], pa.binary())],
-                        names=["file", "no", "data"],
-                    )
+            for file, length, no in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "no"))):
+                system, inner = _opened(file)
+                wanted = min(size, length - no * size)
+                with system.open_input_file(inner) as raw:
+                    data = raw.read_at(wanted, no * size)
+                if len(data) != wanted:
+                    raise ValueError(f"{file} is shorter than it was when listed")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([no], pa.int64()), pa.array([data], pa.binary())],
+                    names=["file", "no", "data"],
+                )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(cut, "file string, no bigint, data binary")
+    # A fixed number of tasks: adaptive execution would join the short rows of ranges into one.
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return ranges.repartition(max(1, -(-total // max(size, _TASK_BYTES))), "file", "no").mapInArrow(read, "file string, no bigint, data binary")
 
 
 def _scanned(blocks: DataFrame, end: int) -> DataFrame:

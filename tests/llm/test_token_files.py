@@ -61,3 +61,27 @@ def test_query(spark, sf):
     plain = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = {r.doc_id: r.n_tokens for r in QUERIES["op4_token_counts"](spark, sf).collect()}
     assert out == {r.doc_id: len(plain.encode_ordinary(r.text)) for r in table(spark, sf, "documents").collect()}
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """A file beyond 2 GB (sparse), in ranges; its content is never one row."""
+    with open(tmp_path / "f.bin", "wb") as raw:
+        raw.truncate((2 << 30) + 6)
+        raw.seek(2 << 30)
+        raw.write(np.array([9, 4, 9], dtype="<u2").tobytes())
+    blocks = token_files.read_token_files(spark, str(tmp_path), 1 << 22).where("no >= 250")
+    rows = blocks.selectExpr("no", "length(data) AS n", "spark_partition_id() AS task", "right(hex(data), 12) AS tail").collect()
+    assert sorted((r.no, r.n) for r in rows) == [(n, 1 << 23) for n in range(250, 256)] + [(256, 6)]
+    assert len({r.task for r in rows}) > 1
+    assert [r.tail for r in rows if r.no == 256] == ["090004000900"]
+
+
+def test_files_written_hold_nothing_but_ids(spark, sf):
+    docs = spark.createDataFrame([(1, "some words"), (None, None), (3, "")], "doc_id bigint, text string").repartition(2)
+    folder, stored = token_files.write_token_files(docs, RANKS, WORD_PATTERN, END_ID)
+    blocks = token_files.read_token_files(spark, folder, 2, stored.select("file").distinct())
+    out = token_files.count_tokens(blocks, END_ID).selectExpr("substring_index(file, '/', -1) AS file", "ordinal", "n_tokens").join(
+        token_files.document_order(stored), ["file", "ordinal"]).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 0), (1, 2), (3, 0)]
+    folder, stored = token_files.write_token_files(docs.limit(0), RANKS, WORD_PATTERN, END_ID)
+    assert token_files.count_tokens(token_files.read_token_files(spark, folder, 2, stored.select("file").distinct()), END_ID).count() == 0
