@@ -55,6 +55,63 @@ s AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5"""
 
+SQL["op11_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+),
+t AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+f AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+w AS (
+  SELECT DISTINCT item_id, words[k + 1:k + 10] AS terms
+  FROM (SELECT *, unnest(range(greatest(len(words) - 10, 0) + 1)) AS k FROM i WHERE len(words) > 0)
+),
+win AS (SELECT terms, row_number() OVER () AS win FROM (SELECT DISTINCT terms FROM w)),
+pr AS (
+  SELECT *, row_number() OVER (PARTITION BY win ORDER BY n, word, off) AS k, count(*) OVER (PARTITION BY win) AS c
+  FROM (SELECT win, len(terms) AS size, unnest(terms) AS word, unnest(range(len(terms))) AS off FROM win) JOIN f USING (word)
+),
+g AS (
+  SELECT r, pos, n, words[pos + 1:pos + n] AS terms
+  FROM (SELECT r, words, n, unnest(range(len(words) - n + 1)) AS pos
+        FROM d, (SELECT DISTINCT len(terms) AS n FROM win) WHERE len(words) >= n)
+),
+hit AS (SELECT r, pos, n, win FROM g JOIN win USING (terms)),
+n_hit AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS pos FROM hit) GROUP BY r
+),
+items AS (
+  SELECT r, list_sort(list(DISTINCT item_id)) AS items
+  FROM (SELECT DISTINCT r, win FROM hit) JOIN win USING (win) JOIN w USING (terms) GROUP BY r
+),
+near1 AS (SELECT win, size, r, pos - off AS start FROM pr JOIN t USING (word) WHERE k = 1 AND c = size),
+near2 AS (
+  SELECT DISTINCT near1.* FROM near1 JOIN pr ON pr.win = near1.win AND pr.k = 2
+  JOIN t ON t.r = near1.r AND t.word = pr.word AND abs(t.pos - start - off) <= 2
+  UNION ALL SELECT * FROM near1 WHERE size < 2
+),
+near3 AS (
+  SELECT DISTINCT near2.* FROM near2 JOIN pr ON pr.win = near2.win AND pr.k = 3
+  JOIN t ON t.r = near2.r AND t.word = pr.word AND abs(t.pos - start - off) <= 2
+  UNION ALL SELECT * FROM near2 WHERE size < 3
+),
+near AS (
+  SELECT r, count(DISTINCT item_id) AS n_near_items
+  FROM (SELECT DISTINCT r, win FROM near3) JOIN win USING (win) JOIN w USING (terms) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

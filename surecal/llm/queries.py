@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, mixing, pieces, secrets, sharding, token_files, toxicity
+from . import bloom_lm, mixing, phrase_index, pieces, secrets, sharding, token_files, toxicity
 from .bit_sliced import top_k
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
@@ -135,3 +135,15 @@ def op10_toxicity(spark, sf):
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"),
         F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"),
     )
+
+
+@query
+def op11_decontaminate(spark, sf):
+    """Benchmark passages in every document: words hit, items found, near ones."""
+    found = phrase_index.find_phrases(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"),
+    )
