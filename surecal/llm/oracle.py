@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 SQL: dict[str, str] = {}
 
 _RULES = [
@@ -113,5 +115,54 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)"""
 
 
+def _filter_audit() -> str:
+    orders = [
+        (order, step, "ABCDE".index(letter), sum(1 << "ABCDE".index(c) for c in order[: step - 1]))
+        for order in map("".join, permutations("ABCDE")) for step, letter in enumerate(order, 1)
+    ]
+    steps = ", ".join(f"('{o}', {s}, {f}, {b})" for o, s, f, b in orders)
+    return f"""
+WITH steps(filter_order, step, f, before) AS (VALUES {steps}),
+t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+),
+d AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS failed
+  FROM t
+),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+c AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY part, failed
+),
+s AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN failed & (before | (1 << f)) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed >> f & 1 = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failed & before <> 0 AND failed >> f & 1 = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = 1 << f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed >> f & 1 = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed >> f & 1 = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM s"""
+
+
+SQL["op12_filter_audit"] = _filter_audit()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
