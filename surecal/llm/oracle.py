@@ -163,6 +163,64 @@ FROM s"""
 
 SQL["op12_filter_audit"] = _filter_audit()
 
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS crcs FROM (
+    SELECT b, list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(b))
+),
+runs AS (
+  SELECT id, run, length(run) AS size, count(*) AS times FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(
+      unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY id, run
+),
+bytes AS (
+  SELECT run, size, times, list_transform(
+    string_split_regex(regexp_replace(hex(encode(id || ':' || run)), '(..)', '\1 ', 'g'), ' ')[:-2],
+    lambda x: ('0x' || x)::BIGINT) AS b
+  FROM runs
+),
+hashed AS (
+  SELECT run, size, times, xor(4294967295, list_reduce([4294967295::BIGINT] || b,
+    lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]))) AS h
+  FROM bytes, crc_table
+),
+w AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % size)::BIGINT) || substr(run, (h % size)::BIGINT + 2) ELSE run END AS word
+    FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+),
+near AS (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT cut.word, w.word, w.n FROM cut JOIN w ON cut.rest = w.word
+    UNION ALL SELECT w.word, cut.word, cut.n FROM cut JOIN w ON cut.rest = w.word)
+),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+),
+formed AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+         CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM w LEFT JOIN best USING (word)
+),
+way AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (
+  SELECT way.word, way.root FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NULL
+) USING (word)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -17,9 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import lower_ascii, text_or_empty, written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: a word, before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The term posted behind the last word of each document; its position is the number of words.
@@ -36,11 +35,6 @@ class Settings:
     near_terms: int = 3
 
 
-def lower_ascii(word: Column) -> Column:
-    """A-Z in lower case; most words have none and are only looked at."""
-    return F.when(F.rlike(word, F.lit("[A-Z]")), F.translate(word, UPPER, LOWER)).otherwise(word)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, filter_audit, mixing, phrase_index, pieces, secrets, sharding, token_files, toxicity
+from . import bloom_lm, filter_audit, mixing, phrase_index, pieces, secrets, sharding, spelling, token_files, toxicity
 from .bit_sliced import top_k
 from .common import remainder, table, text_or_empty
 from .ngram_join import ngram_join
@@ -153,3 +153,9 @@ def op11_decontaminate(spark, sf):
 def op12_filter_audit(spark, sf):
     """What each of five filters removes after others, per source, order and step."""
     return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op13_spelling(spark, sf):
+    """Near words, form and root of every word that occurs often enough."""
+    return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))

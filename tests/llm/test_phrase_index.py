@@ -6,10 +6,12 @@ import pytest
 
 from compare import compare, connect
 from surecal.llm import phrase_index
+from surecal.llm.common import LOWER as SMALL
+from surecal.llm.common import UPPER as GREAT
 from surecal.llm.phrase_index import Settings
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(phrase_index.UPPER, phrase_index.LOWER)
+LOWER = str.maketrans(GREAT, SMALL)
 
 
 def words(text):
