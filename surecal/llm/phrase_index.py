@@ -12,6 +12,7 @@ have the same result each. A null text has no words, a null doc_id is an id like
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,14 @@ from .common import lower_ascii, text_or_empty, written
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The term posted behind the last word of each document; its position is the number of words.
 END = -1
+# What is known of the benchmark alone is broadcast up to so many bytes, by count; beyond that
+# it is joined by shuffles.
+BROADCAST_BYTES = 64 << 20
+# A generous size of a word of a window: its text, count, place and term, as objects.
+WORD_BYTES = 200
+
+
+Hint = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -50,10 +59,15 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return held.select("item_id", F.explode(cut).alias("terms")).distinct()
 
 
+def with_end(words: DataFrame) -> DataFrame:
+    """(word, term): numbered distinct words, and the empty one, which stands for the end."""
+    end = words.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("bigint").alias("term"))
+    return words.distinct().withColumn("term", F.monotonically_increasing_id()).unionByName(end)
+
+
 def post(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, doc, position) of the words in ``vocabulary`` (word, term), and an END each."""
+    """Postings (term, doc, position) of the words in ``vocabulary`` (word, term), END included."""
     text = text_or_empty()
-    end = docs.sparkSession.createDataFrame([("", END)], "word string, term bigint")
     # No word is empty, so the empty one can stand for the end. The text ends here: what an
     # explode is selected with is computed for each word.
     held = docs.select(
@@ -64,7 +78,7 @@ def post(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     tokens = held.select("doc", F.posexplode_outer("all").alias("position", "found"))
     return (
         tokens.withColumn("word", lower_ascii(F.col("found")))
-        .join(vocabulary.select("word", "term").unionByName(end), "word")
+        .join(vocabulary, "word")
         .select("term", "doc", "position")
         .sortWithinPartitions("term")
     )
@@ -87,21 +101,23 @@ def _probe(k: int, field: str) -> Column:
     return F.get("probes", F.lit(k))[field]
 
 
-def _lists(index: DataFrame, plan: DataFrame, k: int) -> DataFrame:
+def _lists(index: DataFrame, plan: DataFrame, k: int, hint: Hint) -> DataFrame:
     """The postings of the terms that are the k-th rarest of any window."""
     terms = plan.where(F.size("probes") > k).select(_probe(k, "term").alias("term")).distinct()
-    return index.join(terms, "term", "left_semi")
+    return index.join(hint(terms), "term", "left_semi")
 
 
-def _places(index: DataFrame, plan: DataFrame) -> DataFrame:
+def _places(index: DataFrame, plan: DataFrame, hint: Hint) -> DataFrame:
     """(window, doc, start, exact): where the rarest term puts each window."""
     anchor = plan.select("window", _probe(0, "term").alias("term"), _probe(0, "offset").alias("offset"))
-    return index.join(anchor, "term").select(
+    return index.join(hint(anchor), "term").select(
         "window", "doc", (F.col("position") - F.col("offset")).alias("start"), F.lit(True).alias("exact")
     )
 
 
-def _intersected(places: DataFrame, index: DataFrame, plan: DataFrame, k: int, slop: int) -> DataFrame:
+def _intersected(
+    places: DataFrame, index: DataFrame, plan: DataFrame, k: int, slop: int, hint: Hint
+) -> DataFrame:
     """``places`` whose k-th rarest term is at most ``slop`` words off; ``exact`` where it is not off.
 
     Positions are compared within stretches as wide as the tolerance, so a place looks into two
@@ -116,23 +132,23 @@ def _intersected(places: DataFrame, index: DataFrame, plan: DataFrame, k: int, s
     def stretch(position: Column) -> Column:
         return F.floor(position / F.lit(width))
 
-    wanted = places.join(term, "window").withColumn("at", F.col("start") + F.col("offset")).withColumn(
+    wanted = places.join(hint(term), "window").withColumn("at", F.col("start") + F.col("offset")).withColumn(
         "stretch", F.explode(F.array_distinct(F.array(stretch(F.col("at") - slop), stretch(F.col("at") + slop))))
     )
-    listed = _lists(index, plan, k).withColumn("stretch", stretch(F.col("position")))
+    listed = _lists(index, plan, k, hint).withColumn("stretch", stretch(F.col("position")))
     met = wanted.join(listed, ["doc", "term", "stretch"]).withColumn("off", F.abs(F.col("position") - F.col("at")))
     found = (
         met.where(F.col("off") <= slop).groupBy("window", "doc", "start")
         .agg(F.max(F.col("exact") & (F.col("off") == 0)).alias("exact"))
     )
-    passed = places.join(short, "window", "left_semi").distinct()
+    passed = places.join(hint(short), "window", "left_semi").distinct()
     return found.unionByName(passed)
 
 
-def _phrases(places: DataFrame, index: DataFrame, plan: DataFrame, known: int) -> DataFrame:
+def _phrases(places: DataFrame, index: DataFrame, plan: DataFrame, known: int, hint: Hint) -> DataFrame:
     """(window, doc, start, size) of the exact ``places`` whose terms from the ``known``-th on agree too."""
     exact = written(
-        places.where("exact").select("window", "doc", "start").distinct().join(plan, "window")
+        places.where("exact").select("window", "doc", "start").distinct().join(hint(plan), "window")
         .withColumn("size", F.size("probes")),
         "phrase-places",
     )
@@ -171,17 +187,15 @@ def find_phrases(docs: DataFrame, items: DataFrame, settings: Settings = Setting
     windows = written(
         by_item.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()), "windows"
     )
-    vocabulary = written(
-        windows.select(F.explode("terms").alias("word")).distinct()
-        .withColumn("term", F.monotonically_increasing_id()),
-        "vocabulary",
-    )
-    index = written(post(docs.select("doc_id", "text"), vocabulary), "postings", compression="zstd")
+    vocabulary = written(with_end(windows.select(F.explode("terms").alias("word"))), "vocabulary")
+    size = windows.agg(F.coalesce(F.sum(F.size("terms").cast("bigint")), F.lit(0))).first()[0] * WORD_BYTES
+    hint: Hint = F.broadcast if size <= BROADCAST_BYTES else lambda t: t
+    index = written(post(docs.select("doc_id", "text"), hint(vocabulary)), "postings", compression="zstd")
     plan = written(search_plan(windows, vocabulary, index), "search-plan")
-    places = _places(index, plan)
+    places = _places(index, plan, hint)
     for k in range(1, settings.near_terms):
-        places = written(_intersected(places, index, plan, k, settings.slop), "places")
-    phrases = written(_phrases(places, index, plan, settings.near_terms), "phrases")
+        places = written(_intersected(places, index, plan, k, settings.slop, hint), "places")
+    phrases = written(_phrases(places, index, plan, settings.near_terms, hint), "phrases")
 
     owners = by_item.join(windows, "terms").select("window", "item_id")
     inside = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))

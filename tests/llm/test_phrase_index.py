@@ -99,3 +99,8 @@ def test_no_python_in_the_plan(spark, sf):
 def test_query_matches_sql(spark, sf):
     assert compare(spark, connect(sf), sf, "op11_decontaminate") is None
     assert sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_benchmark_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "BROADCAST_BYTES", 0)
+    assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
