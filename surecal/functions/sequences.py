@@ -15,21 +15,66 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# A prime below 2^31, so that a product of two remainders fits a BIGINT, and a base for it.
+_PRIME, _BASE = 2_147_483_629, 1_000_003
+# Elements of slices that are compared per element of the array before the fold takes over.
+_SLICED = 16
+
+
+def _digit(element: Column) -> Column:
+    return F.pmod(F.xxhash64(element), F.lit(_PRIME))
+
+
+def _rolling_search(seq: Column, sub: Column) -> Column:
+    """First position of ``sub`` by one pass over ``seq`` with a rolling hash.
+
+    The hash of the last ``size(sub)`` elements follows from the one before in constant time;
+    only where it agrees is a slice compared. Linear also where elements repeat.
+    """
+    prime, base, size = F.lit(_PRIME), F.lit(_BASE), F.size(sub)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    known = F.struct(
+        F.aggregate(sub, zero, lambda h, x: (h * base + _digit(x)) % prime).alias("wanted"),
+        F.aggregate(sub, one, lambda p, _: p * base % prime).alias("power"),
+    )
+
+    def search(k: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            leaving = F.when(i >= size, _digit(F.get(seq, i - size)) * k["power"] % prime).otherwise(zero)
+            rolled = F.pmod(state["h"] * base + _digit(F.get(seq, i)) - leaving, prime)
+
+            def checked(h: Column) -> Column:
+                here = (h == k["wanted"]) & (i >= size - 1) & (F.slice(seq, i - size + 2, size) == sub)
+                return F.struct(h.alias("h"), F.when(here, i - size + 1).alias("at"))
+
+            return F.when(state["at"].isNotNull(), state).otherwise(let(rolled, checked))
+
+        begin = F.struct(zero.alias("h"), F.lit(None).cast("int").alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(seq) - 1), begin, step, lambda s: s["at"])
+
+    return let(known, search)
+
+
 def find_subsequence(sequence: Column | str, part: Column | str) -> Column:
-    """0-based first position of ``part`` in ``sequence``; NULL if absent."""
+    """0-based first position of ``part`` in ``sequence``; NULL if absent.
+
+    Places where the first element agrees are compared as slices while these are few against
+    the array; otherwise one pass finds the place. The result is the same.
+    """
     seq, sub = as_column(sequence), as_column(part)
     last = F.size(seq) - F.size(sub)
     head = F.get(sub, F.lit(0))
-    hits = F.filter(
-        F.sequence(F.lit(0), last),
-        # The first element is compared before a slice is cut.
-        lambda i: F.get(seq, i).eqNullSafe(head)
-        & (F.slice(seq, i + F.lit(1), F.size(sub)) == sub),
-    )
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(seq, i).eqNullSafe(head))
+
+    def compared(s: Column) -> Column:
+        few = F.size(s).cast("bigint") * F.size(sub) <= F.size(seq).cast("bigint") * _SLICED
+        hits = F.filter(s, lambda i: F.slice(seq, i + F.lit(1), F.size(sub)) == sub)
+        return F.when(few, F.get(hits, F.lit(0))).otherwise(_rolling_search(seq, sub))
+
     return (
         F.when(seq.isNull() | sub.isNull() | (last < 0), F.lit(None))
         .when(F.size(sub) == 0, F.lit(0))
-        .otherwise(F.get(hits, F.lit(0)))
+        .otherwise(let(starts, compared))
         .cast("int")
     )
 

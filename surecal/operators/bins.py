@@ -97,51 +97,123 @@ def _edges_below(p: Column, edges: Column, n_bins: int) -> Column:
     return F.size(F.filter(edges, lambda e: e < p))
 
 
-def grouped_equal_frequency_stats(
-    df: DataFrame, y: str, p: str, by: Sequence[str], n_bins: int
-) -> DataFrame:
-    """``_g, bin`` and the statistics of each non-empty equal-frequency bin.
+def _scores(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
+    """One row per group and distinct probability, with the moments of its labels, written.
 
-    The source is read once, into one row per group and distinct probability. Ranking these
-    leaves exact, linearly interpolated quantiles per group, equal ones merged, against
-    which the same narrow table is then binned.
+    ``ny`` labels of mean ``my`` and sum of squared deviations ``m2``: moments that can be put
+    together without taking large numbers from each other.
     """
-    if n_bins < 1:
-        raise ValueError("n_bins must be positive")
     label = F.col("_y")
-    scores = materialize(
+    return materialize(
         df.select(group_key(by), number(y).alias("_y"), number(p).alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(KEY, "_v")
         .agg(
             F.count(F.lit(1)).alias("n"), F.count(label).alias("ny"),
-            F.sum(label).alias("sy"), F.sum(label * label).alias("syy"),
+            F.avg(label).alias("my"), (F.var_pop(label) * F.count(label)).alias("m2"),
         )
     )
+
+
+def _in_bins(scores: DataFrame, edges: DataFrame, n_bins: int, size: int) -> DataFrame:
+    """``scores`` with their ``bin`` between the edges of their group; groups without edges go."""
+    below = _edges_below(F.col("_v"), F.col("_edges"), n_bins)
+    return (
+        join_parameters(scores, edges, [KEY], size)
+        .where(F.col("_edges").isNotNull())
+        # Bins hold their upper edge; the lowest value joins the first bin.
+        .withColumn("bin", F.greatest(below - 1, F.lit(0)))
+        .drop("_edges")
+    )
+
+
+def _statistics(binned: DataFrame, size: int, deviations: bool) -> DataFrame:
+    """Statistics per group and bin; ``std_y`` from a second look, around the mean of the bin.
+
+    ``size`` bounds the table of bin means in bytes.
+    """
+    n = F.sum("ny")
+    mean_y = F.try_divide(F.sum(F.col("my") * F.col("ny")), n)
+    columns = [
+        mean_y.alias("mean_y"),
+        (F.sum(F.col("_v") * F.col("n")) / F.sum("n")).alias("mean_conf"),
+        n.alias("n"),
+        F.min("_v").alias("start"),
+        F.max("_v").alias("end"),
+    ]
+    if deviations:
+        means = binned.groupBy(KEY, "bin").agg(mean_y.alias("_mean"))
+        binned = join_parameters(binned, means, [KEY, "bin"], size)
+        off = F.col("my") - F.col("_mean")
+        spread = F.sum(F.col("m2") + F.col("ny") * off * off)
+        columns.append(F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_y"))
+    return binned.groupBy(KEY, "bin").agg(*columns).withColumn("width", F.col("end") - F.col("start"))
+
+
+def grouped_equal_frequency_stats(
+    df: DataFrame,
+    y: str,
+    p: str,
+    by: Sequence[str],
+    n_bins: int,
+    accuracy: int | None = None,
+    deviations: bool = True,
+) -> DataFrame:
+    """``_g, bin`` and the statistics of each non-empty equal-frequency bin.
+
+    The source is read once, into one row per group and distinct probability. Ranking these
+    leaves exact, linearly interpolated quantiles per group, equal ones merged, against
+    which the same narrow table is then binned. With ``accuracy`` the edges come from
+    :func:`approximate_edges` instead: a second scan, and no ranking.
+    """
+    if n_bins < 1:
+        raise ValueError("n_bins must be positive")
+    scores = _scores(df, y, p, by)
     fractions = np.linspace(0.0, 1.0, n_bins + 1)
-    quantiles = quantiles_of_counts(scores.select(KEY, "_v", "n"), fractions, by, "_edges")
+    if accuracy is None:
+        quantiles = quantiles_of_counts(scores.select(KEY, "_v", "n"), fractions, by, "_edges")
+    else:
+        quantiles = approximate_edges(df, p, by, n_bins, accuracy).withColumnRenamed("edges", "_edges")
     edges = materialize(
         quantiles.select(group_key(by), F.array_distinct("_edges").alias("_edges"))
         # One distinct edge bounds no bin at all.
         .where(F.size("_edges") >= 2)
     )
-    below = _edges_below(F.col("_v"), F.col("_edges"), n_bins)
-    n = F.sum("ny")
-    spread = F.greatest(F.sum("syy") - F.try_divide(F.sum("sy") * F.sum("sy"), n), F.lit(0.0))
+    # A bin mean takes no more than eight times what an edge does.
+    size = table_bytes(edges, arrays=["_edges"])
+    return _statistics(_in_bins(scores, edges, n_bins, size), size * 8, deviations)
+
+
+def approximate_edges(
+    df: DataFrame,
+    p: str = "y_prob",
+    by: Sequence[str] = (),
+    n_bins: int = 10,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """``by, edges``: values of a group whose ranks are near those of its equal-frequency edges.
+
+    One scan with a mergeable quantile sketch per group, for groups whose distinct
+    probabilities are too many to be ranked. The rank of an edge is off by at most one in
+    ``accuracy`` of the rows; edges are observed values and may repeat. The least and the
+    greatest value of a group are exact.
+    """
+    if n_bins < 1 or accuracy < 1:
+        raise ValueError("n_bins and accuracy must be positive")
+    value = number(p)
+    fractions = [float(f) for f in np.linspace(0.0, 1.0, n_bins + 1)]
     return (
-        join_parameters(scores, edges, [KEY], table_bytes(edges, arrays=["_edges"]))
-        .where(F.col("_edges").isNotNull())
-        # Bins hold their upper edge; the lowest value joins the first bin.
-        .groupBy(KEY, F.greatest(below - 1, F.lit(0)).alias("bin"))
+        df.select(group_key(by), value.alias("_v")).where(F.col("_v").isNotNull())
+        .groupBy(KEY)
         .agg(
-            F.try_divide(F.sum("sy"), n).alias("mean_y"),
-            F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_y"),
-            (F.sum(F.col("_v") * F.col("n")) / F.sum("n")).alias("mean_conf"),
-            n.alias("n"),
-            F.min("_v").alias("start"),
-            F.max("_v").alias("end"),
+            F.percentile_approx("_v", fractions, accuracy).alias("_edges"),
+            F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+        )
+        .select(
+            *group_columns(by),
+            F.transform("_edges", lambda e, i: F.when(i == 0, F.col("_low")).when(
+                i == n_bins, F.col("_high")).otherwise(e)).alias("edges"),
         )
-        .withColumn("width", F.col("end") - F.col("start"))
     )
 
 
@@ -149,7 +221,7 @@ def equal_frequency_arrays(
     df: DataFrame, y: str, p: str, by: Sequence[str], n_bins: int
 ) -> DataFrame:
     """One row per group with ``bins``: its non-empty equal-frequency bins in order."""
-    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins)
+    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins, deviations=False)
     entry = F.struct("bin", "mean_y", "mean_conf", "n")
     return stats.groupBy(KEY).agg(F.array_sort(F.collect_list(entry)).alias("bins"))
 
@@ -160,13 +232,15 @@ def equal_frequency_bin_stats(
     p: str = "y_prob",
     by: Sequence[str] = (),
     n_bins: int = 10,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Statistics per equal-frequency bin: ``bin`` (0-based), means, count, observed range.
 
     Tied probabilities stay together, so fewer than ``n_bins`` bins may come out; a
-    group with one distinct probability has none.
+    group with one distinct probability has none. Edges are exact; ``accuracy`` asks for
+    sketched ones, see :func:`approximate_edges`.
     """
-    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins)
+    stats = grouped_equal_frequency_stats(df, y, p, by, n_bins, accuracy)
     return stats.select(
         *group_columns(by), "bin", "mean_y", "std_y", "mean_conf", "n", "start", "end", "width"
     )

@@ -17,8 +17,9 @@ from ..functions.probability import EPS, clip, logit, number, sigmoid
 from ..functions.sequences import interpolate
 from ..session import materialize
 from .bins import bin_arrays, grouped_bin_stats
+from .interpolation import interpolate_rows
 from .isotonic import isotonic_knots
-from .keys import BROADCAST_BYTES, group_columns, join_parameters, table_bytes
+from .keys import BROADCAST_BYTES, group_columns, group_key, join_parameters, table_bytes
 from .newton import fit_logit_line
 
 
@@ -38,6 +39,41 @@ class Calibrator:
         return joined.select(*df.columns, self.calibrated(F.col(p)).alias(out))
 
 
+# Groups of up to so many knots carry them to their rows as arrays.
+ARRAY_KNOTS = 4096
+
+
+@dataclass(frozen=True)
+class KnotCalibrator:
+    """Knots per group, one row each, and the place of a probability among them.
+
+    ``most`` is the number of knots of the largest group, ``size`` that of all in bytes.
+    """
+
+    parameters: DataFrame
+    by: tuple[str, ...]
+    score: Callable[[Column | str], Column]
+    most: int
+    size: int
+    array_knots: int = ARRAY_KNOTS
+    broadcast_bytes: int = BROADCAST_BYTES
+
+    def transform(self, df: DataFrame, p: str = "y_prob", out: str = "p_cal") -> DataFrame:
+        """``df`` with ``out``: NULL for a missing ``p`` or a group that was not fitted.
+
+        Few knots are looked up in the row; where a group has more, the distinct places meet
+        the knots in buckets of the axis, and no row or task holds the knots of a group.
+        """
+        place = self.score(F.col(p))
+        if self.most > self.array_knots:
+            return interpolate_rows(df, self.parameters, by=self.by, out=out, position=place)
+        knots = self.parameters.groupBy(group_key(self.by)).agg(
+            F.array_sort(F.collect_list(F.struct("knot_x", "knot_y"))).alias("_k")
+        ).select(*group_columns(self.by), F.col("_k.knot_x").alias("_xs"), F.col("_k.knot_y").alias("_ys"))
+        joined = join_parameters(df, knots, self.by, self.size, self.broadcast_bytes)
+        return joined.select(*df.columns, interpolate(place, "_xs", "_ys").alias(out))
+
+
 def fit_histogram(
     train: DataFrame,
     y: str = "y_true",
@@ -77,19 +113,17 @@ def fit_isotonic(
     by: Sequence[str] = (),
     eps: float = EPS,
     clipped: bool = True,
-) -> Calibrator:
+) -> KnotCalibrator:
     """Least-squares non-decreasing fit, linear between knots and flat outside them."""
 
     def score(c: Column | str) -> Column:
         return clip(c, eps) if clipped else number(c)
 
     parameters = materialize(isotonic_knots(train, y, score(p), by))
-    return Calibrator(
-        parameters,
-        tuple(by),
-        lambda c: interpolate(score(c), "knot_x", "knot_y"),
-        table_bytes(parameters, arrays=["knot_x", "knot_y"]),
-    )
+    # One number per group.
+    per_group = parameters.groupBy(group_key(by)).agg(F.count(F.lit(1)).alias("n"))
+    most = per_group.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return KnotCalibrator(parameters, tuple(by), score, most, table_bytes(parameters, row_bytes=32))
 
 
 def fit_platt(

@@ -2,7 +2,10 @@
 
 Neighbours that break the order belong to one block of the final fit, so any sorted
 stretch may be pooled on its own first. Rows are pooled within slices of the value
-axis, and the few blocks left are pooled again per group.
+axis, fine ones and then coarse ones. A block that is above all blocks of the slices before
+its own and below all of those after it is settled: pooling averages, so nothing can ever
+reach it. Only what lies around the borders of slices is left, and is pooled in stretches
+of slices that no clean border cuts. Knots are rows.
 """
 
 from __future__ import annotations
@@ -11,16 +14,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.probability import number
-from .keys import KEY, group_columns, group_key
+from ..session import materialize
+from .keys import KEY, group_columns, group_key, join_parameters, table_bytes
 from .running import bucket
 
 # Slices per unit of the value axis, as powers of two: blocks of fine slices are pooled
-# again in coarser ones before those of a group meet.
+# again in coarser ones before those around borders meet. The axis is bounded, so a group has
+# a few thousand coarse slices at most.
 SLICE_BITS = (8, 2)
 # Blocks at the end of an open key that are pooled with the next batch at first.
 _TAIL = 64
@@ -126,8 +131,26 @@ def _pooled(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def isotonic_knots(df: DataFrame, y: str, score: Column, by: Sequence[str]) -> DataFrame:
-    """``by, knot_x, knot_y``: both ends of every block, ascending."""
+def _slice_limits(blocks: DataFrame) -> DataFrame:
+    """Per coarse slice: the greatest mean before it, the least after it, and its stretch.
+
+    Blocks of a slice ascend, so its least and greatest means are all that others need. A
+    border is clean if all means before it are below all means behind it.
+    """
+    slices = blocks.groupBy(KEY, "_slice").agg(F.min("_mean").alias("_least"), F.max("_mean").alias("_most"))
+    up = Window.partitionBy(KEY).orderBy("_slice")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(KEY).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    limits = slices.select(
+        KEY, "_slice", F.max("_most").over(before).alias("_before"), F.min("_least").over(after).alias("_after"),
+        "_least",
+    )
+    clean = F.col("_before").isNull() | (F.col("_before") < F.least("_least", "_after"))
+    return limits.withColumn("_stretch", F.sum(clean.cast("long")).over(up)).drop("_least")
+
+
+def isotonic_blocks(df: DataFrame, y: str, score: Column, by: Sequence[str]) -> DataFrame:
+    """``_g, lo, hi, total, count``: the blocks of the fit of each group."""
     points = (
         df.select(group_key(by), number(y).alias("_y"), score.alias("_p"))
         .where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
@@ -138,19 +161,24 @@ def isotonic_knots(df: DataFrame, y: str, score: Column, by: Sequence[str]) -> D
     blocks = points
     for bits in SLICE_BITS:
         blocks = _pooled(blocks.withColumn("_slice", bucket(F.col("lo"), bits)), [KEY, "_slice"])
-    blocks = _pooled(blocks, [KEY])
-    ends = F.when(
-        F.col("lo") == F.col("hi"), F.array("lo")
-    ).otherwise(F.array("lo", "hi"))
+    columns = [KEY, "lo", "hi", "total", "count"]
+    blocks = materialize(blocks.select(*columns))
+    sliced = blocks.withColumn("_slice", bucket(F.col("lo"), SLICE_BITS[-1])).withColumn(
+        "_mean", F.col("total") / F.col("count"))
+    limits = materialize(_slice_limits(sliced))
+    placed = join_parameters(sliced, limits, [KEY, "_slice"], table_bytes(limits))
+    settled = (
+        (F.col("_before").isNull() | (F.col("_before") < F.col("_mean")))
+        & (F.col("_after").isNull() | (F.col("_mean") < F.col("_after")))
+    )
+    loose = _pooled(placed.where(~settled), [KEY, "_stretch"])
+    return placed.where(settled).select(*columns).unionByName(loose.select(*columns))
+
+
+def isotonic_knots(df: DataFrame, y: str, score: Column, by: Sequence[str]) -> DataFrame:
+    """``by, knot_x, knot_y``: both ends of every block, one row each."""
+    ends = F.array_distinct(F.array("lo", "hi"))
     level = F.col("total") / F.col("count")
-    knots = F.transform(ends, lambda x: F.struct(x.alias("x"), level.alias("y")))
-    return (
-        blocks.select(KEY, F.explode(knots).alias("knot"))
-        .groupBy(KEY)
-        .agg(F.array_sort(F.collect_list("knot")).alias("k"))
-        .select(
-            *group_columns(by),
-            F.transform("k", lambda k: k["x"]).alias("knot_x"),
-            F.transform("k", lambda k: k["y"]).alias("knot_y"),
-        )
+    return isotonic_blocks(df, y, score, by).select(
+        *group_columns(by), F.explode(ends).alias("knot_x"), level.alias("knot_y")
     )

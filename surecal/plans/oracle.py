@@ -302,8 +302,8 @@ SELECT te.i AS event_id, {cols(by, 'te.')} {r6('y_prob', 'y_prob')}, {r6('y', 'p
 FROM te LEFT JOIN ip ON te.i = ip.i"""
 
 
-def isotonic_means(by: Sequence[str]) -> str:
-    return f"""WITH {isotonic_ctes(LINEITEM, by, 'row_number() OVER ()')}
+def isotonic_means(by: Sequence[str], source: str = LINEITEM) -> str:
+    return f"""WITH {isotonic_ctes(source, by, 'row_number() OVER ()')}
 SELECT {cols(by, 'te.')} {r6('avg(y)', 'mean_cal')}, CAST(count(y) AS BIGINT) AS n
 FROM te LEFT JOIN ip ON te.i = ip.i {group([f'te.{c}' for c in by])}"""
 
@@ -510,6 +510,12 @@ FROM documents"""
         ),
         "bin_assignment": f"SELECT event_id, {labels}[({moved_bins}) + 1] AS bin FROM ({EVENTS}) e",
         "eqfreq_bins": eqfreq(LINEITEM, RUN),
+        "eqfreq_continuous_labels": f"""WITH {eqfreq_ctes(
+            f"SELECT * REPLACE (y_true + y_prob * 2 + 1e8 AS y_true) FROM ({LINEITEM}) c", RUN)}
+SELECT {cols(RUN)} CAST(bin AS BIGINT) AS bin, round(mean_y - 1e8, 4) + 0.0 AS mean_shift,
+  round(std_y, 5) + 0.0 AS std_y, CAST(n AS BIGINT) AS n FROM eq""",
+        "approximate_edges": f"""SELECT {cols(RUN)} CAST(j AS BIGINT) AS j, n, TRUE AS within
+FROM (SELECT {cols(RUN)} count(*) AS n FROM ({LINEITEM}) s GROUP BY ALL), range(21) t(j)""",
         "eqfreq_bins_ties": eqfreq(EVENTS, by2, 150),
         "ece_by_run": f"WITH {ece_ctes(LINEITEM, RUN)} SELECT {cols(RUN)} {r9('ece', 'ece')} FROM ece",
         "ece_overall": f"WITH {ece_ctes(LINEITEM, [], 15)} SELECT {r9('ece', 'ece')} FROM ece",
@@ -538,6 +544,14 @@ FROM documents"""
         ),
         "isotonic_scaling": isotonic(by2),
         "isotonic_continuous": isotonic_means(RUN),
+        "isotonic_continuous_labels": isotonic_means(
+            RUN, f"SELECT * REPLACE (y_true * 0.25e0 + y_prob * 0.5e0 AS y_true) FROM ({LINEITEM}) c"
+        ),
+        "interpolate_many_knots": f"""WITH kn AS (
+  SELECT o_orderstatus, o_orderkey::DOUBLE AS kx, o_totalprice::DOUBLE AS ky FROM orders WHERE o_orderkey % 3 = 0),
+te AS (SELECT o_orderkey AS i, o_orderstatus, o_orderkey::DOUBLE AS x FROM orders),
+{interpolated('kn', 'te', ['o_orderstatus'])}
+SELECT te.i AS o_orderkey, te.o_orderstatus, round(y + 1.23e-5, 3) + 0.0 AS y FROM te LEFT JOIN ip ON te.i = ip.i""",
         "platt_params": f"WITH {newton_ctes(LINEITEM, RUN, False)} "
         f"SELECT {cols(RUN)} {r6('a', 'a')}, {r6('b', 'b')}, TRUE AS converged FROM fit",
         "platt_scaling": newton_applied(by2, False),
@@ -634,6 +648,9 @@ FROM conversations CROSS JOIN range(2) AS t(pos)""",
   concat(text, CASE WHEN turn % 2 = 0 THEN concat(role, chr(10), chr(10)) ELSE '' END, {prefix_choice}) AS choice
 FROM conversations""",
         "strip_newlines": "SELECT doc_id, concat(' ', text, ' ') AS text FROM documents",
+        "long_head": """SELECT l_linenumber::BIGINT AS l_linenumber, count(*) AS n, max(l_orderkey) AS last FROM (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i, count(*) OVER () AS c FROM lineitem)
+WHERE i <= c * 9 // 10 GROUP BY l_linenumber""",
         "head_n": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 250",
         "record_index": """SELECT event_id, user_id,
   CAST(row_number() OVER (ORDER BY user_id, event_id) - 1 AS BIGINT) AS "index" FROM events""",
@@ -655,6 +672,10 @@ UNION ALL SELECT run_id, id, answer, prediction, {r6('verb_conf', 'verb_conf')},
   concat('1970010', 1 + CAST(prompt AS INT), '_000000') AS timestamp,
   CAST(NULL AS BIGINT) AS max_samples, concat('line one', chr(10), 'prompt ', prompt) AS system_prompt
 FROM ({EVENTS}) e""",
+        "run_table_roundtrip": """SELECT 'run_' || source AS run_id, source AS model, min(lang) AS dataset,
+  count(*) AS batch_size, count(*) % 2 = 0 AS thinking, max(doc_id) AS max_samples,
+  concat('a', chr(10), 'b ', source) AS system_prompt, TRUE AS same FROM documents GROUP BY source""",
+        "arc_outputs_added": f"""SELECT run_id, id, answer, prediction, {r6('verb_conf', 'verb_conf')} FROM ({arc}) a""",
         "run_names": "SELECT event_id, concat('run_', strftime(ts, '%Y%m%d_%H%M%S')) AS run_id FROM events",
         "benchmark_scan": """SELECT text AS question, CAST(doc_id AS VARCHAR) AS answer,
   lang AS config, 'test' AS split FROM documents WHERE lang = 'en' AND doc_id % 4 = 0""",

@@ -17,7 +17,7 @@ from ..functions import prompts, sequences
 from ..functions.binning import Bins
 from ..functions.extraction import parse_output
 from ..functions.probability import clip, logit, number, sigmoid
-from ..operators import analysis, assembly, bins, calibration, curves, metrics, rows
+from ..operators import analysis, assembly, bins, calibration, curves, interpolation, keys, metrics, rows
 from ..schemas import ARC_OUTPUTS, GSM8K_OUTPUTS
 from ..session import materialize, scratch_path
 from ..sources import records, runs
@@ -106,6 +106,35 @@ def eqfreq_bins_ties(spark, sf):
     )
 
 
+@query
+def eqfreq_continuous_labels(spark, sf):
+    """Labels of many values far from zero, whose deviations are small against them."""
+    shifted = F.col("y_true") + F.col("y_prob") * 2 + F.lit(1e8)
+    rows_ = pred_lineitem(spark, sf).withColumn("y_true", shifted)
+    return bins.equal_frequency_bin_stats(rows_, by=RUN).select(
+        *RUN, F.col("bin").cast("bigint").alias("bin"), r6(F.col("mean_y") - F.lit(1e8), 4).alias("mean_shift"),
+        r6("std_y", 5).alias("std_y"), "n",
+    )
+
+
+@query
+def approximate_edges(spark, sf):
+    """Sketched edges per run: how far their ranks are off, against what is allowed."""
+    source = pred_lineitem(spark, sf).select(*RUN, "y_prob")
+    edges = materialize(bins.approximate_edges(source, by=RUN, n_bins=20, accuracy=100))
+    # Ranks of the edges: rows at most, and below, each of them.
+    ranked = keys.join_parameters(source, edges, RUN, keys.table_bytes(edges, arrays=["edges"]))
+    at_most = ranked.select(*RUN, "y_prob", F.posexplode("edges").alias("j", "edge")).groupBy(*RUN, "j").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("y_prob") < F.col("edge"), 1)).alias("below"),
+        F.count(F.when(F.col("y_prob") <= F.col("edge"), 1)).alias("upto"),
+    )
+    wanted = F.col("j") * F.col("n") / F.lit(20)
+    slack = F.col("n") / F.lit(100) + F.lit(1)
+    within = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    return at_most.select(*RUN, F.col("j").cast("bigint").alias("j"), "n", within.alias("within"))
+
+
 @query
 def ece_by_run(spark, sf):
     return precise(metrics.expected_calibration_error(pred_lineitem(spark, sf), by=RUN))
@@ -243,6 +272,30 @@ def isotonic_continuous(spark, sf):
     )
 
 
+@query
+def isotonic_continuous_labels(spark, sf):
+    """Mean calibrated value per run of a fit on labels of many values."""
+    label = F.col("y_true") * F.lit(0.25) + F.col("y_prob") * F.lit(0.5)
+    train, test = _split(pred_lineitem(spark, sf).withColumn("y_true", label))
+    out = calibration.isotonic_scaling(train, test, by=RUN)
+    return rounded(
+        out.groupBy(*RUN).agg(F.avg("p_cal").alias("mean_cal"), F.count("p_cal").alias("n"))
+    )
+
+
+@query
+def interpolate_many_knots(spark, sf):
+    """Prices along order keys, per order status, at keys between those of the knots."""
+    orders = fixtures.table(spark, sf, "orders")
+    knots = orders.where("o_orderkey % 3 = 0").select(
+        "o_orderstatus", F.col("o_orderkey").cast("double").alias("knot_x"),
+        F.col("o_totalprice").cast("double").alias("knot_y"),
+    )
+    asked = orders.select("o_orderkey", "o_orderstatus", F.col("o_orderkey").cast("double").alias("x"))
+    found = interpolation.interpolate_rows(asked, knots, by=["o_orderstatus"])
+    return found.select("o_orderkey", "o_orderstatus", r6(F.col("y") + F.lit(1.23e-5), 3).alias("y"))
+
+
 @query
 def platt_params(spark, sf):
     train, _ = _split(pred_lineitem(spark, sf))
@@ -588,6 +641,15 @@ def strip_newlines(spark, sf):
     )
 
 
+@query
+def long_head(spark, sf):
+    """Nine tenths of the line items in their order, chosen by counting."""
+    items = fixtures.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    n = items.count() * 9 // 10
+    return rows.head_n(items, ["l_orderkey", "l_linenumber"], n).groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.max("l_orderkey").alias("last"))
+
+
 @query
 def head_n(spark, sf):
     return rows.head_n(fixtures.table(spark, sf, "orders"), ["o_orderkey"], 250).select(
@@ -762,6 +824,54 @@ def run_metadata(spark, sf):
     )
 
 
+def _run_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of one run per document source."""
+    return fixtures.table(spark, sf, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).cast("int").alias("batch_size"), F.max("doc_id").cast("int").alias("max_samples"),
+        F.min("lang").alias("dataset"),
+    ).select(
+        F.concat(F.lit("run_"), "source").alias("run_id"), F.col("source").alias("model"), "dataset",
+        F.lit(None).cast("string").alias("dataset_config"), "batch_size",
+        (F.col("batch_size") % 2 == 0).alias("thinking"), F.lit("20250101_000000").alias("timestamp"),
+        F.lit("cpu").alias("device"), "max_samples", F.concat(F.lit("a\nb "), "source").alias("system_prompt"),
+        F.lit(None).cast("string").alias("git_commit"),
+    )
+
+
+@query
+def run_table_roundtrip(spark, sf):
+    """A runs table that grows by two writes, read back beside the side-car of each run."""
+    listed = _run_documents(spark, sf)
+    path, side = scratch_path(spark, "runs"), scratch_path(spark, "side-cars")
+    early = F.col("model") < "src2"
+    runs.write_run_table(listed.where(early), path)
+    runs.write_run_table(listed.where(~early), path)
+    meta = F.to_json(F.struct(*[c for c in listed.columns if c != "run_id"]), {"pretty": "true"})
+    listed.select("run_id", meta.alias("value")).write.partitionBy("run_id").text(side)
+    cars = runs.read_run_metadata(spark, side, "part-*")
+    fields = [c for c in listed.columns if c != "run_id"]
+    beside = cars.select("run_id", F.struct(*fields).alias("car"))
+    stored = runs.read_run_table(spark, path)
+    return rounded(
+        stored.join(beside, "run_id").select(
+            "run_id", "model", "dataset", "batch_size", "thinking", "max_samples", "system_prompt",
+            (F.struct(*fields) == F.col("car")).alias("same"),
+        )
+    )
+
+
+@query
+def arc_outputs_added(spark, sf):
+    """A results folder to which a second batch of runs is added, read back as a whole."""
+    path = scratch_path(spark, "arc-added")
+    all_runs = _arc_records(spark, sf)
+    first = F.col("run_id").isin("run_en", "run_de")
+    records.write_outputs(all_runs.where(first), path)
+    records.write_outputs(all_runs.where(~first), path)
+    back = records.read_arc_outputs(spark, f"{path}/*/part-*")
+    return rounded(back.select("run_id", "id", "answer", "prediction", "verb_conf"))
+
+
 @query
 def run_names(spark, sf):
     return fixtures.table(spark, sf, "events").select("event_id", runs.run_id("ts").alias("run_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import number
 from ..schemas import ARC_OUTPUTS, GSM8K_OUTPUTS
+from .append import append_runs
 from .runs import run_of_file
 
 # Between two objects written back to back. Inside a JSON string the quote would be
@@ -45,15 +46,13 @@ def read_arc_outputs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_outputs(records: DataFrame, path: str, file_format: str = "json") -> None:
-    """Write records below one folder per run, NULLs spelled out.
+def write_outputs(records: DataFrame, path: str, file_format: str = "json") -> list[str]:
+    """Add records to ``path``, below one folder per run, NULLs spelled out; the folders added.
 
-    The caller chooses ``run_id``; an existing output is never overwritten.
+    The caller chooses ``run_id``; the records of a run are never added to or overwritten.
     """
-    writer = records.write.mode("errorifexists").partitionBy("run_id")
-    if file_format == "json":
-        writer = writer.option("ignoreNullFields", "false")
-    writer.format(file_format).save(path)
+    options = {"ignoreNullFields": "false"} if file_format == "json" else {}
+    return append_runs(records, path, file_format, **options)
 
 
 def unify_outputs(gsm8k: DataFrame, arc: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import number
 from ..schemas import MANIFEST, RUN_METADATA
+from .append import append_runs
 
 # Cell texts that stand for a missing value.
 MISSING_TEXTS = [
@@ -158,9 +159,15 @@ def read_run_metadata(
     )
 
 
-def write_run_table(runs: DataFrame, path: str) -> None:
-    """Store run metadata as a table; an existing one is not overwritten."""
-    runs.write.mode("errorifexists").parquet(path)
+def write_run_table(runs: DataFrame, path: str) -> list[str]:
+    """Add run metadata to the table at ``path``; a ``run_id`` that is there is refused."""
+    return append_runs(runs, path, "parquet")
+
+
+def read_run_table(spark: SparkSession, path: str) -> DataFrame:
+    """The run metadata that :func:`write_run_table` stored, in its column order."""
+    stored = spark.read.schema(f"{RUN_METADATA}, run_id string").parquet(path)
+    return stored.select("run_id", *[c for c in stored.columns if c != "run_id"])
 
 
 def read_benchmark(

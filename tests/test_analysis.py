@@ -139,3 +139,22 @@ def test_both_joins_take_the_same_rows(spark):
         sorted(map(str, join_parameters(df, fitted, ["g"], 100, limit).collect())) for limit in (1_000, 10)
     ]
     assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_head_by_counting(spark, monkeypatch):
+    from surecal.operators import rows
+
+    monkeypatch.setattr(rows, "MERGED_ROWS", 20)
+    monkeypatch.setattr(rows, "PROBES", 5)
+    rng = np.random.default_rng(4)
+    data = [(int(v) if v > 2 else None, str(i % 3), i) for i, v in enumerate(rng.integers(0, 400, 1500))]
+    data += [(7, "x", 9000 + i) for i in range(700)]
+    df = spark.createDataFrame(data, "a int, b string, c int").repartition(9)
+    ordered = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for n in (21, 300, 800, 1499, 2200, 5000):
+        got = [tuple(r) for r in head_n(df, ["a", "b"], n).collect()]
+        assert len(set(got)) == min(n, len(data))
+        assert sorted((str(r[:2]) for r in got)) == sorted(str(r[:2]) for r in ordered[:n])
+    same = spark.createDataFrame([(1, i) for i in range(500)], "a int, i int")
+    assert head_n(same, ["a"], 100).count() == 100
+    assert head_n(same.limit(0), ["a"], 100).collect() == []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surecal.functions.binning import Bins
+from surecal.operators import bins
 from surecal.operators.bins import bin_stats, equal_frequency_bin_stats
 from surecal.operators.running import counted, exact_quantiles, running_totals
 
@@ -176,3 +177,35 @@ def test_a_hot_group_is_not_one_task(spark):
     assert over_scores and all("_b0#" in w and "_b1#" in w for w in over_scores)
     assert ranked.count() == 20000
     assert ranked.agg(F.max(F.col("n_before") + F.col("n"))).first()[0] == 20000
+
+
+def test_deviations_of_shifted_labels(spark):
+    rng = np.random.default_rng(5)
+    p = rng.uniform(size=600).round(2)
+    y = 1e8 + rng.integers(0, 3, 600) + np.where(p > 0.5, 1e4, 0.0)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(p, y)], "y_prob double, y_true double")
+    for r in bins.equal_frequency_bin_stats(df, n_bins=4).collect():
+        held = y[(p >= r.start) & (p <= r.end)]
+        assert r.n == len(held) and r.std_y == pytest.approx(held.std(ddof=1), rel=1e-6)
+        assert r.mean_y == pytest.approx(held.mean(), rel=1e-12)
+    one = df.limit(1).unionByName(df.selectExpr("y_prob + 1", "cast(null as double)").toDF("y_prob", "y_true"))
+    assert {r.std_y for r in bins.equal_frequency_bin_stats(one, n_bins=2).collect()} == {None}
+
+
+@pytest.mark.parametrize("accuracy", [50, 1000])
+def test_approximate_edges_are_near_in_rank(spark, accuracy):
+    rng = np.random.default_rng(6)
+    values = {"a": rng.normal(size=4000), "b": np.r_[np.zeros(500), rng.uniform(size=100)], "c": np.array([2.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, y_prob double").repartition(7)
+    got = {r.g: r.edges for r in bins.approximate_edges(df, by=["g"], n_bins=8, accuracy=accuracy).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g, edges in got.items():
+        v = np.sort(values[g])
+        assert edges[0] == v[0] and edges[-1] == v[-1] and edges == sorted(edges) and set(edges) <= set(v.tolist())
+        for j, e in enumerate(edges):
+            low, high = np.searchsorted(v, e, "left"), np.searchsorted(v, e, "right")
+            slack = len(v) / accuracy + 1
+            assert low - slack <= j * len(v) / 8 <= high + slack
+    stats = bins.equal_frequency_bin_stats(df.withColumn("y_true", F.lit(1)), by=["g"], n_bins=8, accuracy=accuracy)
+    assert {r.g: r.n for r in stats.groupBy("g").agg(F.sum("n").alias("n")).collect()} == {"a": 4000, "b": 600}

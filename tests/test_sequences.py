@@ -90,3 +90,31 @@ def test_prompt_parts(spark):
     assert [(m["role"], m["content"]) for m in messages] == [("system", "s"), ("user", "p")]
     stripped = df.select(prompts.strip_newlines(F.lit("\n\n a \n b \n"))).first()[0]
     assert stripped == " a \n b "
+
+
+def test_repetitive_arrays_are_searched_in_one_pass(spark):
+    import time
+
+    rows = [
+        ("absent", [1] * 100_000, [1] * 999 + [2]), ("end", [1] * 100_000 + [2], [1] * 999 + [2]),
+        ("start", [1] * 5000, [1] * 4000), ("null", [None, 1] * 3000, [1, None] * 900 + [1, 1]),
+        ("late", [1, 2] * 4000 + [1, 3], [1, 2] * 1000 + [1, 3]),
+    ]
+    df = spark.createDataFrame(rows, "i string, s array<int>, p array<int>")
+    began = time.time()
+    got = dict(df.select("i", sequences.find_subsequence("s", "p")).collect())
+    assert got == {"absent": None, "end": 99_001, "start": 0, "null": None, "late": 6000}
+    assert time.time() - began < 30
+
+
+def test_rolling_search_agrees_with_slices(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        s = rng.integers(0, 2, rng.integers(1, 60)).tolist()
+        rows.append((i, s, s[k : k + int(rng.integers(1, 9))] if (k := int(rng.integers(0, len(s)))) % 2 else rng.integers(0, 2, 4).tolist()))
+    df = spark.createDataFrame(rows, "i int, s array<int>, p array<int>").where("size(p) > 0 and size(p) <= size(s)")
+    both = df.select("s", "p", sequences._rolling_search(F.col("s"), F.col("p")).alias("r"))
+    for r in both.collect():
+        want = next((j for j in range(len(r.s) - len(r.p) + 1) if r.s[j : j + len(r.p)] == r.p), None)
+        assert r.r == want

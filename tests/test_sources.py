@@ -17,6 +17,7 @@ from surecal.sources.runs import (
     read_run_metadata,
     run_id,
     select_runs,
+    read_run_table,
     write_run_table,
 )
 
@@ -132,8 +133,19 @@ def test_write_and_read_back(spark, tmp_path):
     assert '"thinking":null' in text
     back = read_arc_outputs(spark, f"{path}/*/part-*")
     assert back.select(arc.columns).collect() == arc.collect()
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         write_outputs(arc, path)
+    # Another run is added; a batch with one that is there is refused as a whole.
+    second = arc.withColumn("run_id", F.lit("r2"))
+    third = arc.withColumn("run_id", F.lit("r3"))
+    assert write_outputs(second, path) == ["run_id=r2"]
+    with pytest.raises(FileExistsError):
+        write_outputs(second.unionByName(third), path)
+    with pytest.raises(Exception):
+        write_outputs(third.unionByName(third.withColumn("run_id", F.lit(None).cast("string"))), path)
+    again = read_arc_outputs(spark, f"{path}/*/part-*")
+    assert sorted(r["run_id"] for r in again.collect()) == ["r1", "r2"]
+    assert sorted(p.name for p in (tmp_path / "arc").iterdir()) == ["run_id=r1", "run_id=r2"]
     write_outputs(arc, f"{tmp_path}/arc-parquet", "parquet")
     gsm = spark.createDataFrame([("r2", 7, "Q")], "run_id string, index bigint, question string")
     both = {r["item_id"]: r["run_id"] for r in unify_outputs(gsm, back).collect()}
@@ -150,8 +162,14 @@ def test_metadata(spark, tmp_path):
         ("run_a", True, None), ("run_b", False, None),
     }
     write_run_table(runs, f"{tmp_path}/table")
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         write_run_table(runs, f"{tmp_path}/table")
+    write_run_table(runs.where("thinking").withColumn("run_id", F.lit("20250101")), f"{tmp_path}/table")
+    stored = read_run_table(spark, f"{tmp_path}/table")
+    assert stored.columns == runs.columns
+    assert {(r["run_id"], r["thinking"]) for r in stored.collect()} == {
+        ("run_a", True), ("run_b", False), ("20250101", True),
+    }
 
 
 def test_run_id(spark):
