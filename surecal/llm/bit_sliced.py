@@ -21,18 +21,19 @@ from .common import written
 
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 128
+MOST_TASKS = 20_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, q): distinct rows of the commonest length (the longer of two) that take part."""
+    """(vec_id, q, dim): distinct rows that take part, of any length."""
     v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     ).distinct()
-    lengths = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("v") == (lengths[0] if lengths else 0)).select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("v", lambda x: F.floor(x * 256.0)).alias("q")
+    return v.select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("v", lambda x: F.floor(x * 256.0)).alias("q"),
+        F.size("v").alias("dim"),
     )
 
 
@@ -106,55 +107,66 @@ def top_k(vectors: DataFrame, k: int = 5, queries=None) -> DataFrame:
     """Per query its k highest integer inner products: query_id, rank, vec_id, score.
 
     ``queries`` is a condition on vec_id (default: divisible by 50). A query meets every row
-    but those of its own id; ties go to the smaller vec_id. Null ids, and vectors that are
-    null, empty, of an odd length or hold null or non-finite components take no part;
-    repeated rows count once. Queries are sent to blocks of rows, in blocks.
+    of its own length but those of its own id; ties go to the smaller vec_id. Null ids, and
+    vectors that are null, empty or hold null or non-finite components take no part; repeated
+    rows count once. Scores are 64-bit: components that could exceed them are refused.
+    Every block of rows meets every block of queries of its length, each pair on its own.
     """
     chosen = F.col("vec_id") % 50 == 0 if queries is None else queries
     rows = written(quantised(vectors), "quantised")
-    stats = rows.agg(
-        F.min(F.array_min("q")), F.max(F.array_max("q")), F.count("*"), F.count(F.when(chosen, 1)),
-        F.max(F.size("q")),
-    ).first()
-    if not stats[2] or not stats[3]:
-        return rows.limit(0).select(
-            F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score")
-        )
-    low, bits = int(stats[0]), max(1, (int(stats[1]) - int(stats[0])).bit_length())
-    if max(abs(int(stats[0])), abs(int(stats[1]))) ** 2 * stats[4] >= 2**62:
-        raise ValueError("inner products of these components do not fit 64 bits")
-    blocks, parts = -(-stats[2] // BLOCK_ROWS), -(-stats[3] // BLOCK_QUERIES)
+    # One row per length of vectors.
+    lengths = written(
+        rows.groupBy("dim").agg(
+            F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"),
+            F.ceil(F.count(F.when(chosen, 1)) / BLOCK_QUERIES).cast("int").alias("parts"),
+        ).where("parts > 0"),
+        "lengths",
+    )
+    units = int(lengths.agg(F.coalesce(F.sum(F.col("blocks").cast("bigint") * F.col("parts")), F.lit(1))).first()[0])
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        bitmaps = sliced(np.stack(group["q"].to_numpy()), low, bits)
+        values = np.stack(group["q"].to_numpy())
+        low, high = int(values.min()), int(values.max())
+        bits = max(1, (high - low).bit_length())
+        if bits > 62:
+            raise ValueError("these components do not fit 64 bits")
         return pd.DataFrame({
-            "block": [group["block"].iloc[0]], "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()],
-            "slices": [bitmaps.astype("<u8").tobytes()], "dim": [bitmaps.shape[0]],
+            "dim": [values.shape[1]], "block": [group["block"].iloc[0]],
+            "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()],
+            "slices": [sliced(values, low, bits).astype("<u8").tobytes()], "low": [low], "bits": [bits],
         })
 
+    placed = rows.join(lengths, "dim")
     sliced_rows = written(
-        rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        .groupBy("block").applyInPandas(index, "block int, ids binary, slices binary, dim int"),
+        placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        .groupBy("dim", "block")
+        .applyInPandas(index, "dim int, block int, ids binary, slices binary, low bigint, bits int"),
         "bit-slices",
     )
     asked = (
-        rows.where(chosen).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)))
-        .groupBy("part").agg(F.collect_list(F.struct("vec_id", "q")).alias("asked"))
-        .select("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        placed.where(chosen).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")))
+        .groupBy("dim", "part", "blocks").agg(F.collect_list(F.struct("vec_id", "q")).alias("asked"))
+        .select("dim", "part", "asked", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, slices, dim, asked = (batch.column(c)[row] for c in range(4))
-                bitmaps = np.frombuffer(slices.as_py(), dtype="<u8").reshape(dim.as_py(), bits, -1)
+                ids, slices, low, bits, dim, asked = (batch.column(c)[row] for c in range(6))
+                low, bits, dim = low.as_py(), bits.as_py(), dim.as_py()
+                bitmaps = np.frombuffer(slices.as_py(), dtype="<u8").reshape(dim, bits, -1)
                 query_ids = asked.values.field("vec_id").to_numpy()
                 weights = asked.values.field("q").flatten().to_numpy().reshape(len(query_ids), -1)
+                most = max(abs(low), abs(low + (1 << bits)))
+                if most * max(abs(int(weights.min())), abs(int(weights.max()))) * dim >= 2**62:
+                    raise ValueError("inner products of these components do not fit 64 bits")
                 out = best_of_block(np.frombuffer(ids.as_py(), dtype="<i8"), bitmaps, low, query_ids, weights, k)
                 yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    found = sliced_rows.join(asked, "block").select("ids", "slices", "dim", "asked").mapInArrow(
+    # Short rows of much work: dealt by number, or they would share a few tasks.
+    pairs = sliced_rows.join(asked, ["dim", "block"]).repartition(min(units, MOST_TASKS), "dim", "block", "part")
+    found = pairs.select("ids", "slices", "low", "bits", "dim", "asked").mapInArrow(
         search, "query_id bigint, vec_id bigint, score bigint"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

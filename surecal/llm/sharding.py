@@ -25,9 +25,14 @@ _ADDED = {"_part": T.IntegerType(), "_first": T.LongType()}
 
 @dataclass(frozen=True)
 class Settings:
-    """``tolerance``: of a shard's bytes, at its borders. A shard is sorted in ``part_bytes`` parts."""
+    """``tolerance``: of a shard's bytes, at its borders. A shard is sorted in ``part_bytes`` parts.
+
+    ``group_share``: a group of equal texts of up to this share of a shard's bytes is never cut;
+    a border inside it moves to its nearer end, by half of the share at most.
+    """
 
     tolerance: float = 0.005
+    group_share: float = 0.1
     part_tolerance: float = 0.1
     part_bytes: int = 32 << 20
     probes: int = 48
@@ -131,16 +136,44 @@ def find_splitters(
                 )
         if not brackets:
             break
+    _spare_groups(keys, done, size, per_shard, settings)
     order = sorted(done[j] for j in range(pieces - 1))
     return [k for k, _, _ in order], [(b, r) for _, b, r in order]
 
 
+def _spare_groups(keys: DataFrame, done: dict, size: float, per_shard: int, settings: Settings) -> None:
+    """Move the borders of shards out of groups of equal texts that are not too large.
+
+    The bytes below both ends of the group of each border are counted exactly, in one scan.
+    Splitters within a shard follow where its border passes them.
+    """
+    borders = [j for j in sorted(done) if (j + 1) % per_shard == 0]
+    ends = {j: ((done[j][0] >> 64) << 64, min(((done[j][0] >> 64) + 1) << 64, 2**128 - 1)) for j in borders}
+    probes = sorted({k for pair in ends.values() for k in pair})
+    if not probes:
+        return
+    counts = _counted(keys, probes)
+    below, rows = np.cumsum([c[0] for c in counts]), np.cumsum([c[1] for c in counts])
+    at = {k: (k, int(below[i]), int(rows[i])) for i, k in enumerate(probes)}
+    for j in borders:
+        first, last = at[ends[j][0]], at[ends[j][1]]
+        inside = first[1] < done[j][1] < last[1]
+        if inside and last[1] - first[1] <= settings.group_share * size * per_shard:
+            done[j] = min(first, last, key=lambda end: abs(end[1] - size * (j + 1)))
+    for j in done:
+        earlier = [done[b] for b in borders if b < j][-1:]
+        later = [done[b] for b in borders if b > j][:1]
+        if j not in ends:
+            done[j] = min([max([done[j], *earlier]), *later])
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, settings: Settings = Settings()) -> DataFrame:
     """``docs`` (all columns) with size, shard and slot; every shard's bytes are near equal.
 
     ``size`` is the UTF-8 bytes of the text plus one, also for null texts. ``slot`` counts
-    from 0 within a shard. Equal texts share a shard unless they are too many for one; rows
-    equal in text and id always do. An empty table gives no rows.
+    from 0 within a shard. Equal texts share a shard where they are up to ``group_share`` of
+    its bytes, so shards differ by about as much at most where such groups are many; larger
+    groups are spread. Rows equal in text and id always share one. An empty table gives no rows.
     """
     size = (F.octet_length(text_or_empty()) + 1).cast("bigint")
     keyed = docs.drop("size", "shard", "slot").withColumns({

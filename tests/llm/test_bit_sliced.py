@@ -9,13 +9,13 @@ SCHEMA = "vec_id bigint, embedding array<double>, rank int"
 
 
 def brute(rows, k):
-    ok = {(i, tuple(e)) for i, e in rows if i is not None and e and len(e) == 4
+    ok = {(i, tuple(e)) for i, e in rows if i is not None and e
           and all(x is not None and np.isfinite(x) for x in e)}
     q = [(i, [int(np.floor(256.0 * x)) for x in e]) for i, e in ok]
     out = []
     for i, a in q:
         if i % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i and len(a) == len(b))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -35,6 +35,23 @@ def test_against_brute_force(spark, monkeypatch, scale, k):
     assert got == brute(rows, k)
 
 
+def test_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=(2, 5, 5, 9)[i % 4])]) for i in range(400)]
+    rows += [(1000, [1e-3]), (1050, [3.0] * 700), (1051, [-2.0] * 700)]
+    df = spark.createDataFrame([(i, e, 1) for i, e in rows], SCHEMA)
+    assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == brute(rows, 5)
+
+
+def test_components_near_the_limit(spark):
+    big = [(0, [2.0**20, -(2.0**20)]), (1, [2.0**20, 2.0**20 - 1 / 256]), (50, [-(2.0**20), 2.0**20])]
+    df = spark.createDataFrame([(i, e, 1) for i, e in big], SCHEMA)
+    assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == brute(big, 5)
+    with pytest.raises(Exception, match="64 bits"):
+        bit_sliced.top_k(spark.createDataFrame([(0, [2.0**30, 1.0], 1), (1, [2.0**30, 1.0], 1)], SCHEMA)).collect()
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0, -1.0], 1), (2, [0.0, 0.0], 1)], SCHEMA)
     assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == [(0, 1, 2, 0), (0, 2, 1, -65536)]
