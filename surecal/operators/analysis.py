@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import number
+from ..functions.sequences import interpolate, let
 from ..session import materialize
 from .keys import (
     KEY,
@@ -17,7 +18,7 @@ from .keys import (
     join_parameters,
     table_bytes,
 )
-from .running import exact_quantiles
+from .running import exact_quantiles, running_totals
 
 # Model sizes in billions of (active) parameters.
 MODEL_SIZES = {
@@ -142,17 +143,15 @@ def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _local_lines(points: Column, n: Column, frac: float) -> Column:
-    """Fitted value at each distinct x: ``points`` is an ascending array of its sums.
+def _local_lines(points: Column, places: Column, n: Column, frac: float) -> Column:
+    """Fitted value at each of ``places``: ``points`` is an ascending array of sums per cell.
 
-    Every distinct x is weighed against the others; rows sharing an x enter through
-    their sums.
+    A cell weighs as a whole by its distance; its rows enter through their sums, taken from
+    where the cell is.
     """
-    size = F.size(points)
     k = F.greatest(F.floor(n * F.lit(frac) + F.lit(1e-10)).cast("long"), F.lit(1).cast("long"))
 
-    def fit(here: Column) -> Column:
-        x0 = here["x"]
+    def fit(x0: Column) -> Column:
         # The smallest radius that holds at least k rows.
         by_distance = F.array_sort(
             F.transform(
@@ -186,10 +185,7 @@ def _local_lines(points: Column, n: Column, frac: float) -> Column:
                 lambda acc, q: _added(acc, q, tricube(q, r), x0),
             )
 
-        return F.get(
-            F.transform(F.array(radius), lambda r: F.get(F.transform(F.array(sums(r)), line), F.lit(0))),
-            F.lit(0),
-        )
+        return let(radius, lambda r: let(sums(r), line))
 
     def line(s: Column) -> Column:
         # Weighted line through the sums, taken at x0, where x is counted from.
@@ -198,17 +194,40 @@ def _local_lines(points: Column, n: Column, frac: float) -> Column:
         cov = F.try_divide(s["xy"], s["w"]) - mx * my
         return my - cov / var * mx
 
-    return F.when(size > 0, F.transform(points, lambda q: F.struct(q["x"].alias("x"), fit(q).alias("fit"))))
+    return F.transform(places, lambda x0: F.struct(x0.alias("x"), fit(x0).alias("fit")))
 
 
 def _added(acc: Column, q: Column, weight: Column, x0: Column) -> Column:
     d = q["x"] - x0
     return F.struct(
         (acc["w"] + weight * q["w"]).alias("w"),
-        (acc["x"] + weight * q["w"] * d).alias("x"),
-        (acc["xx"] + weight * q["w"] * d * d).alias("xx"),
+        (acc["x"] + weight * (q["wx"] + q["w"] * d)).alias("x"),
+        (acc["xx"] + weight * (q["wxx"] + 2.0 * d * q["wx"] + q["w"] * d * d)).alias("xx"),
         (acc["y"] + weight * q["wy"]).alias("y"),
-        (acc["xy"] + weight * q["wy"] * d).alias("xy"),
+        (acc["xy"] + weight * (q["wxy"] + q["wy"] * d)).alias("xy"),
+    )
+
+
+def _cells(rows: DataFrame, cells: int) -> DataFrame:
+    """``rows`` with ``_c``, the place of the cell of each x, and ``_last``, the greatest x.
+
+    A group of up to ``cells`` distinct x has a cell for each. A larger one is cut by rank
+    into so many stretches of about equal rows; ranks come from running totals, no task
+    holds the group.
+    """
+    places = materialize(rows.groupBy(KEY, F.col("_x").alias("_v")).agg(F.sum("_n").alias("n")))
+    sizes = places.groupBy(KEY).agg(F.count(F.lit(1)).alias("_distinct"), F.max("_v").alias("_last"))
+    sized = join_group_values(rows, sizes, [KEY])
+    if not sizes.where(F.col("_distinct") > cells).head(1):
+        return sized.withColumn("_c", F.col("_x")).drop("_distinct")
+    ranked = running_totals(places, "_v", ["n"]).select(
+        KEY, F.col("_v").alias("_x"), F.floor(F.col("n_before") * cells / F.col("n_total")).alias("_i")
+    )
+    starts = ranked.groupBy(KEY, "_i").agg(F.min("_x").alias("_start"))
+    placed = materialize(ranked.join(starts, [KEY, "_i"]).select(KEY, "_x", "_start"))
+    return join_parameters(sized, placed, [KEY, "_x"], table_bytes(placed)).select(
+        *rows.columns, "_last",
+        F.when(F.col("_distinct") <= cells, F.col("_x")).otherwise(F.col("_start")).alias("_c"),
     )
 
 
@@ -219,12 +238,17 @@ def lowess_trend(
     by: Sequence[str] = (),
     frac: float = 2.0 / 3.0,
     iterations: int = 3,
+    cells: int = 2048,
+    anchors: int = 512,
 ) -> DataFrame:
     """Robust local-linear trend: ``by, x, fit`` at each distinct x of a group.
 
     ``frac`` of the rows make a neighbourhood; after the first fit, ``iterations``
-    refits weigh rows down by their residual. The work grows with the square of the
-    distinct x of a group (model sizes), not with its rows.
+    refits weigh rows down by their residual. Up to ``anchors`` distinct x, lines are
+    fitted at each of them. A group of more is fitted at so many places, evenly spaced by rank,
+    and read off between them; beyond ``cells`` distinct x, neighbourhoods are made of cells
+    of neighbouring rows, whose sums are exact. The work of a group is bounded by
+    ``cells * anchors``, apart from sums over its rows.
     """
     # Rows that agree in all three are one row from here on.
     rows = materialize(
@@ -232,26 +256,35 @@ def lowess_trend(
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
         .groupBy(KEY, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     )
+    rows = materialize(_cells(rows, cells))
     weighted = rows.withColumn("_w", F.lit(1.0))
-    fits = None
+    off, step_of = F.col("_x") - F.col("_c"), F.ceil(F.size("points") / F.lit(anchors)).cast("int")
+    fitted = None
     for step in range(iterations + 1):
         w = F.col("_w") * F.col("_n")
-        sums = weighted.groupBy(KEY, "_x").agg(
-            F.sum("_n").alias("rows"), F.sum(w).alias("w"), F.sum(w * F.col("_y")).alias("wy")
+        sums = weighted.groupBy(KEY, "_c").agg(
+            F.sum("_n").alias("rows"), F.sum(w).alias("w"), F.sum(w * off).alias("wx"),
+            F.sum(w * off * off).alias("wxx"), F.sum(w * F.col("_y")).alias("wy"),
+            F.sum(w * off * F.col("_y")).alias("wxy"), F.max("_last").alias("last"),
+        )
+        point = F.struct(F.col("_c").alias("x"), "rows", "w", "wx", "wxx", "wy", "wxy")
+        # At most `cells` points and `anchors` places per group.
+        gathered = sums.groupBy(KEY).agg(
+            F.array_sort(F.collect_list(point)).alias("points"), F.sum("rows").alias("n"), F.max("last").alias("last"),
         )
-        point = F.struct(F.col("_x").alias("x"), "rows", "w", "wy")
-        fits = materialize(
-            sums.groupBy(KEY)
-            .agg(F.array_sort(F.collect_list(point)).alias("points"), F.sum("rows").alias("n"))
-            .select(KEY, F.inline(_local_lines(F.col("points"), F.col("n"), frac)))
+        chosen = F.filter("points", lambda q, i: i % F.col("step") == 0)
+        places = F.array_distinct(F.concat(F.transform(chosen, lambda q: q["x"]), F.array("last")))
+        lines = materialize(
+            gathered.withColumn("step", step_of).withColumn("places", places)
+            .select(KEY, _local_lines(F.col("points"), F.col("places"), F.col("n"), frac).alias("_f"))
+            .select(KEY, F.col("_f.x").alias("_xs"), F.col("_f.fit").alias("_fits"))
         )
+        size = table_bytes(lines, arrays=["_xs", "_fits"])
+        fitted = join_parameters(rows, lines, [KEY], size).withColumn(
+            "fit", interpolate("_x", "_xs", "_fits")).drop("_xs", "_fits")
         if step == iterations:
             break
-        residual = F.abs(F.col("_y") - F.col("fit")).alias("_r")
-        here = fits.select(KEY, F.col("x").alias("_x"), "fit")
-        fitted = join_parameters(rows, here, [KEY, "_x"], table_bytes(here)).select(
-            KEY, "_x", "_y", "_n", residual
-        )
+        fitted = fitted.withColumn("_r", F.abs(F.col("_y") - F.col("fit"))).drop("fit")
         medians = exact_quantiles(fitted, "_r", [0.5], [KEY], "m", times="_n").select(
             KEY, F.get("m", F.lit(0)).alias("m")
         )
@@ -260,7 +293,8 @@ def lowess_trend(
         ).otherwise(F.when(F.col("_r") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
         bisquare = (F.lit(1.0) - u * u) * (F.lit(1.0) - u * u)
         weight = F.when(u >= 0.999, F.lit(0.0)).when(u <= 0.001, F.lit(1.0)).otherwise(bisquare)
-        weighted = join_group_values(fitted, medians, [KEY]).select(
-            KEY, "_x", "_y", "_n", weight.alias("_w")
-        )
-    return fits.select(*group_columns(by), F.col("x").alias(x), "fit")
+        weighted = join_group_values(fitted, medians, [KEY]).withColumn("_w", weight).drop("_r", "m")
+    return (
+        fitted.groupBy(KEY, "_x").agg(F.first("fit").alias("fit"))
+        .select(*group_columns(by), F.col("_x").alias(x), "fit")
+    )

@@ -158,3 +158,31 @@ def test_head_by_counting(spark, monkeypatch):
     same = spark.createDataFrame([(1, i) for i in range(500)], "a int, i int")
     assert head_n(same, ["a"], 100).count() == 100
     assert head_n(same.limit(0), ["a"], 100).collect() == []
+
+
+@pytest.mark.parametrize("iterations", [0, 2])
+def test_trend_of_many_distinct_places(spark, iterations):
+    rng = np.random.default_rng(8)
+    xs = np.r_[rng.uniform(0, 10, 700), rng.exponential(1.0, 200)]
+    ys = np.sin(xs) + rng.normal(size=len(xs)) * 0.1 + (rng.random(len(xs)) < 0.02) * 20
+    rows = [("a", float(a), float(b)) for a, b in zip(xs, ys)] + [("b", float(i), float(2 * i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+
+    def trend(**settings):
+        found = lowess_trend(df, "x", "y", ["g"], frac=0.2, iterations=iterations, **settings).collect()
+        return {(r.g, r.x): r.fit for r in found}
+
+    direct, near = trend(), trend(cells=300, anchors=60)
+    assert set(direct) == set(near) and len(direct) == len(rows)
+    gap = np.array([abs(direct[k] - near[k]) for k in direct])
+    # The curve itself spans 2; neighbourhoods are a fifth of the rows.
+    assert gap.max() < 0.1 and gap.mean() < 0.01
+    for i in range(5):
+        assert near["b", float(i)] == pytest.approx(2.0 * i, abs=1e-6)
+
+
+def test_trend_of_a_group_of_any_size(spark):
+    df = spark.range(200_000).selectExpr("id / 20000.0d as x", "sin(id / 20000.0d) + (id % 7 - 3) * 0.01 as y")
+    found = lowess_trend(df, "x", "y", frac=0.02, iterations=1, cells=1000, anchors=200)
+    off = found.agg(F.max(F.abs(F.col("fit") - F.sin("x"))), F.count("fit")).first()
+    assert off[0] < 0.01 and off[1] == 200_000
