@@ -28,7 +28,10 @@ _TILE = 512
 
 @dataclass(frozen=True)
 class Settings:
-    """``spill``: least share of a node's vectors on each side of its middle that go both ways.
+    """Every level sends a share of a node's vectors both ways, so leaf rows grow with the number
+    of levels; the margin is kept narrow and recall comes from the number of trees.
+
+    ``spill``: least share of a node's vectors on each side of its middle that go both ways.
 
     ``reach``: width of the margin, in typical projected distances of a pair at the threshold.
     ``both``: a direction that would send a larger share of a node both ways does not split it.
@@ -38,9 +41,9 @@ class Settings:
     """
 
     trees: int = 8
-    spill: float = 0.05
-    reach: float = 1.0
-    both: float = 0.35
+    spill: float = 0.02
+    reach: float = 0.5
+    both: float = 0.15
     leaf: int = 512
     sample: int = 8_192
     levels: int = 8
@@ -49,18 +52,13 @@ class Settings:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector): non-zero vectors of finite components, as doubles.
-
-    Vectors of another length than the commonest one (the longer of two) are left out too.
-    """
-    v = vectors.select(
+    """(vec_id, vector): non-zero vectors of finite components, of any length, as doubles."""
+    return vectors.select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector")
     ).where("vector IS NOT NULL").where(
         F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
         & F.exists("vector", lambda x: x != 0.0)
-    ).withColumn("_length", F.size("vector"))
-    lengths = v.groupBy("_length").count().orderBy(F.desc("count"), F.desc("_length")).first()
-    return v.where(F.col("_length") == (lengths[0] if lengths else 0)).drop("_length")
+    )
 
 
 @lru_cache(maxsize=4_096)
@@ -147,14 +145,18 @@ def _split(placed: DataFrame, nodes: DataFrame, fitted: DataFrame, level: int, s
             if not batch.num_rows:
                 continue
             node, tree, leaf, levels = (batch.column(c).to_numpy() for c in ("node", "tree", "leaf", "levels"))
-            x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+            vectors = batch.column("vector")
+            flat, offsets = vectors.values.to_numpy(), vectors.offsets.to_numpy()
             order = np.lexsort((leaf, tree))
             starts = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0])
             rows, leaves = [], []
             for at in np.split(order, starts[1:]):
                 t, parent = int(tree[at[0]]), int(leaf[at[0]])
                 bounds = batch.column("bounds")[int(at[0])].values.to_numpy().reshape(-1, 2)
-                row, below = _descend(_unit(x[at]), t, level, int(levels[at[0]]), bounds, settings.seed)
+                # All vectors of a leaf have one length.
+                dim = int(offsets[at[0] + 1] - offsets[at[0]])
+                x = flat[offsets[at][:, None] + np.arange(dim)]
+                row, below = _descend(_unit(x), t, level, int(levels[at[0]]), bounds, settings.seed)
                 # A leaf's number: a hash of its parent's and its place below it.
                 mixed = np.uint64(parent * 0xD1342543DE82EF95 % 2**64) + below.astype(np.uint64)
                 mixed *= np.uint64(0x9E3779B97F4A7C15)
@@ -175,10 +177,14 @@ def _split(placed: DataFrame, nodes: DataFrame, fitted: DataFrame, level: int, s
 
 
 def plant(nodes: DataFrame, threshold: float = THRESHOLD, settings: Settings = Settings()) -> DataFrame:
-    """(node, tree, leaf): every leaf of every tree each node falls in."""
+    """(node, tree, leaf): every leaf of every tree each node falls in.
+
+    Each length of vectors has a forest of its own: their trees start in leaves of their own.
+    """
     whole = nodes.select(
-        "node", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree")
-    ).withColumn("leaf", F.col("tree").cast("bigint"))
+        "node", F.size("vector").cast("bigint").alias("dim"),
+        F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1))).alias("tree"),
+    ).select("node", "tree", (F.col("dim") * settings.trees + F.col("tree")).alias("leaf"))
     done, open_, level = None, whole, 0
     for _ in range(settings.rounds):
         sizes = open_.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
@@ -294,8 +300,12 @@ def near_vectors(
     """
     rows = vectors.groupBy("vec_id", "embedding").agg(F.count("*").alias("_n")).drop("_n")
     keyed = usable(rows).withColumn("node", F.xxhash64("vector"))
+    # Two vectors of one number would be taken for copies: a second hash tells.
+    second = F.xxhash64(F.lit("second"), "vector")
+    copies = F.when(F.min(second) == F.max(second), F.count("*")).otherwise(
+        F.raise_error(F.lit("two vectors share a hash")).cast("bigint"))
     nodes = written(
-        keyed.groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector")), "vectors"
+        keyed.groupBy("node").agg(copies.alias("copies"), F.first("vector").alias("vector")), "vectors"
     )
     placed = written(plant(nodes, threshold, settings), "placed")
     codes = placed.groupBy("node").agg(F.collect_set("leaf").alias("codes"))

@@ -9,11 +9,15 @@ NAN, INF = float("nan"), float("inf")
 def brute(rows, threshold=0.95):
     """vec_id, embedding -> (links, component) by all pairs, over distinct rows."""
     rows = sorted({(i, None if e is None else tuple(e)) for i, e in rows}, key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
-    ok = [e is not None and len(e) == 8 and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e in rows]
+    ok = [e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e in rows]
     at = [k for k, good in enumerate(ok) if good]
-    x = np.array([np.array(rows[k][1], dtype=np.float32).astype(float) for k in at])
+    size = np.array([len(rows[k][1]) for k in at])
+    x = np.zeros((len(at), max(size, default=0)))
+    for place, k in enumerate(at):
+        x[place, : size[place]] = np.array(rows[k][1], dtype=np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    linked = x @ x.T >= threshold
+    # Vectors of different lengths never link.
+    linked = (x @ x.T >= threshold) & (size[:, None] == size[None, :])
     np.fill_diagonal(linked, False)
     root = list(range(len(rows)))
     for a in range(len(at)):
@@ -49,6 +53,16 @@ def test_against_all_pairs_and_edge_rows(spark):
     check(spark, rows, Settings(leaf=64, trees=8, levels=3))
 
 
+def test_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim, n in ((4, 300), (8, 300), (3, 5)):
+        base = rng.normal(size=(30, dim))
+        rows += [(len(rows) + i, [float(np.float32(v)) for v in base[i % 30] + rng.normal(size=dim) * 0.02 * (i % 5)]) for i in range(n)]
+    rows += [(9000 + i, [1.0] * 4) for i in range(5)] + [(9100 + i, [1.0] * 8) for i in range(5)]
+    check(spark, rows, Settings(leaf=64, trees=12, levels=3))
+
+
 def test_empty_and_single(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
