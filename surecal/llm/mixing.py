@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 
+# The name of the domains that are pooled, as there are too many of them.
+OTHERS = "(others)"
+
+
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` bounds the labelled rows the classifier learns from (smallest hash first).
@@ -64,7 +68,8 @@ def posteriors(
 ) -> tuple[list[str], DataFrame]:
     """Domains in order, and per distinct (doc_id, text): rows, tokens and ``q0, q1, ...``.
 
-    Naive Bayes over hashed words. ``tokens`` is the number of stretches between spaces (one
+    Naive Bayes over hashed words. Of more than ``most_domains``, those with the fewest labelled
+    words are pooled in one, ``OTHERS``. ``tokens`` is the number of stretches between spaces (one
     for an empty or null text). Without labelled rows there are no domains and no ``q``.
     """
     sample = labelled_sample(labelled, settings)
@@ -74,10 +79,17 @@ def posteriors(
         .groupBy("domain", _feature("word", settings).alias("feature")).agg(F.count("*").alias("n")),
         "word-counts",
     )
-    totals = {r.domain: r.n for r in counted.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
+    by_words = counted.groupBy("domain").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "domain")
+    largest = by_words.limit(settings.most_domains + 1).collect()
+    if len(largest) > settings.most_domains:
+        # The rare domains are one.
+        apart = [r.domain for r in largest[: settings.most_domains - 1]]
+        counted = counted.withColumn(
+            "domain", F.when(F.col("domain").isin(apart), F.col("domain")).otherwise(F.lit(OTHERS))
+        ).groupBy("domain", "feature").agg(F.sum("n").alias("n"))
+        largest = counted.groupBy("domain").agg(F.sum("n").alias("n")).collect()
+    totals = {r.domain: r.n for r in largest}
     domains = sorted(totals)
-    if len(domains) > settings.most_domains:
-        raise ValueError(f"{len(domains)} domains, at most {settings.most_domains} are allowed")
     prior = sum(totals.values())
     spark = docs.sparkSession
     weights = spark.range(settings.features).select(F.col("id").alias("feature"))
@@ -132,6 +144,12 @@ class Mix:
     reached: dict[str, float]
     steps: int
 
+    @property
+    def distance(self) -> float:
+        """The largest gap between tokens reached and asked for, as a share of all asked for."""
+        whole = sum(self.targets.values())
+        return max((abs(self.reached[d] - t) / whole for d, t in self.targets.items()), default=0.0)
+
 
 def fit_rates(
     docs: DataFrame,
@@ -142,7 +160,7 @@ def fit_rates(
 ) -> Mix:
     """Rates >= ``least`` whose expected domain totals are closest to the targets.
 
-    ``weights`` gives each domain's share (others: none), or a power for ``smoothed``. The
+    ``weights`` gives each domain's share (others: none; pooled ones: their sum), or a power for ``smoothed``. The
     targets add up to the present tokens; with a lower bound above zero, to the fewest that
     leave every domain its bound. Minimises sum_k (S_k - T_k)^2 / (2 P_k), P_k being the
     present totals: in the metric of the tokens its curvature is at most 1, so steps of
@@ -165,6 +183,8 @@ def fit_rates(
     if not whole:
         return Mix(domains, table.withColumn("rate", rate), {}, {}, {}, 0)
     shares = smoothed(dict(zip(domains, present)), weights) if isinstance(weights, (int, float)) else weights
+    if OTHERS in domains and OTHERS not in shares:
+        shares = {**shares, OTHERS: sum(v for d, v in shares.items() if d not in domains)}
     share = [max(0.0, float(shares.get(d, 0.0))) for d in domains]
     if not sum(share):
         raise ValueError("no domain has a positive weight")
@@ -190,7 +210,7 @@ def fit_rates(
             break
         rate, reached, best, steps, since = moved, now, loss(now), steps + 1, since + 1
         if since == settings.unwritten:
-            table = written(table.drop("_rate").withColumn("_rate", rate), "rates")
+            table = written(table.withColumn("_rate", rate), "rates")
             rate, since = F.col("_rate"), 0
     named = lambda values: dict(zip(domains, values))
     return Mix(

@@ -106,6 +106,7 @@ def op9_mixing(spark, sf):
     mix = mixing.fit_rates(docs.select("doc_id", "text"), labelled_languages(spark, docs, sf), weights=0.7)
     return mix.rates.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).select(
         "doc_id", "tokens", mixing.domain_of(mix).alias("domain"), "rate", mixing.copies(mix).alias("copies"),
+        F.lit(mix.steps).alias("steps"), F.lit(mix.distance).alias("distance"),
     )
 
 

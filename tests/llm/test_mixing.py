@@ -87,6 +87,24 @@ def test_nothing_to_learn_from(spark):
     assert mixing.fit_rates(docs.limit(0), labelled, 0.7).rates.count() == 0
 
 
+def test_many_domains_are_pooled_and_many_steps_are_taken(spark):
+    # Domains that the text hardly tells: posteriors are broad, and the descent is long.
+    rows = [(i, f"w{i % 70} common words of all {i % 3}", f"d{i % 70:02d}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, domain string")
+    labelled = docs.select("doc_id", "domain").where("doc_id % 2 = 0 or doc_id < 140")
+    settings = mixing.Settings(most_domains=5, tolerance=1e-9, unwritten=3)
+    asked = {f"d{k:02d}": 1.0 + k % 4 for k in range(70)}
+    mix = mixing.fit_rates(docs, labelled, asked, settings=settings)
+    assert len(mix.domains) == 5 and mixing.OTHERS in mix.domains and mix.steps > 6
+    kept = [d for d in mix.domains if d != mixing.OTHERS]
+    whole = sum(mix.targets.values())
+    assert mix.targets[mixing.OTHERS] / whole == pytest.approx(1 - sum(asked[d] for d in kept) / sum(asked.values()))
+    got = mix.rates.select("rate").collect()
+    assert len(got) == 1400 and all(r.rate >= 0 for r in got) and 0 <= mix.distance < 0.2
+    gaps = [abs(mix.reached[d] - mix.targets[d]) / whole for d in mix.domains]
+    assert mix.distance == pytest.approx(max(gaps))
+
+
 def test_no_python_in_the_plan(spark):
     docs, labelled = corpus(spark, 12)
     plan = mixing.mixed(docs, mixing.fit_rates(docs, labelled, 0.7))._jdf.queryExecution().executedPlan().toString()
