@@ -510,6 +510,10 @@ FROM documents"""
         ),
         "bin_assignment": f"SELECT event_id, {labels}[({moved_bins}) + 1] AS bin FROM ({EVENTS}) e",
         "eqfreq_bins": eqfreq(LINEITEM, RUN),
+        # Edges of equal labels, at three places, are refused like those that do not ascend.
+        "edge_checks": f"""SELECT dataset, kind, n AS n_edges, low < middle AND middle < high AND (kind = 'ascending') AS accepted
+FROM (SELECT dataset, min(y_prob) AS low, avg(y_prob) AS middle, max(y_prob) AS high FROM ({EVENTS}) e GROUP BY dataset),
+  (VALUES ('ascending', 3::BIGINT), ('descending', 3), ('repeated', 4), ('single', 1), ('close', 4), ('empty', 0)) AS k(kind, n)""",
         "eqfreq_continuous_labels": f"""WITH {eqfreq_ctes(
             f"SELECT * REPLACE (y_true + y_prob * 2 + 1e8 AS y_true) FROM ({LINEITEM}) c", RUN)}
 SELECT {cols(RUN)} CAST(bin AS BIGINT) AS bin, round(mean_y - 1e8, 4) + 0.0 AS mean_shift,

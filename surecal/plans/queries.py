@@ -93,6 +93,31 @@ def bin_assignment(spark, sf):
     return pred_events(spark, sf).select("event_id", label.alias("bin"))
 
 
+def _accepted(edges: list) -> bool:
+    try:
+        Bins.of(edges)
+    except ValueError:
+        return False
+    return True
+
+
+@query
+def edge_checks(spark, sf):
+    """Edge lists made of each dataset's scores, and whether they are taken as bin edges."""
+    spread = pred_events(spark, sf).groupBy("dataset").agg(
+        F.min("y_prob").alias("low"), F.avg("y_prob").alias("middle"), F.max("y_prob").alias("high"))
+    lists = []
+    # One row per dataset.
+    for r in spread.collect():
+        for kind, edges in (
+            ("ascending", [r.low, r.middle, r.high]), ("descending", [r.high, r.middle, r.low]),
+            ("repeated", [r.low, r.middle, r.middle, r.high]), ("single", [r.middle]),
+            ("close", [r.low, r.middle, r.middle + 1e-5, r.middle + 2e-5]), ("empty", []),
+        ):
+            lists.append((r.dataset, kind, len(edges), _accepted(edges)))
+    return rounded(spark.createDataFrame(lists, "dataset string, kind string, n_edges int, accepted boolean"))
+
+
 @query
 def eqfreq_bins(spark, sf):
     return precise(bins.equal_frequency_bin_stats(pred_lineitem(spark, sf), by=RUN))
