@@ -122,8 +122,9 @@ def fit_isotonic(
     parameters = materialize(isotonic_knots(train, y, score(p), by))
     # One number per group.
     per_group = parameters.groupBy(group_key(by)).agg(F.count(F.lit(1)).alias("n"))
-    most = per_group.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    return KnotCalibrator(parameters, tuple(by), score, most, table_bytes(parameters, row_bytes=32))
+    most, knots = per_group.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # An entry of both arrays, and a key per group, which has a knot at least.
+    return KnotCalibrator(parameters, tuple(by), score, most, knots * 128)
 
 
 def fit_platt(
