@@ -5,9 +5,10 @@ of level L is inserted L times, each time with its level. A count is read back b
 level 1, 2, ... until a probe misses. Probabilities are the pair counts smoothed by the word
 counts. Exact word counts travel with the filter for the add-one base score.
 
-The filter is cut into blocks by the hash of the n-gram, each of the size its entries ask
-for. It is sent to the workers in segments of a bounded size; a text is scored in as many
-passes as there are segments, with the same result.
+The filter is cut into blocks by ranges of the n-gram's hash, each of the size its entries ask
+for. It is sent to the workers in segments of a bounded size, one after another. Texts are read
+once: each run of texts sends its distinct n-grams to the segments that know them, and every
+n-gram is probed once, whatever the number of segments. Levels then come back to their run.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_or_empty, text_runs, written
+from ..session import scratch_path
+from .common import delete, remainder, text_or_empty, text_runs, written
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
@@ -43,7 +46,7 @@ class Settings:
     bits_per_entry: int = 10
     probes: int = 6
     pair_weight: float = 2.0
-    block_bytes: int = 1 << 20
+    block_bytes: int = 4 << 20
     segment_bytes: int = 112 << 20
 
 
@@ -57,6 +60,29 @@ def _pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(history * _K + word)
 
 
+def _block(grams: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each n-gram; ascending n-grams have ascending blocks."""
+    return ((grams >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values, all first bytes, then all second ones: equal high bytes compress away."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, dtype=np.int64) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(dtype).reshape(-1)
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """Ascending hashes as their differences."""
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def level(count: np.ndarray) -> np.ndarray:
     """1 for one, 2 for 2 and 3, 3 for 4 to 7 and so on."""
     return np.floor(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
@@ -105,6 +131,33 @@ def _histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return before
 
 
+def _distinct(known: _Words, texts: list[str | None], places: bool = False):
+    """Distinct words and pairs of some texts, each ascending, and how often they occur.
+
+    With ``places`` also the tokens of each text, and of every token the place of its word and
+    of its pair among the distinct ones.
+    """
+    numbers, lengths = known.read(texts)
+    hashes, n = np.array(known.found, dtype=np.uint64), np.bincount(numbers, minlength=len(known.found))
+    used = np.flatnonzero(n)
+    used = used[np.argsort(hashes[used])]
+    tokens = hashes[numbers]
+    grams = _pair(_histories(tokens, lengths), tokens)
+    if not places:
+        return (hashes[used], n[used]), np.unique(grams, return_counts=True)
+    pairs, pair_at = np.unique(grams, return_inverse=True)
+    word_at = np.zeros(len(hashes), dtype=np.int64)
+    word_at[used] = np.arange(len(used))
+    return lengths, hashes[used], word_at[numbers], pairs, pair_at
+
+
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _halves(grams: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 32-bit hashes of n-grams with level ``at``."""
     h = _mixed(grams + np.uint64(at * int(_K) % 2**64))
@@ -126,56 +179,48 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
-
-        def merged():
-            grams, counts, word = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(grams)
-            grams, counts, word = grams[order], counts[order], word[order]
-            first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (word[1:] != word[:-1])][: len(grams)])
-            held[:] = [(grams[first], np.add.reduceat(counts, first) if len(first) else counts, word[first])]
-            return held[0]
-
-        def rows():
-            grams, counts, word = held.pop()
-            held.append((grams[:0], counts[:0], word[:0]))
-            block = (grams % np.uint64(blocks)).astype(np.int32)
-            # Counts of words are sent as negative numbers, which saves a column.
-            return pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(grams.view(np.int64)), pa.array(np.where(word, -counts, counts))],
-                names=["block", "gram", "n"],
-            )
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held = {"word": [empty], "pair": [empty]}
+
+        def merged() -> int:
+            for kind, parts in held.items():
+                held[kind] = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def rows() -> pa.RecordBatch:
+            out = {"block": pa.array(np.arange(blocks, dtype=np.int32))}
+            for kind in held:
+                grams, n = held[kind][0]
+                held[kind] = [empty]
+                ends = np.searchsorted(_block(grams, blocks), np.arange(blocks + 1))
+                spans = list(zip(ends[:-1], ends[1:]))
+                out[kind] = pa.array([_packed(grams[i:j]) for i, j in spans], pa.binary())
+                out[f"{kind}_n"] = pa.array([_planes(n[i:j]) for i, j in spans], pa.binary())
+            batch = pa.RecordBatch.from_pydict(out)
+            filled = [bool(len(w) or len(p)) for w, p in zip(batch["word"].to_pylist(), batch["pair"].to_pylist())]
+            return batch.filter(pa.array(filled, pa.bool_()))
 
         for part in text_runs(batches, "text", _RUN_BYTES):
             if len(known) > _KNOWN_WORDS:
                 known.restart()
-            numbers, lengths = known.read(part.column("text").to_pylist())
-            hashes, n = np.array(known.found, dtype=np.uint64), np.bincount(numbers, minlength=len(known.found))
-            held.append((hashes[n > 0], n[n > 0], np.full((n > 0).sum(), True)))
-            tokens = hashes[numbers]
-            pairs, n = np.unique(_pair(_histories(tokens, lengths), tokens), return_counts=True)
-            held.append((pairs, n.astype(np.int64), np.full(len(pairs), False)))
-            if sum(len(h[0]) for h in held) > _FLUSH and len(merged()[0]) > _FLUSH // 2:
+            words, pairs = _distinct(known, part.column("text").to_pylist())
+            held["word"].append(words)
+            held["pair"].append(pairs)
+            if sum(len(h[0]) for parts in held.values() for h in parts) > _FLUSH and merged() > _FLUSH // 2:
                 yield rows()
         merged()
         yield rows()
         # The worker goes on to other tasks: what this one used is given back.
-        held.clear()
         known.restart()
         pa.default_memory_pool().release_unused()
 
-    def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(grams)
-        grams, n = grams[order], n[order]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
-        return grams[first], np.add.reduceat(n, first) if len(first) else n
-
     def pack(group: pa.Table) -> pa.Table:
-        grams = group["gram"].to_numpy().view(np.uint64)
-        n = group["n"].to_numpy()
-        is_word = n < 0
-        words, times = summed(grams[is_word], -n[is_word])
-        pairs, pair_times = summed(grams[~is_word], n[~is_word])
+        def totals(kind: str) -> tuple[np.ndarray, np.ndarray]:
+            grams = [_unpacked(x) for x in group[kind].to_pylist()]
+            return _summed(np.concatenate(grams), np.concatenate([_from_planes(x) for x in group[f"{kind}_n"].to_pylist()]))
+
+        words, times = totals("word")
+        pairs, pair_times = totals("pair")
         grams, levels = np.concatenate([words, pairs]), level(np.concatenate([times, pair_times]))
         bits = max(64, -(-int(levels.sum()) * settings.bits_per_entry // 64) * 64)
         flags = np.zeros(bits, dtype=np.uint8)
@@ -192,7 +237,7 @@ def build(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
         })
 
     grams = docs.select(text_or_empty().cast("string").alias("text")).mapInArrow(
-        count, "block int, gram bigint, n bigint"
+        count, "block int, word binary, word_n binary, pair binary, pair_n binary"
     )
     return written(
         grams.groupBy("block").applyInArrow(
@@ -226,12 +271,13 @@ class Segment:
         self.counts = column("counts", np.int64)[order]
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        """Levels read from the filter; 0 for n-grams of other segments."""
+        """Levels read from the filter; 0 for n-grams of other segments.
+
+        Ascending n-grams are read fastest: neighbouring probes fall close together.
+        """
         out = np.zeros(len(grams), dtype=np.uint8)
-        block = (grams % np.uint64(self.blocks)).astype(np.int64)
-        # In the order of blocks, neighbouring probes fall close together.
-        at_gram = np.argsort(block.astype(np.uint16), kind="stable")
-        at_gram = at_gram[self.start[block[at_gram]] >= 0]
+        block = _block(grams, self.blocks)
+        at_gram = np.flatnonzero(self.start[block] >= 0)
         block = block[at_gram]
         start, bits, grams = self.start[block], self.bits[block].astype(np.uint64), grams[at_gram]
         for at in range(1, _LEVELS + 1):
@@ -249,17 +295,13 @@ class Segment:
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for those of other segments."""
-        out = np.zeros(len(words), dtype=np.int64)
-        # Ascending ones are found faster: each search starts where memory is warm.
-        order = np.argsort(words)
-        words, found = words[order], out.copy()
+        found = np.zeros(len(words), dtype=np.int64)
         for known, counts in ((self.once, None), (self.words, self.counts)):
             if len(known):
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 hit = known[at] == words
                 found[hit] = 1 if counts is None else counts[at[hit]]
-        out[order] = found
-        return out
+        return found
 
 
 def _segments(model: DataFrame, limit: int) -> list[list[int]]:
@@ -287,69 +329,86 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
     starts = training.count()
     spark = docs.sparkSession
     segments = _segments(model, settings.segment_bytes)
-    state = docs.select(
-        "doc_id", text_or_empty().cast("string").alias("text"), F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("known"),
-        F.lit(None).cast("binary").alias("levels"),
-    )
-    schema = "doc_id bigint, text string, base double, known bigint, levels binary"
-    final = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    state = state.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-
-    def one_pass(segment, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, known = segment.value, _Words()
-            exact_of = levels_of = np.zeros(0, dtype=np.int64)
-            for part in text_runs(batches, "text", _RUN_BYTES):
-                if len(known) > _KNOWN_WORDS:
-                    known.restart()
-                    exact_of = levels_of = exact_of[:0]
-                numbers, counts = known.read(part.column("text").to_pylist())
-                first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                hashes = np.array(known.found, dtype=np.uint64)
-                new = hashes[len(exact_of):]
-                exact_of = np.concatenate([exact_of, model.exact(new)])
-                levels_of = np.concatenate([levels_of, model.levels(new)])
-                exact, tokens = exact_of[numbers], hashes[numbers]
-                pairs = model.levels(_pair(_histories(tokens, counts), tokens))
-                levels = np.stack([levels_of[numbers].astype(np.uint8), pairs], axis=1)
-                earlier = part.column("levels").to_pylist()
-                if any(e is not None for e in earlier):
-                    levels = levels + np.frombuffer(b"".join(earlier), dtype=np.uint8).reshape(-1, 2)
-                base = part.column("base").to_numpy() + np.add.reduceat(np.log10(exact + 1.0), first)
-                n_known = part.column("known").to_numpy() + np.add.reduceat((exact > 0).astype(np.int64), first)
-                if not last:
-                    ends = np.cumsum(counts)
-                    kept = [levels[a:b].tobytes() for a, b in zip(first, ends)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("text"), pa.array(base), pa.array(n_known), pa.array(kept, pa.binary())],
-                        names=["doc_id", "text", "base", "known", "levels"],
-                    )
-                    continue
-                word = level_count(levels[:, 0].astype(np.int64))
-                pair = level_count(levels[:, 1].astype(np.int64))
-                history = np.empty_like(word)
-                history[1:] = word[:-1]
-                history[first] = starts
-                p1 = (word + 1.0) / (n + v + 1.0)
-                history = np.maximum(history, pair)
-                p = (pair + settings.pair_weight * p1) / (history + settings.pair_weight)
-                logs = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts), pa.array(n_known),
-                     pa.array(base - counts * np.log10(n + v + 1.0)), pa.array(logs)],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-        return run
+    firsts = np.array([chosen[0] if chosen else 0 for chosen in segments[1:]], dtype=np.int64)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("string").alias("text"))
+    schema = "segment int, run bigint, a binary, b binary, c binary"
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per run of texts: the texts themselves (segment -1), and its n-grams by segment."""
+        known = _Words()
+        run = TaskContext.get().partitionId() << 32
+        for part in text_runs(batches, "text", _RUN_BYTES):
+            if len(known) > _KNOWN_WORDS:
+                known.restart()
+            (words, _), (pairs, _) = _distinct(known, part.column("text").to_pylist())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(part)
+            rows = [(-1, run, sink.getvalue().to_pybytes(), None, None)]
+            word_ends, pair_ends = (
+                np.r_[0, np.searchsorted(_block(grams, blocks), firsts), len(grams)] for grams in (words, pairs)
+            )
+            for at in range(len(segments)):
+                w, p = words[word_ends[at]:word_ends[at + 1]], pairs[pair_ends[at]:pair_ends[at + 1]]
+                rows.append((at, run, _packed(w), _packed(p), None))
+            yield _batch(rows)
+            run += 1
+
+    def probe(shared):
+        def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                for at, run, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    words = _unpacked(a)
+                    read = model.levels(words).tobytes(), model.levels(_unpacked(b)).tobytes()
+                    yield _batch([(at, run, *read, _planes(model.exact(words)))])
+
+        return levels
+
+    def finish(group: pa.Table) -> pa.Table:
+        """Scores of the texts of one run, from what all segments know of its n-grams."""
+        rows = sorted(zip(*(group[name].to_pylist() for name in ("segment", "a", "b", "c"))), key=lambda row: row[0])
+        with pa.ipc.open_stream(rows[0][1]) as stream:
+            part = stream.read_all()
+        counts, _, word_at, _, pair_at = _distinct(_Words(), part["text"].to_pylist(), places=True)
+        # Segments ascend as the n-grams do.
+        word, pair = (np.frombuffer(b"".join(row[i] for row in rows[1:]), np.uint8).astype(np.int64) for i in (1, 2))
+        exact = np.concatenate([_from_planes(row[3]) for row in rows[1:]])[word_at]
+        word, pair = level_count(word)[word_at], level_count(pair)[pair_at]
+        first = np.cumsum(counts) - counts
+        history = np.empty_like(word)
+        history[1:] = word[:-1]
+        history[first] = starts
+        p1 = (word + 1.0) / (n + v + 1.0)
+        history = np.maximum(history, pair)
+        p = (pair + settings.pair_weight * p1) / (history + settings.pair_weight)
+        base = np.add.reduceat(np.log10(exact + 1.0), first) - counts * np.log10(n + v + 1.0)
+        return pa.table({
+            "doc_id": part["doc_id"], "n_tokens": counts, "n_known": np.add.reduceat((exact > 0).astype(np.int64), first),
+            "base_score": base, "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), first),
+        })
+
+    path = scratch_path(spark, "text-runs")
+    texts.mapInArrow(read, schema).write.partitionBy("segment").parquet(path, compression="zstd")
+    rows = spark.read.schema(schema).parquet(path)
+    found = scratch_path(spark, "levels")
     for i, chosen in enumerate(segments):
         part = model.where(F.col("block").between(*((chosen[0], chosen[-1]) if chosen else (1, 0))))
         # At most segment_bytes, or one block.
         shared = spark.sparkContext.broadcast(Segment(part, blocks, settings.probes))
-        last = i == len(segments) - 1
-        state = state.mapInArrow(one_pass(shared, last), final if last else schema)
-        state = state if last else written(state, "partial-scores")
-    return state.withColumn("train_tokens", F.lit(n).cast("bigint"))
+        mine = rows.where(F.col("segment") == i).select("segment", "run", "a", "b")
+        mine.mapInArrow(probe(shared), schema).write.mode("append").parquet(found)
+        shared.destroy()
+        delete(spark, f"{path}/segment={i}")
+    levels = rows.where("segment = -1").unionByName(spark.read.schema(schema).parquet(found))
+    final = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+    scored = levels.groupBy("run").applyInArrow(finish, final)
+    return scored.withColumn("train_tokens", F.lit(n).cast("bigint"))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["segment", "run", "a", "b", "c"])
 
 
 def training_texts(docs: DataFrame) -> DataFrame:

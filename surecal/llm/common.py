@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of :func:`written` kind that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """``docs`` with all columns but ``keep`` renamed, and the columns under their own names.
 

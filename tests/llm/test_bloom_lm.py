@@ -55,6 +55,48 @@ def test_base_scores(spark):
     assert all(r.score <= 0 for r in out)
 
 
+def brute_scores(rows, weight=2.0):
+    """Scores from exact counts of words and pairs, by level, without any filter."""
+    def middle(c):
+        return 1.5 * 2.0 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+
+    words, pairs, starts = Counter(), Counter(), 0
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            ts = tokens(t)
+            words.update(ts)
+            pairs.update(zip(["<start>", *ts[:-1]], ts))
+            starts += 1
+    n, v, out = sum(words.values()), len(words), []
+    for i, t in rows:
+        ts, total = tokens(t), 0.0
+        for before, x in zip([None, *ts[:-1]], ts):
+            history = starts if before is None else middle(words[before])
+            pair = middle(pairs["<start>" if before is None else before, x])
+            p = (pair + weight * (middle(words[x]) + 1) / (n + v + 1)) / (max(history, pair) + weight)
+            total += log10(min(p, 1.0))
+        out.append((i is None, i or 0, len(ts), total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("segment_bytes", [112 << 20, 4_000])
+def test_scores_by_brute_force(spark, segment_bytes):
+    """With a filter too wide for errors, scores are those of exact counts read by level."""
+    out = run(spark, ROWS, bits_per_entry=60, probes=20, block_bytes=50_000, segment_bytes=segment_bytes)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in out)
+    want = brute_scores(ROWS)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-9)
+
+
+def test_hashes_survive_packing():
+    grams = np.sort(np.random.default_rng(1).integers(0, 2**64 - 1, 1_000, dtype=np.uint64))
+    assert (bloom_lm._unpacked(bloom_lm._packed(grams)) == grams).all()
+    assert len(bloom_lm._unpacked(bloom_lm._packed(grams[:0]))) == 0
+    block = bloom_lm._block(grams, 7)
+    assert (np.diff(block) >= 0).all() and set(block) == set(range(7))
+
+
 def test_segments_do_not_change_results(spark):
     one = run(spark, ROWS, block_bytes=50_000)
     many = run(spark, ROWS, block_bytes=50_000, segment_bytes=1_000)
