@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import delete, remainder, text_or_empty, text_runs, written
+from .common import delete, discard, remainder, text_or_empty, text_runs, written
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = xxhash.xxh3_64_intdigest(b"\x00end")
@@ -32,6 +32,9 @@ _START = xxhash.xxh3_64_intdigest(b"\x00start")
 _LOW = np.uint64(0xFFFFFFFF)
 _KNOWN_WORDS = 200_000
 _RUN_BYTES = 2 << 20
+# Texts that share one probe of each n-gram, and how hard they are packed meanwhile.
+_PROBE_RUN_BYTES = 4 << 20
+_PACK_LEVEL = 3
 _FLUSH = 900_000
 _LEVELS = 40
 
@@ -47,7 +50,7 @@ class Settings:
     probes: int = 6
     pair_weight: float = 2.0
     block_bytes: int = 4 << 20
-    segment_bytes: int = 112 << 20
+    segment_bytes: int = 64 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -337,12 +340,13 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
         """Per run of texts: the texts themselves (segment -1), and its n-grams by segment."""
         known = _Words()
         run = TaskContext.get().partitionId() << 32
-        for part in text_runs(batches, "text", _RUN_BYTES):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=_PACK_LEVEL))
+        for part in text_runs(batches, "text", _PROBE_RUN_BYTES):
             if len(known) > _KNOWN_WORDS:
                 known.restart()
             (words, _), (pairs, _) = _distinct(known, part.column("text").to_pylist())
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
                 stream.write_batch(part)
             rows = [(-1, run, sink.getvalue().to_pybytes(), None, None)]
             word_ends, pair_ends = (
@@ -400,6 +404,7 @@ def score(docs: DataFrame, training: DataFrame, settings: Settings = Settings())
         mine.mapInArrow(probe(shared), schema).write.mode("append").parquet(found)
         shared.destroy()
         delete(spark, f"{path}/segment={i}")
+    discard(model)
     levels = rows.where("segment = -1").unionByName(spark.read.schema(schema).parquet(found))
     final = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
     scored = levels.groupBy("run").applyInArrow(finish, final)

@@ -32,11 +32,17 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Remove a table of :func:`written` kind that nothing reads any more."""
+    """Remove a scratch folder."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that :func:`written` made, once nothing reads it any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """``docs`` with all columns but ``keep`` renamed, and the columns under their own names.
 
