@@ -67,3 +67,27 @@ def test_held_out_accuracy(spark):
     # About 300 toxic rows to learn from in four languages.
     assert (toxic[:, None] > clean[None, :]).mean() > 0.85
     assert (toxic >= 0.7).mean() > 0.5 and (clean >= 0.7).mean() < 0.06
+
+
+def test_scores_follow_from_vectors_and_subwords(spark):
+    """Every score of the query, recomputed plainly from the model's rows."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf, "labels"))
+
+    def plain(text):
+        logits = [float(b) for b in model.bias]
+        words = toxicity.words_of(text)
+        for word in words:
+            rows = toxicity.subwords(word, model.settings)
+            for k in (0, 1):
+                logits[k] += sum(float(model.vectors[r][k]) for r in rows) / len(rows) / len(words)
+        return 1 / (1 + np.exp(logits[0] - logits[1]))
+
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op10_toxicity"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        want = plain(text)
+        assert np.isclose(got[doc_id][0], want, atol=1e-6)
+        assert got[doc_id][1] == int(got[doc_id][0] >= 0.7)
