@@ -22,8 +22,10 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 HASHES = 128
-# Members of a bucket are compared in blocks of so many, so that a task holds two blocks.
+# Members of a bucket are compared in blocks of about so many, and of so many bytes of text; a
+# task holds two blocks. A longer text is not cut.
 BLOCK = 256
+BLOCK_BYTES = 8_000_000
 _KNOWN_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,8 +98,8 @@ def _signatures(hashes: np.ndarray, counts: np.ndarray, bands: int, rows: int) -
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(node, bands) of every distinct text with n-grams; node is the text's 128-bit digest."""
-    schema = "doc_id bigint, digest string, bands array<bigint>"
+    """(doc_id, digest, bytes, bands) of every row; bands are null for texts without n-grams."""
+    schema = "doc_id bigint, digest string, bytes bigint, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -110,13 +112,13 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 for i, row in zip(has, _signatures(hashes, counts, bands, rows)):
                     values[i] = row
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("digest"), pa.array(values, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "bands"],
+                [*(part.column(c) for c in ("doc_id", "digest", "bytes")), pa.array(values, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "bytes", "bands"],
             )
 
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"),
-        F.col("text").cast("string").alias("text"),
+        F.octet_length(F.col("text").cast("string")).cast("bigint").alias("bytes"), F.col("text").cast("string").alias("text"),
     ).mapInArrow(run, schema)
 
 
@@ -190,17 +192,21 @@ def ngram_join(
     """
     bands, rows = banding(threshold, recall, hashes)
     rows_in = written(signatures(docs, words, bands, rows), "signatures")
-    members = rows_in.groupBy("doc_id", "digest").agg(F.first("bands", True).alias("bands"))
+    members = rows_in.groupBy("doc_id", "digest").agg(
+        F.first("bands", True).alias("bands"), F.max("bytes").alias("bytes")
+    )
     nodes = members.where("bands IS NOT NULL").groupBy("digest").agg(
         F.xxhash64("digest").alias("node"), F.min("doc_id").alias("first_id"),
-        F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("bytes").alias("bytes"),
     )
     nodes = written(nodes, "nodes")
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    if nodes.groupBy("node").count().where("count > 1").head(1):
+        raise RuntimeError("two texts have one 64-bit number")
+    entries = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
         entries.groupBy("band", "bucket")
         .agg(
-            F.count("*").alias("n"), F.min("node").alias("least"),
+            F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("node").alias("least"),
             F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"),
             F.sum(F.hash("node").cast("bigint")).alias("s2"),
         )
@@ -208,11 +214,11 @@ def ngram_join(
     )
     # Buckets with the same members do the same work: the first band's stays.
     buckets = written(
-        buckets.groupBy("n", "least", "s1", "s2").agg(F.min(F.struct("band", "bucket")).alias("b"))
-        .select("b.band", "b.bucket", "n"),
+        buckets.groupBy("n", "size", "least", "s1", "s2").agg(F.min(F.struct("band", "bucket")).alias("b"))
+        .select("b.band", "b.bucket", "n", "size"),
         "buckets",
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
     placed = (
         entries.join(buckets, ["band", "bucket"])
         .select("node", "band", "bucket", blocks.alias("blocks"),

@@ -3,6 +3,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import types as T
 
+from surecal.llm import ngram_join as module
 from surecal.llm.common import table
 from surecal.llm.ngram_join import banding, ngram_join, one_of_each
 
@@ -91,3 +92,16 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     out = one_of_each(df, ngram_join(df))
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3]
+
+
+def test_blocks_of_few_bytes_give_the_same_links(spark, monkeypatch):
+    """Long texts make more blocks, down to less than a text each; no link is lost or counted twice."""
+    monkeypatch.setattr(module, "BLOCK_BYTES", 4_000)
+    base = [f"word{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[i] = f"n{i}"
+        rows.append((i, " ".join(copy * (1 + i % 2)), "", ""))
+    rows.append((100, " ".join(base * 30), "", ""))
+    check(spark, rows)
