@@ -59,9 +59,15 @@ def find_subsequence(sequence: Column | str, part: Column | str) -> Column:
     """0-based first position of ``part`` in ``sequence``; NULL if absent.
 
     Places where the first element agrees are compared as slices while these are few against
-    the array; otherwise one pass finds the place. The result is the same.
+    the array; otherwise one pass finds the place. The result is the same. Both arrays are
+    bound first: inside a lambda an expression is computed again for every element.
     """
-    seq, sub = as_column(sequence), as_column(part)
+    arrays = F.struct(as_column(sequence).alias("seq"), as_column(part).alias("sub"))
+    return let(arrays, lambda a: _first_position(a["seq"], a["sub"]))
+
+
+def _first_position(seq: Column, sub: Column) -> Column:
+    """Position of ``sub`` in ``seq``, both of them bound, as they are read once per element."""
     last = F.size(seq) - F.size(sub)
     head = F.get(sub, F.lit(0))
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(seq, i).eqNullSafe(head))
@@ -94,20 +100,24 @@ def answer_logprobs(
     They are read at its first place in the content. ``logprobs`` is empty where there
     is none, and ``reason`` tells why: ``found``, ``not_found`` or ``no_prediction``.
     """
-    ids, values = as_column(prediction_ids), as_column(logprobs)
+    values = as_column(logprobs)
     empty = F.array().cast("array<double>")
-    return let(
-        find_subsequence(content_ids, ids),
-        lambda start: F.struct(
-            F.when(start.isNotNull(), F.slice(values, start + F.lit(1), F.size(ids)))
-            .otherwise(empty)
-            .alias("logprobs"),
-            F.when(start.isNotNull(), F.lit("found"))
-            .when(ids.isNull(), F.lit("no_prediction"))
-            .otherwise(F.lit("not_found"))
-            .alias("reason"),
-        ),
-    )
+
+    def read(ids: Column) -> Column:
+        return let(
+            find_subsequence(content_ids, ids),
+            lambda start: F.struct(
+                F.when(start.isNotNull(), F.slice(values, start + F.lit(1), F.size(ids)))
+                .otherwise(empty)
+                .alias("logprobs"),
+                F.when(start.isNotNull(), F.lit("found"))
+                .when(ids.isNull(), F.lit("no_prediction"))
+                .otherwise(F.lit("not_found"))
+                .alias("reason"),
+            ),
+        )
+
+    return let(as_column(prediction_ids), read)
 
 
 def _sum_exp(logits: Column, top: Column) -> Column:

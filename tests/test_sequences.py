@@ -118,3 +118,29 @@ def test_rolling_search_agrees_with_slices(spark):
     for r in both.collect():
         want = next((j for j in range(len(r.s) - len(r.p) + 1) if r.s[j : j + len(r.p)] == r.p), None)
         assert r.r == want
+
+
+def test_computed_arrays_are_bound_before_the_search(spark):
+    """Tokens of a long text are made once, not again for each place of the search."""
+    import time
+
+    from surecal.operators.assembly import math_records, text_tokens
+
+    words = " ".join(f"w{i % 5000}" for i in range(20_000))
+    rows = [
+        ("end", words + ' {"answer": "the end", "confidence": 0.5}'),
+        ("first", words + ' {"answer": "w7 w8 w9", "confidence": 0.5}'),
+        # The mark in the answer is escaped in the text, so its tokens differ.
+        ("absent", words + ' {"answer": "w4999 \\u0021", "confidence": 0.5}'),
+        ("none", words), ("null", None),
+    ]
+    df = spark.createDataFrame(rows, "i string, content string")
+    given = df.withColumn("token_logprobs", F.transform(text_tokens(F.col("content")), lambda _, i: -i.cast("double")))
+    began = time.time()
+    got = {r["i"]: (r["prediction"], r["logprobs"]) for r in math_records(given).collect()}
+    # The answer follows the words and the tokens { " answer " : ".
+    assert got == {
+        "end": ("the end", [-20_006.0, -20_007.0]), "first": ("w7 w8 w9", [-7.0, -8.0, -9.0]),
+        "absent": ("w4999 !", []), "none": (None, []), "null": (None, []),
+    }
+    assert time.time() - began < 30
