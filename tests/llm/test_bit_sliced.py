@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import compare, connect
 from surecal.llm import bit_sliced
@@ -52,6 +53,57 @@ def test_components_near_the_limit(spark):
         bit_sliced.top_k(spark.createDataFrame([(0, [2.0**30, 1.0], 1), (1, [2.0**30, 1.0], 1)], SCHEMA)).collect()
 
 
+def test_every_vector_asks(spark, monkeypatch):
+    # Blocks are sent to a few parts of the queries, not once for every few queries; parts to groups of blocks.
+    monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(bit_sliced, "MOST_GROUPS", 2, raising=False)
+    monkeypatch.setattr(bit_sliced, "BLOCK_QUERIES", 3)
+    values = np.random.default_rng(4).normal(size=(1_500, 3))
+    df = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(values)], SCHEMA)
+    searched = []
+    search = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: searched.append(self) or search(self, *a, **b))
+    got = sorted(map(tuple, bit_sliced.top_k(df, 4, F.lit(True)).collect()))
+    q = np.floor(256.0 * values).astype(int)
+    scores = q @ q.T
+    want = []
+    for i in range(len(q)):
+        best = sorted((-s, j) for j, s in enumerate(scores[i].tolist()) if j != i)[:4]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == want
+    data = "slices" if "slices" in searched[0].columns else "data"
+    sent = searched[0] if data == "slices" else searched[0].where("not asks")
+    sizes = [r[0] for r in sent.select(F.length(data)).collect()]
+    blocks = [r[0] for r in sent.select("ids", F.length(data).alias("n")).distinct().select("n").collect()]
+    assert len(blocks) == 15 and sum(sizes) <= 8 * sum(blocks)
+    assert searched[0].where("asks").count() == 2 * 4
+
+
+def test_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bit_sliced, "BLOCK_COMPONENTS", 400, raising=False)
+    monkeypatch.setattr(bit_sliced, "MOST_PARTS", 2, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(i * 10, [float(x) for x in rng.normal(size=(4, 7)[i % 2])]) for i in range(600)]
+    df = spark.createDataFrame([(i, e, 1) for i, e in rows], SCHEMA)
+    assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("low,high,size", [(-3, 4, 5), (0, 1, 1), (-(2**28), 2**29, 2**28), (7, 7, 9), (-1, -1, 2**59), (-(2**57), 2**57, 3)])
+def test_added_slices(low, high, size):
+    rng = np.random.default_rng(6)
+    values = rng.integers(low, high, endpoint=True, size=(150, 6))
+    weights = rng.integers(-size, size, endpoint=True, size=(40, 6))
+    weights[0], weights[1], weights[2], values[140:] = 0, size, -size, values[0]
+    ids, asks = np.arange(150) // 2 * 2, np.arange(0, 80, 2)
+    lowest = int(values.min())
+    slices = bit_sliced.sliced(values, lowest, max(1, int(values.max() - lowest).bit_length()))
+    found = bit_sliced.best_of_block(ids, slices, lowest, asks, weights, 20)
+    for q, w in zip(asks, weights):
+        got = sorted((-s, i) for i, s in found.loc[found["query_id"] == q, ["vec_id", "score"]].itertuples(index=False))
+        scores = [sum(int(a) * int(b) for a, b in zip(v, w)) for v in values]
+        assert got == sorted((-s, i) for i, s in zip(ids.tolist(), scores) if i != q)[:20]
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0, -1.0], 1), (2, [0.0, 0.0], 1)], SCHEMA)
     assert sorted(map(tuple, bit_sliced.top_k(df).collect())) == [(0, 1, 2, 0), (0, 2, 1, -65536)]
